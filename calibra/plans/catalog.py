@@ -25,13 +25,20 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 def query(name: str, sql: str | None = None):
     def deco(fn):
-        REGISTRY[name] = (fn, sql)
+        REGISTRY[name] = (fn, S.grid_round(sql) if sql else None)
         return fn
     return deco
 
 
+def snap(c, digits: int = 6):
+    """Snap a double to a 10^-digits grid with floor(x * 10^d + 0.5) / 10^d: the same IEEE
+    operations in any engine, so equal inputs give equal outputs (no decimal-text ties)."""
+    k = float(10 ** digits)
+    return F.floor(c * F.lit(k) + F.lit(0.5)) / F.lit(k)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select([F.round(F.col(f.name), digits).alias(f.name)
+    return df.select([snap(F.col(f.name), digits).alias(f.name)
                       if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
                       for f in df.schema.fields])
 
@@ -52,3 +59,188 @@ def metrics_by_class(spark, sf):
     o = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
     lng = M.to_long(o, {"ref": "ref", "s2": "s2", "s3": "s3"}, ids=["cls", "y"])
     return rounded(M.metric_bundle(lng, ["model", "cls"]))
+
+
+# ---------------------------------------------------------------- step 2: scalar, filter, class, band
+
+from ..functions import bands as B  # noqa: E402
+from ..functions import features as FT  # noqa: E402
+from ..functions import scalar as X  # noqa: E402
+from ..sources.observations import lenient_double  # noqa: E402
+
+
+@query("scan_obs", S.with_(S.obs_cte()) + """
+SELECT site, obs_date, round(ref, 6) AS ref, round(s2, 6) AS s2, round(s3, 6) AS s3, round(y, 6) AS y, rk FROM obs""")
+def scan_obs(spark, sf):
+    return rounded(driver_obs(spark, sf))
+
+
+_TXT_SQL = """CASE WHEN rk % 7 = 0 THEN 'n/a'
+       WHEN rk % 7 = 1 THEN replace(CAST({c} AS VARCHAR), '.', ',')
+       WHEN rk % 7 = 2 THEN ' ' || CAST({c} AS VARCHAR) || ' '
+       ELSE CAST({c} AS VARCHAR) END"""
+
+
+def _as_text(c):
+    s = F.col(c).cast("string")
+    k = F.pmod(F.col("rk"), F.lit(7))
+    return (F.when(k == 0, F.lit("n/a")).when(k == 1, F.regexp_replace(s, r"\.", ","))
+             .when(k == 2, F.concat(F.lit(" "), s, F.lit(" "))).otherwise(s))
+
+
+@query("coerce_numeric", S.with_(S.obs_cte()) + f"""
+, txt AS (SELECT rk, {_TXT_SQL.format(c='ref')} AS t_ref, {_TXT_SQL.format(c='s3')} AS t_s3 FROM obs)
+SELECT rk, round(TRY_CAST(replace(trim(t_ref), ',', '.') AS DOUBLE), 6) AS ref,
+       round(TRY_CAST(replace(trim(t_s3), ',', '.') AS DOUBLE), 6) AS s3 FROM txt""")
+def coerce_numeric(spark, sf):
+    """Text columns with decimal commas, padding and junk coerced back to DOUBLE (junk -> NULL)."""
+    t = driver_obs(spark, sf).select("rk", _as_text("ref").alias("t_ref"), _as_text("s3").alias("t_s3"))
+    return rounded(t.select("rk", lenient_double("t_ref").alias("ref"), lenient_double("t_s3").alias("s3")))
+
+
+@query("complete_cases", S.with_(S.obs_cte(with_missing=True), S.CC) + """
+SELECT site, CAST(count(*) AS BIGINT) AS n FROM cc GROUP BY site""")
+def complete_cases(spark, sf):
+    return _clean(spark, sf, with_missing=True).groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("class_by_value", S.with_(S.obs_cte(), S.CC) + f"""
+, c AS (SELECT *, {S.class_case('y', P.value_cuts)} AS cls FROM cc)
+SELECT cls, {S.ord_case('cls')} AS cls_ord, CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS mean_y
+FROM c GROUP BY cls""")
+def class_by_value(spark, sf):
+    c = C.class_by_value(_clean(spark, sf), cuts=P.value_cuts)
+    return rounded(c.groupBy("cls", "cls_ord").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+
+
+@query("class_by_site_mean", S.with_(S.obs_cte(), S.CC, S.site_cls_cte()) + f"""
+SELECT site, cls, {S.ord_case('cls')} AS cls_ord, CAST(count(*) AS BIGINT) AS n FROM clsd GROUP BY site, cls""")
+def class_by_site_mean(spark, sf):
+    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
+    return c.groupBy("site", "cls", "cls_ord").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("agree_flag", S.with_(S.obs_cte(), S.CC) + f"""
+SELECT CAST(ref < {P.flag_cuts[0]} AND s2 < {P.flag_cuts[1]} AND s3 < {P.flag_cuts[2]} AS INTEGER) AS all_agree,
+       CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS mean_y FROM cc GROUP BY 1""")
+def agree_flag(spark, sf):
+    f = C.with_agree_flag(_clean(spark, sf), P.flag_cuts)
+    return rounded(f.groupBy("all_agree").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+
+
+@query("zone_counts", S.with_(S.obs_cte(), S.CC) + f"""
+SELECT CASE WHEN s2 < {P.zone_cuts[0]} AND s3 < {P.zone_cuts[1]} THEN 'reliable' ELSE 'extreme' END AS zone,
+       CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS mean_y, round(avg(y - ref), 6) AS bias FROM cc GROUP BY 1""")
+def zone_counts(spark, sf):
+    z = C.with_zone(_clean(spark, sf), P.zone_cuts)
+    return rounded(z.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y"),
+                                         F.avg(F.col("y") - F.col("ref")).alias("bias")))
+
+
+def _ln1p(c):
+    return f"ln(1 + {c})"
+
+
+def _ratio(a, b):
+    return f"{a} / ({b} + 1e-5)"
+
+
+_MEAN3 = "((ref + s2 + s3) / 3)"
+_STD3 = f"sqrt(((ref - {_MEAN3}) * (ref - {_MEAN3}) + (s2 - {_MEAN3}) * (s2 - {_MEAN3}) + (s3 - {_MEAN3}) * (s3 - {_MEAN3})) / 2)"
+_MED3 = "greatest(least(ref, s2), least(greatest(ref, s2), s3))"
+
+
+def _sel(items):
+    return ",\n  ".join(f"round({e}, 6) AS {n}" for n, e in items)
+
+
+@query("scalar_features", S.with_(S.obs_cte(), S.CC) + "SELECT rk, " + _sel([
+    ("log_s2", _ln1p("s2")), ("log_s3", _ln1p("s3")), ("sqrt_ref", "sqrt(abs(ref))"),
+    ("s2_div_ref", _ratio("s2", "ref")), ("ref_sq", "ref * ref"), ("ref_x_log_s2", f"ref * {_ln1p('s2')}"),
+    ("s2_x_ref", "s2 * ref / 1000"), ("mean3", _MEAN3), ("std3", _STD3), ("median3", _MED3)]) + " FROM cc")
+def scalar_features(spark, sf):
+    r, a, b = F.col("ref"), F.col("s2"), F.col("s3")
+    return rounded(_clean(spark, sf).select(
+        "rk", X.log1p(a).alias("log_s2"), X.log1p(b).alias("log_s3"), X.sqrt_abs(r).alias("sqrt_ref"),
+        X.guarded_ratio(a, r).alias("s2_div_ref"), X.square(r).alias("ref_sq"), (r * X.log1p(a)).alias("ref_x_log_s2"),
+        (a * r / 1000).alias("s2_x_ref"), X.row_mean3(r, a, b).alias("mean3"), X.row_std3(r, a, b).alias("std3"),
+        X.row_median3(r, a, b).alias("median3")))
+
+
+_EXT16 = [("ref", "ref"), ("s2", "s2"), ("s3", "s3"), ("log_s2", _ln1p("s2")), ("log_s3", _ln1p("s3")),
+          ("sqrt_ref", "sqrt(abs(ref))"), ("s2_div_ref", _ratio("s2", "ref")), ("s3_div_ref", _ratio("s3", "ref")),
+          ("s3_div_s2", _ratio("s3", "s2")), ("ref_x_log_s2", f"ref * {_ln1p('s2')}"),
+          ("ref_x_log_s3", f"ref * {_ln1p('s3')}"), ("ref_sq", "ref * ref"),
+          ("mean3", _MEAN3), ("std3", _STD3), ("median3", _MED3)]
+_FLAG = f"CAST(ref < {P.flag_cuts[0]} AND s2 < {P.flag_cuts[1]} AND s3 < {P.flag_cuts[2]} AS INTEGER) AS all_agree"
+
+
+@query("features_ext16", S.with_(S.obs_cte(), S.CC) + f"SELECT rk, {_FLAG}, " + _sel(_EXT16) + " FROM cc")
+def features_ext16(spark, sf):
+    return rounded(FT.project(_clean(spark, sf), FT.ext16(P.flag_cuts), keep=["rk"]))
+
+
+@query("features_orig16", S.with_(S.obs_cte(), S.CC) + "SELECT rk, " + _sel(
+    [e for e in _EXT16 if e[0] not in ("ref_x_log_s3",)] + [("s2_x_ref", "s2 * ref / 1000"), ("s3_x_ref", "s3 * ref / 1000")])
+    + " FROM cc")
+def features_orig16(spark, sf):
+    return rounded(FT.project(_clean(spark, sf), FT.orig16(), keep=["rk"]))
+
+
+@query("features_figure10", S.with_(S.obs_cte(), S.CC) + "SELECT rk, " + _sel(
+    [("ref", "ref"), ("s2", "s2"), ("s3", "s3"), ("log_s2", _ln1p("s2")), ("log_s3", _ln1p("s3")),
+     ("s2_div_ref", _ratio("s2", "ref")), ("s3_div_ref", _ratio("s3", "ref")), ("s2_x_ref", "s2 * ref"),
+     ("s3_x_ref", "s3 * ref"), ("ref_sq", "ref * ref")]) + " FROM cc")
+def features_figure10(spark, sf):
+    return rounded(FT.project(_clean(spark, sf), FT.figure10(), keep=["rk"]))
+
+
+@query("ape_guarded", S.with_(S.obs_cte(), S.CC) + """
+SELECT site, round(avg(abs(y - ref) / greatest(abs(y), 1e-6)) * 100, 6) AS mape,
+       round(max(abs(y - ref) / greatest(abs(y), 1e-6)) * 100, 6) AS max_ape FROM cc GROUP BY site""")
+def ape_guarded(spark, sf):
+    a = X.ape("y", "ref")
+    return rounded(_clean(spark, sf).groupBy("site").agg((F.avg(a) * 100).alias("mape"),
+                                                         (F.max(a) * 100).alias("max_ape")))
+
+
+@query("residuals", S.with_(S.obs_cte(), S.CC) + """
+SELECT rk, round(y - ref, 6) AS residual, round(abs(y - ref), 6) AS abs_residual, round(ref - y, 6) AS error FROM cc""")
+def residuals(spark, sf):
+    return rounded(_clean(spark, sf).select(
+        "rk", X.residual("y", "ref").alias("residual"), F.abs(X.residual("y", "ref")).alias("abs_residual"),
+        (F.col("ref") - F.col("y")).alias("error")))
+
+
+@query("month_labels", S.with_(S.obs_cte(), S.CC) + """
+SELECT CAST(date_trunc('month', obs_date) AS DATE) AS month, strftime(CAST(date_trunc('month', obs_date) AS DATE), '%Y-%m') AS label,
+       CAST(count(*) AS BIGINT) AS n FROM cc GROUP BY 1, 2""")
+def month_labels(spark, sf):
+    m = _clean(spark, sf).withColumn("month", X.month_key("obs_date"))
+    return m.groupBy("month").agg(F.count(F.lit(1)).alias("n")).withColumn("label", X.month_label("month"))
+
+
+_SITE_METRICS = """, st AS (SELECT site, sqrt(avg((y - ref) * (y - ref))) AS rmse,
+  CASE WHEN count(*) > 1 AND var_pop(y) > 0 THEN 1 - sum((y - ref) * (y - ref)) / (var_pop(y) * count(*)) END AS r2
+  FROM cc GROUP BY site)"""
+
+
+def _site_metrics(spark, sf):
+    lng = M.to_long(_clean(spark, sf), {"ref": "ref"}, ids=["site", "y"])
+    return M.metric_bundle(lng, ["site"])
+
+
+@query("rmse_bands", S.with_(S.obs_cte(), S.CC) + _SITE_METRICS + f"""
+SELECT CASE WHEN rmse < {P.rmse_cuts[0]} THEN 'good' WHEN rmse < {P.rmse_cuts[1]} THEN 'fair' ELSE 'poor' END AS band,
+       CAST(count(*) AS BIGINT) AS n_sites, round(avg(rmse), 6) AS mean_rmse FROM st GROUP BY 1""")
+def rmse_bands(spark, sf):
+    b = _site_metrics(spark, sf).withColumn("band", B.band("rmse", P.rmse_cuts))
+    return rounded(b.groupBy("band").agg(F.count(F.lit(1)).alias("n_sites"), F.avg("rmse").alias("mean_rmse")))
+
+
+@query("r2_bands", S.with_(S.obs_cte(), S.CC) + _SITE_METRICS + f"""
+SELECT CASE WHEN r2 IS NULL THEN NULL WHEN r2 > {P.r2_cuts[0]} THEN 'good' WHEN r2 > {P.r2_cuts[1]} THEN 'fair' ELSE 'poor' END AS band,
+       CAST(count(*) AS BIGINT) AS n_sites, round(avg(r2), 6) AS mean_r2 FROM st GROUP BY 1""")
+def r2_bands(spark, sf):
+    b = _site_metrics(spark, sf).withColumn("band", B.band("r2", P.r2_cuts, higher_is_better=True))
+    return rounded(b.groupBy("band").agg(F.count(F.lit(1)).alias("n_sites"), F.avg("r2").alias("mean_r2")))

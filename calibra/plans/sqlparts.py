@@ -56,3 +56,29 @@ def metric_cols(y: str = "y", p: str = "pred", floor: float = 1e-6) -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def grid_round(sql: str, digits: int = 6) -> str:
+    """Rewrite every ``round(<expr>, 6)`` into the engine-neutral grid snap
+    ``floor(<expr> * 1e6 + 0.5) / 1e6`` (matches ``catalog.snap`` on the Spark side)."""
+    out, i, key = [], 0, "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0 or (j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_")):
+            if j < 0:
+                out.append(sql[i:])
+                return "".join(out)
+            out.append(sql[i:j + len(key)])
+            i = j + len(key)
+            continue
+        depth, k = 1, j + len(key)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = sql[j + len(key):k - 1]
+        expr, _, d = inner.rpartition(",")
+        if d.strip() != str(digits):
+            out.append(sql[i:k])
+        else:
+            out.append(sql[i:j] + f"(floor(({grid_round(expr, digits)}) * {float(10 ** digits)} + 0.5) / {float(10 ** digits)})")
+        i = k
