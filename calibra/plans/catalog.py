@@ -244,3 +244,92 @@ SELECT CASE WHEN r2 IS NULL THEN NULL WHEN r2 > {P.r2_cuts[0]} THEN 'good' WHEN
 def r2_bands(spark, sf):
     b = _site_metrics(spark, sf).withColumn("band", B.band("r2", P.r2_cuts, higher_is_better=True))
     return rounded(b.groupBy("band").agg(F.count(F.lit(1)).alias("n_sites"), F.avg("r2").alias("mean_r2")))
+
+
+# ---------------------------------------------------------------- step 3: rescale, rescaled features, scaler
+
+from ..operators import rescale as RS  # noqa: E402
+from ..operators import scaling as SC  # noqa: E402
+from ..operators import splits as SP  # noqa: E402
+
+_PARAMS_SQL = """pr AS (SELECT stddev_samp(ref) / stddev_samp(s2) AS s2_scale,
+    avg(ref) - avg(s2) * (stddev_samp(ref) / stddev_samp(s2)) AS s2_offset,
+    stddev_samp(ref) / stddev_samp(s3) AS s3_scale,
+    avg(ref) - avg(s3) * (stddev_samp(ref) / stddev_samp(s3)) AS s3_offset
+  FROM sp WHERE NOT is_test),
+rsc AS (SELECT sp.*, s2 * s2_scale + s2_offset AS s2_r, s3 * s3_scale + s3_offset AS s3_r FROM sp CROSS JOIN pr)"""
+
+
+def _split(spark, sf):
+    return SP.holdout(_clean(spark, sf), "rk", P.test_frac)
+
+
+def _train_params(sp):
+    return RS.rescale_params(sp.filter(~F.col("is_test")))
+
+
+@query("rescale_params", S.with_(S.obs_cte(), S.CC, S.SPLIT, _PARAMS_SQL) + """
+SELECT round(s2_scale, 6) AS s2_scale, round(s2_offset, 6) AS s2_offset,
+       round(s3_scale, 6) AS s3_scale, round(s3_offset, 6) AS s3_offset FROM pr""")
+def rescale_params(spark, sf):
+    """Moment-matching parameters of s2 and s3 onto ref, fitted on the training split only."""
+    return rounded(_train_params(_split(spark, sf)))
+
+
+@query("rescale_apply", S.with_(S.obs_cte(), S.CC, S.SPLIT, _PARAMS_SQL) + """
+SELECT rk, is_test, round(s2_r, 6) AS s2_r, round(s3_r, 6) AS s3_r FROM rsc""")
+def rescale_apply(spark, sf):
+    sp = _split(spark, sf)
+    return rounded(RS.apply_params(sp, _train_params(sp)).select("rk", "is_test", "s2_r", "s3_r"))
+
+
+_MR = "((ref + s2_r + s3_r) / 3)"
+_SDR = f"sqrt(((ref - {_MR}) * (ref - {_MR}) + (s2_r - {_MR}) * (s2_r - {_MR}) + (s3_r - {_MR}) * (s3_r - {_MR})) / 2)"
+_MEDR = "greatest(least(ref, s2_r), least(greatest(ref, s2_r), s3_r))"
+RESCALED_SQL = {
+    "rescaled8": [("ref", "ref"), ("s2_r", "s2_r"), ("s3_r", "s3_r"), ("mean_r", _MR), ("std_r", _SDR),
+                  ("s2_r_x_ref", "s2_r * ref / 100"), ("s3_r_x_ref", "s3_r * ref / 100"), ("ref_sq", "ref * ref")],
+    "rescaled16": [("ref", "ref"), ("s2_r", "s2_r"), ("s3_r", "s3_r"), ("log_s2_r", _ln1p("s2_r")),
+                   ("log_s3_r", _ln1p("s3_r")), ("sqrt_ref", "sqrt(abs(ref))"), ("s2_r_div_ref", _ratio("s2_r", "ref")),
+                   ("s3_r_div_ref", _ratio("s3_r", "ref")), ("s3_r_div_s2_r", _ratio("s3_r", "s2_r")),
+                   ("s2_r_x_ref", "s2_r * ref / 100"), ("s3_r_x_ref", "s3_r * ref / 100"), ("ref_sq", "ref * ref"),
+                   ("ref_x_log_s2_r", f"ref * {_ln1p('s2_r')}"), ("mean_r", _MR), ("std_r", _SDR), ("median_r", _MEDR)],
+    "optimized10": [("ref", "ref"), ("s2_r", "s2_r"), ("s3_r", "s3_r"), ("mean_r", _MR), ("median_r", _MEDR),
+                    ("s2_r_x_ref", "s2_r * ref / 100"), ("s3_r_x_ref", "s3_r * ref / 100"), ("ref_sq", "ref * ref"),
+                    ("sqrt_ref", "sqrt(abs(ref))"), ("s3_r_div_ref", _ratio("s3_r", "ref"))],
+}
+
+
+def _rescaled_features(spark, sf, name):
+    sp = _split(spark, sf)
+    j = RS.apply_params(sp, _train_params(sp), keep_params=True)
+    return FT.project(j, FT.feature_set(name), keep=["rk", "is_test"])
+
+
+def _feat_query(name):
+    @query(f"features_{name}", S.with_(S.obs_cte(), S.CC, S.SPLIT, _PARAMS_SQL)
+           + "SELECT rk, is_test, " + _sel(RESCALED_SQL[name]) + " FROM rsc")
+    def fn(spark, sf):
+        return rounded(_rescaled_features(spark, sf, name))
+    fn.__name__ = f"features_{name}"
+    return fn
+
+
+for _n in ("rescaled8", "rescaled16", "optimized10"):
+    _feat_query(_n)
+
+
+_OPT = RESCALED_SQL["optimized10"]
+
+
+@query("standardize", S.with_(S.obs_cte(), S.CC, S.SPLIT, _PARAMS_SQL) + ", ft AS (SELECT rk, is_test, "
+       + ", ".join(f"{e} AS {n}" for n, e in _OPT) + " FROM rsc),\nst AS (SELECT "
+       + ", ".join(f"avg({n}) AS mu_{n}, CASE WHEN stddev_pop({n}) = 0 THEN 1.0 ELSE stddev_pop({n}) END AS sd_{n}"
+                   for n, _ in _OPT) + " FROM ft WHERE NOT is_test)\nSELECT rk, is_test, "
+       + ", ".join(f"round(({n} - mu_{n}) / sd_{n}, 6) AS {n}" for n, _ in _OPT) + " FROM ft CROSS JOIN st")
+def standardize(spark, sf):
+    """optimized10 features z-scored with training mean and population std, applied to both sides."""
+    f = _rescaled_features(spark, sf, "optimized10")
+    cols = FT.names("optimized10")
+    st = SC.fit_scaler(f.filter(~F.col("is_test")), cols)
+    return rounded(SC.apply_scaler(f, st, cols))
