@@ -75,20 +75,34 @@ def leave_out_params(df: DataFrame, group: str, ref: str = "ref", sensors=SENSOR
     """
     cols = [ref, *sensors]
     g = group_moments(df, group, cols)
-    tot = g.agg(F.sum("n").alias("N"), *[F.try_divide(F.sum(F.col("n") * F.col(f"m_{c}")), F.sum("n")).alias(f"M_{c}")
+    tot = g.agg(F.sum("n").alias("tot_n"), *[F.try_divide(F.sum(F.col("n") * F.col(f"m_{c}")), F.sum("n")).alias(f"tm_{c}")
                                          for c in cols])
     j = g.crossJoin(F.broadcast(tot))
-    tot2 = j.agg(*[F.sum(F.col(f"q_{c}") + F.col("n") * (F.col(f"m_{c}") - F.col(f"M_{c}")) ** 2).alias(f"Q_{c}")
+    tot2 = j.agg(*[F.sum(F.col(f"q_{c}") + F.col("n") * (F.col(f"m_{c}") - F.col(f"tm_{c}")) ** 2).alias(f"tq_{c}")
                    for c in cols])
     j = j.crossJoin(F.broadcast(tot2))
-    nt = F.col("N") - F.col("n")
+    nt = F.col("tot_n") - F.col("n")
     mean, sd = {}, {}
     for c in cols:
-        mt = F.col(f"M_{c}") + F.try_divide(F.col("n") * (F.col(f"M_{c}") - F.col(f"m_{c}")), nt)
-        q = (F.col(f"Q_{c}") - F.col(f"q_{c}") - F.col("n") * (F.col(f"m_{c}") - F.col(f"M_{c}")) ** 2
-             - nt * (mt - F.col(f"M_{c}")) ** 2)
+        mt = F.col(f"tm_{c}") + F.try_divide(F.col("n") * (F.col(f"tm_{c}") - F.col(f"m_{c}")), nt)
+        q = (F.col(f"tq_{c}") - F.col(f"q_{c}") - F.col("n") * (F.col(f"m_{c}") - F.col(f"tm_{c}")) ** 2
+             - nt * (mt - F.col(f"tm_{c}")) ** 2)
         mean[c] = mt
         sd[c] = F.when(nt > 1, F.sqrt(F.greatest(F.try_divide(q, nt - 1), F.lit(0.0))))
     return j.select(F.col(group), nt.alias("n_train"),
                     *_param_cols(mean[ref], sd[ref], {s: mean[s] for s in sensors},
                                  {s: sd[s] for s in sensors}, sensors))
+
+
+def leave_out_means(df: DataFrame, group: str, cols: list[str]) -> DataFrame:
+    """Mean of each column over all rows *outside* each group (one scan, one row per group):
+    m_t = m + n_g (m - m_g) / n_t. Used for out-of-fold biases and baselines."""
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m_{c}") for c in cols]
+    g = df.groupBy(group).agg(*aggs)
+    tot = g.agg(F.sum("n").alias("tot_n"),
+                *[F.try_divide(F.sum(F.col("n") * F.col(f"m_{c}")), F.sum("n")).alias(f"tm_{c}") for c in cols])
+    j = g.crossJoin(F.broadcast(tot))
+    nt = F.col("tot_n") - F.col("n")
+    return j.select(group, nt.alias("n_out"),
+                    *[(F.col(f"tm_{c}") + F.try_divide(F.col("n") * (F.col(f"tm_{c}") - F.col(f"m_{c}")), nt)).alias(c)
+                      for c in cols])

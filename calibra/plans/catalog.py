@@ -333,3 +333,323 @@ def standardize(spark, sf):
     cols = FT.names("optimized10")
     st = SC.fit_scaler(f.filter(~F.col("is_test")), cols)
     return rounded(SC.apply_scaler(f, st, cols))
+
+
+# ---------------------------------------------------------------- step 4: splits, folds, leave-out
+
+@query("split_holdout", S.with_(S.obs_cte(), S.CC, S.SPLIT) + """
+SELECT is_test, CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS mean_y FROM sp GROUP BY is_test""")
+def split_holdout(spark, sf):
+    return rounded(_split(spark, sf).groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+
+
+@query("split_stratified", S.with_(S.obs_cte(), S.CC, S.site_cls_cte()) + f"""
+, rn AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY ((rk // 7) % 1000), rk, site, obs_date, ref, s2, s3, y) AS r,
+               count(*) OVER (PARTITION BY cls) AS nc FROM clsd)
+SELECT cls, r <= ceil(nc * {P.test_frac}) AS is_test, CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS mean_y
+FROM rn GROUP BY 1, 2""")
+def split_stratified(spark, sf):
+    """Exact 70/30 split within every site-mean class (no global window)."""
+    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts).drop("cls_ord")
+    s = SP.stratified_holdout(c, "cls", "rk", P.test_frac)
+    return rounded(s.groupBy("cls", "is_test").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+
+
+_FOLD = f"""fo AS (SELECT *, rk % {P.k} AS fold FROM cc)"""
+
+
+@query("kfold_sizes", S.with_(S.obs_cte(), S.CC, _FOLD) + """
+SELECT fold, CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS mean_y FROM fo GROUP BY fold""")
+def kfold_sizes(spark, sf):
+    f = SP.kfold(_clean(spark, sf), P.k)
+    return rounded(f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+
+
+def _naive_leave_out(group: str, src: str) -> str:
+    """Oracle: refit directly on every complement (group x rows join)."""
+    return f"""ks AS (SELECT DISTINCT {group} AS g FROM {src}),
+lo AS (SELECT ks.g AS {group}, CAST(count(*) AS BIGINT) AS n_train,
+    stddev_samp(o.ref) / stddev_samp(o.s2) AS s2_scale,
+    avg(o.ref) - avg(o.s2) * (stddev_samp(o.ref) / stddev_samp(o.s2)) AS s2_offset,
+    stddev_samp(o.ref) / stddev_samp(o.s3) AS s3_scale,
+    avg(o.ref) - avg(o.s3) * (stddev_samp(o.ref) / stddev_samp(o.s3)) AS s3_offset,
+    avg(o.y - o.ref) AS bias
+  FROM ks JOIN {src} o ON o.{group} <> ks.g GROUP BY ks.g)"""
+
+
+@query("kfold_rescale", S.with_(S.obs_cte(), S.CC, _FOLD, _naive_leave_out("fold", "fo")) + """
+SELECT fo.fold, CAST(count(*) AS BIGINT) AS n_test, round(any_value(s2_scale), 6) AS s2_scale,
+       round(any_value(s2_offset), 6) AS s2_offset, round(any_value(s3_scale), 6) AS s3_scale,
+       round(any_value(s3_offset), 6) AS s3_offset,
+       round(avg(s2 * s2_scale + s2_offset), 6) AS mean_s2_r, round(avg(s3 * s3_scale + s3_offset), 6) AS mean_s3_r
+FROM fo JOIN lo USING (fold) GROUP BY fo.fold""")
+def kfold_rescale(spark, sf):
+    """Leak-free per-fold rescale: parameters from the other folds, applied to the fold's test rows."""
+    f = SP.kfold(_clean(spark, sf), P.k)
+    lp = RS.leave_out_params(f, "fold").drop("n_train")
+    j = RS.apply_params(f, lp, on="fold", keep_params=True)
+    return rounded(j.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_test"),
+        *[F.first(c).alias(c) for c in ("s2_scale", "s2_offset", "s3_scale", "s3_offset")],
+        F.avg("s2_r").alias("mean_s2_r"), F.avg("s3_r").alias("mean_s3_r")))
+
+
+@query("loro_params", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc")) + """
+SELECT site, n_train, round(s2_scale, 6) AS s2_scale, round(s2_offset, 6) AS s2_offset,
+       round(s3_scale, 6) AS s3_scale, round(s3_offset, 6) AS s3_offset FROM lo""")
+def loro_params(spark, sf):
+    """Rescale parameters for every held-out site from one pass of per-site moments."""
+    return rounded(RS.leave_out_params(_clean(spark, sf), "site"))
+
+
+_INNER = f"""inn AS (SELECT *, (rk // 500) % {P.k} AS inner_fold, y - ref AS d FROM sp WHERE NOT is_test),
+ib AS (SELECT k.inner_fold, avg(o.d) AS bias FROM (SELECT DISTINCT inner_fold FROM inn) k
+       JOIN inn o ON o.inner_fold <> k.inner_fold GROUP BY k.inner_fold)"""
+
+
+@query("oof_coverage", S.with_(S.obs_cte(), S.CC, S.SPLIT, _INNER) + """
+SELECT inner_fold, CAST(count(*) AS BIGINT) AS n, round(any_value(bias), 6) AS bias,
+       round(sqrt(avg((y - (ref + bias)) * (y - (ref + bias)))), 6) AS oof_rmse
+FROM inn JOIN ib USING (inner_fold) GROUP BY inner_fold""")
+def oof_coverage(spark, sf):
+    """Out-of-fold predictions inside the training split: every training row is predicted
+    exactly once by a bias fitted on the other inner folds."""
+    tr = SP.inner_folds(_split(spark, sf).filter(~F.col("is_test")), P.k)
+    tr = tr.withColumn("d", F.col("y") - F.col("ref"))
+    b = RS.leave_out_means(tr, "inner_fold", ["d"]).select("inner_fold", F.col("d").alias("bias"))
+    p = tr.join(F.broadcast(b), "inner_fold").withColumn("pred", F.col("ref") + F.col("bias"))
+    e = F.col("y") - F.col("pred")
+    return rounded(p.groupBy("inner_fold").agg(F.count(F.lit(1)).alias("n"), F.first("bias").alias("bias"),
+                                               F.sqrt(F.avg(e * e)).alias("oof_rmse")))
+
+
+# ---------------------------------------------------------------- step 5: metrics and summaries
+
+from ..operators import baselines as BL  # noqa: E402
+
+_HOLD = _PARAMS_SQL + """,
+tb AS (SELECT avg(y - ref) AS bias, regr_intercept(y, ref) AS b0, regr_slope(y, ref) AS b1 FROM sp WHERE NOT is_test),
+te AS (SELECT rsc.*, tb.bias, tb.b0, tb.b1 FROM rsc CROSS JOIN tb WHERE is_test),
+pl AS (SELECT site, rk, y, 'ref' AS model, ref AS pred FROM te
+  UNION ALL SELECT site, rk, y, 's2', s2 FROM te
+  UNION ALL SELECT site, rk, y, 's3', s3 FROM te
+  UNION ALL SELECT site, rk, y, 'ref_bias', ref + bias FROM te
+  UNION ALL SELECT site, rk, y, 'line_ref', b0 + b1 * ref FROM te
+  UNION ALL SELECT site, rk, y, 's2_r', s2_r FROM te
+  UNION ALL SELECT site, rk, y, 's3_r', s3_r FROM te)"""
+HOLD_CTES = (S.obs_cte(), S.CC, S.SPLIT, _HOLD)
+
+
+def _e2(y="y", p="pred"):
+    return f"({y} - {p}) * ({y} - {p})"
+
+
+_HM = f"""hm AS (SELECT model, count(*) AS n, sqrt(avg({_e2()})) AS rmse, avg(abs(y - pred)) AS mae,
+   CASE WHEN count(*) > 1 AND var_pop(y) > 0 THEN 1 - sum({_e2()}) / (var_pop(y) * count(*)) END AS r2
+   FROM pl GROUP BY model)"""
+
+
+def _holdout_preds(spark, sf, ids=("site", "rk"), with_cls=False, models=BL.BASELINE_MODELS):
+    sp = _split(spark, sf)
+    if with_cls:
+        sp = C.class_by_site_mean(sp, cuts=P.site_cuts)
+    fit = BL.fit_closed_form(sp.filter(~F.col("is_test")))
+    return BL.predictions(sp.filter(F.col("is_test")), fit, list(ids), models=models)
+
+
+def _holdout_metrics(spark, sf):
+    return M.metric_bundle(_holdout_preds(spark, sf), ["model"])
+
+
+@query("metric_bundle", S.with_(S.obs_cte(), S.CC) + f"""
+, lng AS (SELECT y, 'ref' AS model, ref AS pred FROM cc UNION ALL SELECT y, 's2', s2 FROM cc
+          UNION ALL SELECT y, 's3', s3 FROM cc)
+SELECT model, {S.metric_cols()} FROM lng GROUP BY model""")
+def metric_bundle(spark, sf):
+    """RMSE, MAE, R2, MAPE, MBE and max error of each raw sensor over all complete rows."""
+    lng = M.to_long(_clean(spark, sf), {"ref": "ref", "s2": "s2", "s3": "s3"}, ids=["y"])
+    return rounded(M.metric_bundle(lng, ["model"]))
+
+
+@query("all_baselines", S.with_(*HOLD_CTES) + f"SELECT model, {S.metric_cols()} FROM pl GROUP BY model")
+def all_baselines(spark, sf):
+    """All closed-form models scored on the holdout test rows, stacked in one long table."""
+    return rounded(_holdout_metrics(spark, sf))
+
+
+@query("metrics_rollup", S.with_(S.obs_cte(), S.CC, S.SPLIT, _HOLD,
+                                 f"sm AS (SELECT site, {S.class_case('avg(y)', P.site_cuts, False)} AS cls FROM cc GROUP BY site)")
+       + f"""
+, plc AS (SELECT pl.*, sm.cls FROM pl LEFT JOIN sm USING (site))
+SELECT model, CASE WHEN GROUPING(cls) = 1 THEN 'ALL' ELSE cls END AS cls, {S.metric_cols()}
+FROM plc GROUP BY GROUPING SETS ((model), (model, cls))""")
+def metrics_rollup(spark, sf):
+    """Overall and per-class metrics of every model in one aggregation (grouping sets)."""
+    p = _holdout_preds(spark, sf, ids=("site", "rk", "cls"), with_cls=True)
+    return rounded(M.metrics_rollup(p, ["model"], ["cls"]))
+
+
+_FO_LO = (_FOLD, _naive_leave_out("fold", "fo"))
+_CVP = f"""cvp AS (SELECT fold, y, 'ref' AS model, ref AS pred FROM fo
+  UNION ALL SELECT fold, y, 'ref_bias', ref + bias FROM fo JOIN lo USING (fold)
+  UNION ALL SELECT fold, y, 's2_r', s2 * s2_scale + s2_offset FROM fo JOIN lo USING (fold)
+  UNION ALL SELECT fold, y, 's3_r', s3 * s3_scale + s3_offset FROM fo JOIN lo USING (fold)),
+cvm AS (SELECT model, fold, sqrt(avg({_e2()})) AS rmse, avg(abs(y - pred)) AS mae,
+  CASE WHEN count(*) > 1 AND var_pop(y) > 0 THEN 1 - sum({_e2()}) / (var_pop(y) * count(*)) END AS r2
+  FROM cvp GROUP BY model, fold),
+cvs AS (SELECT model, avg(rmse) AS rmse_mean, stddev_pop(rmse) AS rmse_std, avg(mae) AS mae_mean,
+  stddev_pop(mae) AS mae_std, avg(r2) AS r2_mean, stddev_pop(r2) AS r2_std FROM cvm GROUP BY model)"""
+
+
+def _cv_summary(spark, sf):
+    f = SP.kfold(_clean(spark, sf), P.k)
+    per_fold = M.metric_bundle(BL.leave_out_predictions(f, "fold", ["fold"]), ["model", "fold"])
+    return M.summarize_folds(per_fold, ["model"])
+
+
+@query("cv_summary", S.with_(S.obs_cte(), S.CC, *_FO_LO, _CVP) + """
+SELECT model, round(rmse_mean, 6) AS rmse_mean, round(rmse_std, 6) AS rmse_std, round(mae_mean, 6) AS mae_mean,
+       round(mae_std, 6) AS mae_std, round(r2_mean, 6) AS r2_mean, round(r2_std, 6) AS r2_std FROM cvs""")
+def cv_summary(spark, sf):
+    """K-fold: every fold's models fitted on the other folds; mean and population std over folds."""
+    return rounded(_cv_summary(spark, sf))
+
+
+_LORO = f"""lp AS (SELECT site, y, ref + bias AS pred FROM cc JOIN lo USING (site)),
+lm AS (SELECT site, {S.metric_cols()} FROM lp GROUP BY site)"""
+
+
+def _loro_metrics(spark, sf):
+    p = BL.leave_out_predictions(_clean(spark, sf), "site", ["site"], models=("ref_bias",))
+    return M.metric_bundle(p, ["site"])
+
+
+@query("loro_metrics", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc"), _LORO) + "SELECT * FROM lm")
+def loro_metrics(spark, sf):
+    """Leave-one-site-out: bias-corrected ref fitted without the site, scored on the site (R2 NULL for n=1)."""
+    return rounded(_loro_metrics(spark, sf))
+
+
+def _loro_summary_df(lm):
+    q = F.percentile("rmse", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return lm.agg(F.count(F.lit(1)).alias("n_sites"), F.avg("rmse").alias("rmse_mean"),
+                  F.stddev_pop("rmse").alias("rmse_std"), q.alias("_q"), F.min("rmse").alias("rmse_min"),
+                  F.max("rmse").alias("rmse_max"), F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"),
+                  F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std")) \
+             .select("*", F.col("_q")[0].alias("rmse_q1"), F.col("_q")[1].alias("rmse_median"),
+                     F.col("_q")[2].alias("rmse_q3")).drop("_q")
+
+
+@query("loro_summary", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc"), _LORO) + """
+SELECT CAST(count(*) AS BIGINT) AS n_sites, round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std,
+  round(min(rmse), 6) AS rmse_min, round(max(rmse), 6) AS rmse_max, round(avg(mae), 6) AS mae_mean,
+  round(stddev_pop(mae), 6) AS mae_std, round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_std,
+  round(quantile_cont(rmse, 0.25), 5) AS rmse_q1, round(quantile_cont(rmse, 0.5), 5) AS rmse_median,
+  round(quantile_cont(rmse, 0.75), 5) AS rmse_q3 FROM lm""")
+def loro_summary(spark, sf):
+    """Distribution of per-site held-out errors (NULL R2 skipped, exact quartiles).
+    Quartiles interpolate between two sites and are compared on a 1e-5 grid."""
+    d = _loro_summary_df(_loro_metrics(spark, sf))
+    q = ["rmse_q1", "rmse_median", "rmse_q3"]
+    return rounded(d).withColumns({c: snap(d[c], 5) for c in q})
+
+
+@query("size_error_corr", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc"), _LORO) + """
+SELECT CAST(count(*) AS BIGINT) AS n_sites,
+       round(CASE WHEN count(*) > 2 THEN corr(CAST(n AS DOUBLE), rmse) END, 6) AS corr_n_rmse FROM lm""")
+def size_error_corr(spark, sf):
+    lm = _loro_metrics(spark, sf)
+    return rounded(lm.agg(F.count(F.lit(1)).alias("n_sites"),
+                          F.when(F.count(F.lit(1)) > 2, F.corr(F.col("n").cast("double"), "rmse")).alias("corr_n_rmse")))
+
+
+@query("improvement_pct", S.with_(*HOLD_CTES, _HM) + """
+SELECT h.model, round(h.rmse, 6) AS rmse, round(((b.rmse - h.rmse) * 100) / b.rmse, 6) AS improvement_pct
+FROM hm h CROSS JOIN (SELECT rmse FROM hm WHERE model = 'ref') b""")
+def improvement_pct(spark, sf):
+    """Percent RMSE improvement of every model over the ref baseline (one-row baseline broadcast)."""
+    hm = _holdout_metrics(spark, sf)
+    base = hm.filter(F.col("model") == "ref").select(F.col("rmse").alias("base_rmse"))
+    j = hm.crossJoin(F.broadcast(base))
+    return rounded(j.select("model", "rmse", X.pct_improvement("base_rmse", "rmse").alias("improvement_pct")))
+
+
+@query("scheme_compare", S.with_(*HOLD_CTES, _HM, *_FO_LO, _CVP) + """
+SELECT model, round(h.rmse, 6) AS holdout_rmse, round(c.rmse_mean, 6) AS cv_rmse,
+       round(((c.rmse_mean - h.rmse) * 100) / h.rmse, 6) AS cv_vs_holdout_pct
+FROM hm h JOIN cvs c USING (model)""")
+def scheme_compare(spark, sf):
+    """Same models under holdout and K-fold: how far the CV error is from the holdout error."""
+    hm = _holdout_metrics(spark, sf).select("model", F.col("rmse").alias("holdout_rmse"))
+    cv = _cv_summary(spark, sf).select("model", F.col("rmse_mean").alias("cv_rmse"))
+    j = hm.join(cv, "model")
+    return rounded(j.withColumn("cv_vs_holdout_pct",
+                                F.try_divide((F.col("cv_rmse") - F.col("holdout_rmse")) * 100, F.col("holdout_rmse"))))
+
+
+@query("bias_fit", S.with_(S.obs_cte(), S.CC, S.SPLIT) + f"""
+, tz AS (SELECT *, CASE WHEN s2 < {P.zone_cuts[0]} AND s3 < {P.zone_cuts[1]} THEN 'reliable' ELSE 'extreme' END AS zone
+         FROM sp WHERE NOT is_test)
+SELECT round(avg(y - ref), 6) AS bias_all,
+       round(avg(CASE WHEN zone = 'extreme' THEN y - ref END), 6) AS bias_extreme,
+       round(avg(CASE WHEN zone = 'reliable' THEN y - ref END), 6) AS bias_reliable,
+       CAST(count(*) FILTER (WHERE zone = 'extreme') AS BIGINT) AS n_extreme,
+       CAST(count(*) FILTER (WHERE zone = 'reliable') AS BIGINT) AS n_reliable FROM tz""")
+def bias_fit(spark, sf):
+    """Mean bias of ref on the training rows, overall and within each zone (one pass)."""
+    t = C.with_zone(_split(spark, sf).filter(~F.col("is_test")), P.zone_cuts)
+    d = F.col("y") - F.col("ref")
+    ext, rel = F.col("zone") == "extreme", F.col("zone") == "reliable"
+    return rounded(t.agg(F.avg(d).alias("bias_all"), F.avg(F.when(ext, d)).alias("bias_extreme"),
+                         F.avg(F.when(rel, d)).alias("bias_reliable"),
+                         F.count(F.when(ext, 1)).alias("n_extreme"), F.count(F.when(rel, 1)).alias("n_reliable")))
+
+
+@query("bias_corrected_metrics", S.with_(*HOLD_CTES) + f"""
+SELECT model, {S.metric_cols()} FROM pl WHERE model IN ('ref', 'ref_bias') GROUP BY model""")
+def bias_corrected_metrics(spark, sf):
+    p = _holdout_preds(spark, sf, models=("ref", "ref_bias"))
+    return rounded(M.metric_bundle(p, ["model"]))
+
+
+@query("key_metrics", S.with_(*HOLD_CTES, _naive_leave_out("site", "cc"), _LORO) + f"""
+, rs AS (SELECT y - pred AS r FROM pl WHERE model = 'ref_bias'),
+mo AS (SELECT count(*) AS n, avg(r) AS mu, sqrt(avg(r * r)) AS rmse FROM rs),
+cm AS (SELECT any_value(n) AS n, any_value(rmse) AS rmse, avg((r - mu) * (r - mu)) AS m2,
+              avg((r - mu) * (r - mu) * (r - mu)) AS m3, avg((r - mu) * (r - mu) * (r - mu) * (r - mu)) AS m4
+       FROM rs CROSS JOIN mo),
+jb AS (SELECT n, rmse, n / 6.0 * ((m3 / pow(m2, 1.5)) * (m3 / pow(m2, 1.5)) + (m4 / (m2 * m2) - 3) * (m4 / (m2 * m2) - 3) / 4) AS jb FROM cm),
+ls AS (SELECT avg(rmse) AS loro_mean, stddev_pop(rmse) AS loro_std FROM lm)
+SELECT round(loro_mean, 6) AS loro_rmse_mean, round(loro_std, 6) AS loro_rmse_std, round(jb, 4) AS jb_stat,
+       round(exp(-jb / 2), 6) AS jb_pvalue, round(rmse, 6) AS test_rmse,
+       round(CASE WHEN rmse > 0 THEN 100 * (loro_mean - rmse) / rmse END, 6) AS loro_vs_test_pct
+FROM jb CROSS JOIN ls""")
+def key_metrics(spark, sf):
+    """One row: held-out-site error, residual normality (Jarque-Bera) and test error of ref_bias."""
+    from ..operators import diagnostics as D
+    p = _holdout_preds(spark, sf, models=("ref_bias",)).withColumn("r", F.col("y") - F.col("pred"))
+    nb = D.jarque_bera(p, "r").select("jb_stat", "jb_pvalue")
+    t = p.agg(F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("test_rmse"))
+    lm = _loro_metrics(spark, sf).agg(F.avg("rmse").alias("loro_rmse_mean"), F.stddev_pop("rmse").alias("loro_rmse_std"))
+    j = lm.crossJoin(nb).crossJoin(t)
+    j = j.withColumn("loro_vs_test_pct", F.when(F.col("test_rmse") > 0, F.lit(100) * (F.col("loro_rmse_mean") - F.col("test_rmse")) / F.col("test_rmse")))
+    out = rounded(j.drop("jb_stat")).join(rounded(j.select("jb_stat"), 4), how="cross")
+    return out
+
+
+@query("summary_report", S.with_(*HOLD_CTES, _HM, *_FO_LO, _CVP, _naive_leave_out("site", "cc").replace("ks AS", "ks2 AS").replace("lo AS", "lo2 AS").replace("FROM ks JOIN", "FROM ks2 ks JOIN")) + f"""
+, lm AS (SELECT site, sqrt(avg((y - (ref + bias)) * (y - (ref + bias)))) AS rmse FROM cc JOIN lo2 USING (site) GROUP BY site)
+SELECT arg_min(h.model, h.rmse) AS best_model, round(min(h.rmse), 6) AS best_rmse,
+       round(any_value(b.rmse), 6) AS baseline_rmse,
+       round(((any_value(b.rmse) - min(h.rmse)) * 100) / any_value(b.rmse), 6) AS improvement_pct,
+       round(any_value(c.rmse_mean), 6) AS cv_rmse_ref_bias, round((SELECT avg(rmse) FROM lm), 6) AS loro_rmse_ref_bias
+FROM hm h CROSS JOIN (SELECT rmse FROM hm WHERE model = 'ref') b CROSS JOIN (SELECT rmse_mean FROM cvs WHERE model = 'ref_bias') c""")
+def summary_report(spark, sf):
+    """The run's summary row: best holdout model, improvement over ref, CV and held-out-site error."""
+    hm = _holdout_metrics(spark, sf)
+    best = hm.agg(F.min_by("model", "rmse").alias("best_model"), F.min("rmse").alias("best_rmse"))
+    base = hm.filter(F.col("model") == "ref").select(F.col("rmse").alias("baseline_rmse"))
+    cv = _cv_summary(spark, sf).filter(F.col("model") == "ref_bias").select(F.col("rmse_mean").alias("cv_rmse_ref_bias"))
+    lo = _loro_metrics(spark, sf).agg(F.avg("rmse").alias("loro_rmse_ref_bias"))
+    j = best.crossJoin(base).crossJoin(cv).crossJoin(lo)
+    return rounded(j.withColumn("improvement_pct", X.pct_improvement("baseline_rmse", "best_rmse")))

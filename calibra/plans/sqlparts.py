@@ -77,8 +77,9 @@ def grid_round(sql: str, digits: int = 6) -> str:
             k += 1
         inner = sql[j + len(key):k - 1]
         expr, _, d = inner.rpartition(",")
-        if d.strip() != str(digits):
+        if not d.strip().isdigit():
             out.append(sql[i:k])
         else:
-            out.append(sql[i:j] + f"(floor(({grid_round(expr, digits)}) * {float(10 ** digits)} + 0.5) / {float(10 ** digits)})")
+            f = float(10 ** int(d.strip()))
+            out.append(sql[i:j] + f"(floor(({grid_round(expr, digits)}) * {f} + 0.5) / {f})")
         i = k
