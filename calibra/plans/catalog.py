@@ -551,7 +551,7 @@ def loro_summary(spark, sf):
     Quartiles interpolate between two sites and are compared on a 1e-5 grid."""
     d = _loro_summary_df(_loro_metrics(spark, sf))
     q = ["rmse_q1", "rmse_median", "rmse_q3"]
-    return rounded(d).withColumns({c: snap(d[c], 5) for c in q})
+    return rounded(d.withColumns({c: snap(F.col(c), 5) for c in q}))
 
 
 @query("size_error_corr", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc"), _LORO) + """
