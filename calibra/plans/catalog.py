@@ -37,8 +37,9 @@ def snap(c, digits: int = 6):
     return F.floor(c * F.lit(k) + F.lit(0.5)) / F.lit(k)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select([snap(F.col(f.name), digits).alias(f.name)
+def rounded(df: DataFrame, digits: int = 6, per_col: dict | None = None) -> DataFrame:
+    per_col = per_col or {}
+    return df.select([snap(F.col(f.name), per_col.get(f.name, digits)).alias(f.name)
                       if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
                       for f in df.schema.fields])
 
@@ -551,7 +552,7 @@ def loro_summary(spark, sf):
     Quartiles interpolate between two sites and are compared on a 1e-5 grid."""
     d = _loro_summary_df(_loro_metrics(spark, sf))
     q = ["rmse_q1", "rmse_median", "rmse_q3"]
-    return rounded(d.withColumns({c: snap(F.col(c), 5) for c in q}))
+    return rounded(d, per_col={c: 5 for c in q})
 
 
 @query("size_error_corr", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc"), _LORO) + """
@@ -633,8 +634,7 @@ def key_metrics(spark, sf):
     lm = _loro_metrics(spark, sf).agg(F.avg("rmse").alias("loro_rmse_mean"), F.stddev_pop("rmse").alias("loro_rmse_std"))
     j = lm.crossJoin(nb).crossJoin(t)
     j = j.withColumn("loro_vs_test_pct", F.when(F.col("test_rmse") > 0, F.lit(100) * (F.col("loro_rmse_mean") - F.col("test_rmse")) / F.col("test_rmse")))
-    out = rounded(j.drop("jb_stat")).join(rounded(j.select("jb_stat"), 4), how="cross")
-    return out
+    return rounded(j, per_col={"jb_stat": 4})
 
 
 @query("summary_report", S.with_(*HOLD_CTES, _HM, *_FO_LO, _CVP, _naive_leave_out("site", "cc").replace("ks AS", "ks2 AS").replace("lo AS", "lo2 AS").replace("FROM ks JOIN", "FROM ks2 ks JOIN")) + f"""
