@@ -18,3 +18,88 @@ def jarque_bera(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     g = df.groupBy(*by).agg(n.alias("n"), s.alias("skew"), k.alias("excess_kurt"))
     jb = F.col("n") / 6.0 * (F.col("skew") * F.col("skew") + F.col("excess_kurt") * F.col("excess_kurt") / 4)
     return g.withColumn("jb_stat", jb).withColumn("jb_pvalue", F.exp(-F.col("jb_stat") / 2))
+
+
+def quartiles(col: str):
+    return F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+
+
+def describe_long(df: DataFrame, cols: list[str]) -> DataFrame:
+    """count, mean, sample std, min, 25 %, 50 %, 75 %, max of each column, in long layout
+    (variable, stat, value): one aggregate pass, exact percentiles, then ``unpivot``."""
+    aggs = []
+    for c in cols:
+        q = quartiles(c)
+        aggs += [F.count(c).cast("double").alias(f"{c}|count"), F.avg(c).alias(f"{c}|mean"),
+                 F.stddev_samp(c).alias(f"{c}|std"), F.min(c).cast("double").alias(f"{c}|min"),
+                 q.alias(f"{c}|q"), F.max(c).cast("double").alias(f"{c}|max")]
+    wide = df.agg(*aggs)
+    wide = wide.select(*[F.col(f"`{c}|{s}`").alias(f"{c}|{s}") for c in cols for s in ("count", "mean", "std", "min", "max")],
+                       *[F.col(f"`{c}|q`")[i].alias(f"{c}|{s}") for c in cols for i, s in enumerate(("25%", "50%", "75%"))])
+    long = wide.unpivot([], [F.col(f"`{c}`") for c in wide.columns], "key", "value")
+    return long.select(F.split("key", r"\|")[0].alias("variable"), F.split("key", r"\|")[1].alias("stat"), "value")
+
+
+def histogram(df: DataFrame, col: str, bins: int = 20, by: list[str] = ()) -> DataFrame:
+    """Equal-width histogram between min and max, last bin closed (as NumPy).
+    Two passes: the (per-group) extent, broadcast back (one row per group), then counts per bin."""
+    ext = df.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
+    j = df.crossJoin(F.broadcast(ext)) if not by else df.join(F.broadcast(ext), list(by))
+    w = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
+    b = F.least(F.floor(F.try_divide(F.col(col) - F.col("_mn"), w)), F.lit(bins - 1))
+    j = j.withColumn("bin", F.coalesce(b, F.lit(0)).cast("bigint"))
+    g = j.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.first("_mn").alias("_mn"), F.first("_mx").alias("_mx"))
+    w = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
+    return g.select(*by, "bin", "n", (F.col("_mn") + F.col("bin") * w).alias("lo"),
+                    (F.col("_mn") + (F.col("bin") + 1) * w).alias("hi"))
+
+
+def box_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+    """Box-plot numbers per group: quartiles, IQR, whiskers (extreme values within 1.5 IQR),
+    outlier count and notch (median +- 1.57 IQR / sqrt(n)). Quartiles are one row per
+    group (bounded by the number of groups) and are broadcast to the second pass."""
+    q = df.groupBy(*by).agg(F.count(col).alias("n"), quartiles(col).alias("_q")) \
+          .select(*by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
+    j = df.join(F.broadcast(q), list(by))
+    lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
+    v = F.col(col)
+    w = j.groupBy(*by).agg(F.min(F.when(v >= lo, v)).alias("whisker_lo"), F.max(F.when(v <= hi, v)).alias("whisker_hi"),
+                           F.count(F.when((v < lo) | (v > hi), 1)).alias("n_outliers"))
+    out = q.join(w, list(by))
+    notch = 1.57 * F.col("iqr") / F.sqrt(F.col("n"))
+    return out.withColumn("notch_lo", F.col("median") - notch).withColumn("notch_hi", F.col("median") + notch)
+
+
+def normal_grid(m: int = 20) -> list[tuple[int, float, float]]:
+    """(i, p_i, z_i) with p_i = (i - 0.5) / m and z_i the standard normal quantile (m literals)."""
+    from statistics import NormalDist
+    nd = NormalDist()
+    return [(i, (i - 0.5) / m, nd.inv_cdf((i - 0.5) / m)) for i in range(1, m + 1)]
+
+
+def qq_grid(df: DataFrame, col: str, m: int = 20) -> DataFrame:
+    """Sample quantiles of ``col`` at m probability points against normal quantiles.
+    One aggregate (exact percentile array); the grid itself is m literal rows."""
+    grid = normal_grid(m)
+    q = df.agg(F.percentile(col, F.array(*[F.lit(p) for _, p, _ in grid])).alias("_q"))
+    theo = F.array(*[F.lit(z) for _, _, z in grid])
+    probs = F.array(*[F.lit(p) for _, p, _ in grid])
+    z = q.select(F.posexplode(F.arrays_zip(F.col("_q").alias("sample_q"), theo.alias("theo_q"), probs.alias("p"))))
+    return z.select((F.col("pos") + 1).cast("bigint").alias("i"), F.col("col.p").alias("p"),
+                    F.col("col.sample_q").alias("sample_q"), F.col("col.theo_q").alias("theo_q"))
+
+
+def extents(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """Common axis range of two columns per group."""
+    return df.groupBy(*by).agg(F.min(F.least(a, b)).alias("lo"), F.max(F.greatest(a, b)).alias("hi"))
+
+
+def fit_line(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
+    """Least-squares line y ~ x per group (slope, intercept, r)."""
+    return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+                               F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def moments(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
+    return jarque_bera(df, col, by)

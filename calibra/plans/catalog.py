@@ -653,3 +653,150 @@ def summary_report(spark, sf):
     lo = _loro_metrics(spark, sf).agg(F.avg("rmse").alias("loro_rmse_ref_bias"))
     j = best.crossJoin(base).crossJoin(cv).crossJoin(lo)
     return rounded(j.withColumn("improvement_pct", X.pct_improvement("baseline_rmse", "best_rmse")))
+
+
+# ---------------------------------------------------------------- step 6: descriptive statistics and diagnostics
+
+from ..operators import diagnostics as D  # noqa: E402
+from ..operators import timeseries as TS  # noqa: E402
+
+
+@query("dataset_counts", S.with_(S.obs_cte(), S.CC) + """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT site) AS BIGINT) AS n_sites,
+       CAST(count(DISTINCT date_trunc('month', obs_date)) AS BIGINT) AS n_months FROM cc""")
+def dataset_counts(spark, sf):
+    c = _clean(spark, sf)
+    return c.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("site").alias("n_sites"),
+                 F.countDistinct(X.month_key("obs_date")).alias("n_months"))
+
+
+@query("class_counts", S.with_(S.obs_cte(), S.CC, S.site_cls_cte()) + """
+SELECT cls, CAST(count(*) AS BIGINT) AS n FROM clsd GROUP BY cls ORDER BY n DESC""")
+def class_counts(spark, sf):
+    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
+    return c.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"))
+
+
+@query("site_mean", S.with_(S.obs_cte(), S.CC) + """
+SELECT site, round(avg(y), 6) AS site_mean, CAST(count(*) AS BIGINT) AS site_n FROM cc GROUP BY site""")
+def site_mean(spark, sf):
+    return rounded(C.site_means(_clean(spark, sf)))
+
+
+_DESC_STATS = [("count", "CAST(count({c}) AS DOUBLE)"), ("mean", "avg({c})"), ("std", "stddev_samp({c})"),
+               ("min", "min({c})"), ("25%", "quantile_cont({c}, 0.25)"), ("50%", "quantile_cont({c}, 0.5)"),
+               ("75%", "quantile_cont({c}, 0.75)"), ("max", "max({c})")]
+
+
+@query("describe_long", S.with_(S.obs_cte(), S.CC) + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS variable, '{s}' AS stat, round({e.format(c=c)}, 5) AS value FROM cc"
+    for c in ("ref", "s2", "s3", "y") for s, e in _DESC_STATS))
+def describe_long(spark, sf):
+    """describe() of the four numeric columns in long layout (variable, stat, value)."""
+    return rounded(D.describe_long(_clean(spark, sf), ["ref", "s2", "s3", "y"]), digits=5)
+
+
+@query("site_share", S.with_(S.obs_cte(), S.CC) + f"""
+, c AS (SELECT *, {S.class_case('y', P.value_cuts)} AS cls FROM cc),
+g AS (SELECT cls, count(DISTINCT site) AS n_sites FROM c GROUP BY cls)
+SELECT cls, CAST(n_sites AS BIGINT) AS n_sites, round(n_sites * 100.0 / sum(n_sites) OVER (), 6) AS share_pct FROM g""")
+def site_share(spark, sf):
+    """Distinct sites per row-value class and their share of the class-site pairs (a site counts in
+    every class it has rows in). The window runs over the 3-row result only."""
+    c = C.class_by_value(_clean(spark, sf), cuts=P.value_cuts)
+    g = c.groupBy("cls").agg(F.countDistinct("site").alias("n_sites"))
+    from pyspark.sql import Window
+    return rounded(g.withColumn("share_pct", F.col("n_sites") * 100.0 / F.sum("n_sites").over(Window.partitionBy())))
+
+
+_MONTHLY = """mp AS (SELECT CAST(date_trunc('month', obs_date) AS DATE) AS month, avg(y) AS mean_y, stddev_samp(y) AS std_y,
+   CAST(count(*) AS BIGINT) AS n, avg(ref) AS mean_ref, avg(s2) AS mean_s2, avg(s3) AS mean_s3 FROM cc GROUP BY 1)"""
+
+
+@query("monthly_profile", S.with_(S.obs_cte(), S.CC, _MONTHLY) + """
+SELECT month, round(mean_y, 6) AS mean_y, round(std_y, 6) AS std_y, n, round(mean_ref, 6) AS mean_ref,
+       round(mean_s2, 6) AS mean_s2, round(mean_s3, 6) AS mean_s3 FROM mp""")
+def monthly_profile(spark, sf):
+    return rounded(TS.monthly_profile(_clean(spark, sf)))
+
+
+@query("tick_labels", S.with_(S.obs_cte(), S.CC, _MONTHLY) + """
+, ps AS (SELECT month, CAST(row_number() OVER (ORDER BY month) AS BIGINT) AS pos, count(*) OVER () AS nm FROM mp)
+SELECT month, pos, strftime(month, '%Y-%m') AS label FROM ps WHERE (pos - 1) % greatest(1, nm // 10) = 0""")
+def tick_labels(spark, sf):
+    return TS.tick_labels(TS.monthly_profile(_clean(spark, sf)), target=10)
+
+
+@query("fit_line", S.with_(*HOLD_CTES) + """
+SELECT model, round(regr_slope(pred, y), 6) AS slope, round(regr_intercept(pred, y), 6) AS intercept,
+       round(corr(y, pred), 6) AS r, CAST(count(*) AS BIGINT) AS n FROM pl GROUP BY model""")
+def fit_line(spark, sf):
+    """Least-squares line of predicted on observed for every model (the 1:1 panel's fit)."""
+    return rounded(D.fit_line(_holdout_preds(spark, sf), "y", "pred", ["model"]))
+
+
+_RES = """rs AS (SELECT y - pred AS r FROM pl WHERE model = 'ref_bias')"""
+_RES0 = """rs AS (SELECT y - pred AS r FROM pl WHERE model = 'ref')"""
+
+
+@query("residual_hist", S.with_(*HOLD_CTES, _RES0) + """
+, ex AS (SELECT min(r) AS mn, max(r) AS mx FROM rs),
+b AS (SELECT CAST(least(floor((r - mn) / ((mx - mn) / 20)), 19) AS BIGINT) AS bin, mn, mx FROM rs CROSS JOIN ex)
+SELECT bin, CAST(count(*) AS BIGINT) AS n, round(any_value(mn) + bin * ((any_value(mx) - any_value(mn)) / 20), 6) AS lo,
+       round(any_value(mn) + (bin + 1) * ((any_value(mx) - any_value(mn)) / 20), 6) AS hi FROM b GROUP BY bin""")
+def residual_hist(spark, sf):
+    """20-bin histogram of the ref baseline's test residuals (a constant bias shift leaves the
+    counts of an equal-width min-max histogram unchanged)."""
+    r = _holdout_preds(spark, sf, models=("ref",)).withColumn("r", F.col("y") - F.col("pred"))
+    return rounded(D.histogram(r, "r", 20))
+
+
+@query("box_stats", S.with_(S.obs_cte(), S.CC, S.SPLIT, _HOLD,
+                            f"sm AS (SELECT site, {S.class_case('avg(y)', P.site_cuts, False)} AS cls FROM cc GROUP BY site)") + """
+, rs AS (SELECT sm.cls, y - pred AS r FROM pl JOIN sm USING (site) WHERE model = 'ref_bias'),
+q AS (SELECT cls, count(*) AS n, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.5) AS median, quantile_cont(r, 0.75) AS q3 FROM rs GROUP BY cls),
+w AS (SELECT cls, min(CASE WHEN r >= q1 - 1.5 * (q3 - q1) THEN r END) AS wlo, max(CASE WHEN r <= q3 + 1.5 * (q3 - q1) THEN r END) AS whi,
+        count(*) FILTER (WHERE r < q1 - 1.5 * (q3 - q1) OR r > q3 + 1.5 * (q3 - q1)) AS nout FROM rs JOIN q USING (cls) GROUP BY cls)
+SELECT cls, CAST(n AS BIGINT) AS n, round(q1, 5) AS q1, round(median, 5) AS median, round(q3, 5) AS q3,
+       round(q3 - q1, 5) AS iqr, round(wlo, 5) AS whisker_lo, round(whi, 5) AS whisker_hi, CAST(nout AS BIGINT) AS n_outliers,
+       round(median - 1.57 * (q3 - q1) / sqrt(n), 5) AS notch_lo, round(median + 1.57 * (q3 - q1) / sqrt(n), 5) AS notch_hi
+FROM q JOIN w USING (cls)""")
+def box_stats(spark, sf):
+    """Box-plot numbers of the bias-corrected residuals per site class."""
+    p = _holdout_preds(spark, sf, ids=("site", "rk", "cls"), with_cls=True, models=("ref_bias",))
+    r = p.withColumn("r", F.col("y") - F.col("pred"))
+    return rounded(D.box_stats(r, "r", ["cls"]), digits=5)
+
+
+@query("normality_jb", S.with_(*HOLD_CTES) + """
+, rs AS (SELECT model, y - pred AS r FROM pl),
+mo AS (SELECT model, count(*) AS n, avg(r) AS mu FROM rs GROUP BY model),
+cm AS (SELECT model, any_value(n) AS n, avg((r - mu) * (r - mu)) AS m2, avg((r - mu) * (r - mu) * (r - mu)) AS m3,
+              avg((r - mu) * (r - mu) * (r - mu) * (r - mu)) AS m4 FROM rs JOIN mo USING (model) GROUP BY model),
+sk AS (SELECT model, n, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) - 3 AS ek FROM cm)
+SELECT model, CAST(n AS BIGINT) AS n, round(skew, 5) AS skew, round(ek, 5) AS excess_kurt,
+       round(n / 6.0 * (skew * skew + ek * ek / 4), 2) AS jb_stat, round(exp(-(n / 6.0 * (skew * skew + ek * ek / 4)) / 2), 6) AS jb_pvalue
+FROM sk""")
+def normality_jb(spark, sf):
+    """Jarque-Bera normality of every model's residuals (scalable stand-in for Shapiro-Wilk)."""
+    r = _holdout_preds(spark, sf).withColumn("r", F.col("y") - F.col("pred"))
+    return rounded(D.jarque_bera(r, "r", ["model"]), per_col={"skew": 5, "excess_kurt": 5, "jb_stat": 2})
+
+
+_QQ = D.normal_grid(20)
+
+
+@query("qq_grid", S.with_(*HOLD_CTES, _RES) + """
+, g(i, p, theo_q) AS (VALUES """ + ", ".join(f"({i}, {p!r}, {z!r})" for i, p, z in _QQ) + """)
+   , qs AS (SELECT quantile_cont(r, [""" + ", ".join(repr(p) for _, p, _ in _QQ) + """]) AS q FROM rs)
+SELECT CAST(i AS BIGINT) AS i, round(p, 6) AS p, round(q[i], 5) AS sample_q, round(theo_q, 6) AS theo_q FROM g CROSS JOIN qs""")
+def qq_grid(spark, sf):
+    """Quantile-quantile points of the bias-corrected residuals against the normal distribution."""
+    r = _holdout_preds(spark, sf, models=("ref_bias",)).withColumn("r", F.col("y") - F.col("pred"))
+    return rounded(D.qq_grid(r, "r", 20), per_col={"sample_q": 5})
+
+
+@query("extents", S.with_(*HOLD_CTES) + """
+SELECT model, round(min(least(y, pred)), 6) AS lo, round(max(greatest(y, pred)), 6) AS hi FROM pl GROUP BY model""")
+def extents(spark, sf):
+    return rounded(D.extents(_holdout_preds(spark, sf), "y", "pred", ["model"]))
