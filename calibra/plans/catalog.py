@@ -800,3 +800,133 @@ def qq_grid(spark, sf):
 SELECT model, round(min(least(y, pred)), 6) AS lo, round(max(greatest(y, pred)), 6) AS hi FROM pl GROUP BY model""")
 def extents(spark, sf):
     return rounded(D.extents(_holdout_preds(spark, sf), "y", "pred", ["model"]))
+
+
+# ---------------------------------------------------------------- step 7: ranking, matrices, importance tables
+
+from ..operators import ranking as RK  # noqa: E402
+
+_RANK_SQL = """, rk1 AS (SELECT *, CAST(row_number() OVER (ORDER BY rmse, model) AS BIGINT) AS rank FROM hm)"""
+
+
+@query("model_ranking", S.with_(*HOLD_CTES, _HM) + _RANK_SQL + """
+SELECT model, round(rmse, 6) AS rmse, rank FROM rk1""")
+def model_ranking(spark, sf):
+    return rounded(RK.rank_by(_holdout_metrics(spark, sf), "rmse").select("model", "rmse", "rank"))
+
+
+@query("best_model", S.with_(*HOLD_CTES, _HM) + """
+SELECT model, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM hm ORDER BY rmse, model LIMIT 1""")
+def best_model(spark, sf):
+    return rounded(RK.best(_holdout_metrics(spark, sf)).select("model", "rmse", "r2"))
+
+
+@query("topk_models", S.with_(*HOLD_CTES, _HM) + """
+SELECT model, round(rmse, 6) AS rmse FROM hm ORDER BY rmse, model LIMIT 3""")
+def topk_models(spark, sf):
+    return rounded(RK.top_k(_holdout_metrics(spark, sf), "rmse", 3).select("model", "rmse"))
+
+
+@query("valid_models", S.with_(*HOLD_CTES, _HM) + """
+SELECT model, round(rmse, 6) AS rmse, round(r2, 6) AS r2 FROM hm WHERE r2 > -2""")
+def valid_models(spark, sf):
+    return rounded(RK.valid(_holdout_metrics(spark, sf)).select("model", "rmse", "r2"))
+
+
+# a preference list as a user would write it; one name is absent from the results on purpose
+PREFERRED = ["line_ref", "ref_bias", "ridge_a0.1", "ref"]
+
+
+@query("preferred_models", S.with_(*HOLD_CTES, _HM) + """
+, pref(pos, model) AS (VALUES """ + ", ".join(f"({i + 1}, '{n}')" for i, n in enumerate(PREFERRED)) + """)
+SELECT CAST(pos AS BIGINT) AS pos, model, round(rmse, 6) AS rmse, rmse IS NOT NULL AS present
+FROM pref LEFT JOIN hm USING (model)""")
+def preferred_models(spark, sf):
+    """Models of a preference list in list order; missing names are reported, not dropped silently."""
+    r = RK.preferred(spark, _holdout_metrics(spark, sf).select("model", "rmse"), PREFERRED)
+    return rounded(r.select("pos", "model", "rmse", "present"))
+
+
+_CLS_METRICS = f"""sm AS (SELECT site, {S.class_case('avg(y)', P.site_cuts, False)} AS cls FROM cc GROUP BY site),
+cm AS (SELECT model, cls, sqrt(avg({_e2()})) AS rmse FROM pl JOIN sm USING (site) GROUP BY model, cls)"""
+
+
+def _class_metrics(spark, sf):
+    p = _holdout_preds(spark, sf, ids=("site", "rk", "cls"), with_cls=True)
+    return M.metric_bundle(p, ["model", "cls"])
+
+
+@query("rmse_matrix", S.with_(*HOLD_CTES, _CLS_METRICS) + "SELECT cls, " + ", ".join(
+    f"round(max(CASE WHEN model = '{m}' THEN rmse END), 6) AS {m}" for m in BL.BASELINE_MODELS) + " FROM cm GROUP BY cls")
+def rmse_matrix(spark, sf):
+    """Class x model RMSE matrix (pivot with explicit model list)."""
+    cm = _class_metrics(spark, sf)
+    return rounded(RK.pivot_matrix(cm, "cls", "model", "rmse", list(BL.BASELINE_MODELS)))
+
+
+@query("best_worst_class", S.with_(*HOLD_CTES, _CLS_METRICS) + """
+SELECT model, arg_min(cls, rmse) AS best_cls, arg_max(cls, rmse) AS worst_cls, round(avg(rmse), 6) AS mean_rmse
+FROM cm GROUP BY model""")
+def best_worst_class(spark, sf):
+    return rounded(RK.best_worst(_class_metrics(spark, sf), "model", "cls", "rmse"))
+
+
+# importance stand-in computable in SQL: |corr(feature, y)| on the training rows, per feature set
+_IMP_SETS = {"orig16": [n for n, _ in _EXT16 if n != "ref_x_log_s3"] + ["s2_x_ref", "s3_x_ref"],
+             "ext16": [n for n, _ in _EXT16] + ["all_agree"]}
+_IMP_EXPR = dict(_EXT16 + [("s2_x_ref", "s2 * ref / 1000"), ("s3_x_ref", "s3 * ref / 1000"),
+                           ("all_agree", _FLAG.rsplit(" AS ", 1)[0])])
+_IMP_SQL = "fe AS (SELECT y, " + ", ".join(f"{e} AS {n}" for n, e in _IMP_EXPR.items()) + \
+    " FROM sp WHERE NOT is_test),\nimp AS (" + "\n UNION ALL ".join(
+        f"SELECT '{a}' AS approach, '{f}' AS feature, abs(corr({f}, y)) AS importance FROM fe"
+        for a, fs in _IMP_SETS.items() for f in fs) + """),
+it AS (SELECT *, importance * 100 / sum(importance) OVER (PARTITION BY approach) AS share_pct,
+   CAST(row_number() OVER (PARTITION BY approach ORDER BY importance DESC, feature) AS BIGINT) AS rank FROM imp),
+ic AS (SELECT *, sum(share_pct) OVER (PARTITION BY approach ORDER BY importance DESC, feature
+   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_pct FROM it)"""
+
+
+def _corr_importance(spark, sf):
+    """|corr(feature, y)| of every feature of two sets, all in one aggregate pass over the training rows."""
+    tr = _split(spark, sf).filter(~F.col("is_test"))
+    feats = {n: c for n, c in FT.ext16(P.flag_cuts) + FT.orig16()}
+    f = tr.select("y", *[c.alias(n) for n, c in feats.items()])
+    wide = f.agg(*[F.abs(F.corr(n, "y")).alias(n) for n in feats])
+    longs = [wide.select(F.lit(a).alias("approach"), F.explode(F.map_from_arrays(
+        F.array(*[F.lit(n) for n in fs]), F.array(*[F.col(n) for n in fs]))).alias("feature", "importance"))
+        for a, fs in _IMP_SETS.items()]
+    out = longs[0]
+    for x in longs[1:]:
+        out = out.unionByName(x)
+    return RK.importance_table(out, ["approach"])
+
+
+@query("importance_rank", S.with_(S.obs_cte(), S.CC, S.SPLIT, _IMP_SQL) + """
+SELECT approach, feature, round(importance, 6) AS importance, rank FROM ic""")
+def importance_rank(spark, sf):
+    return rounded(_corr_importance(spark, sf).select("approach", "feature", "importance", "rank"))
+
+
+@query("importance_share", S.with_(S.obs_cte(), S.CC, S.SPLIT, _IMP_SQL) + """
+SELECT approach, feature, round(share_pct, 6) AS share_pct FROM ic""")
+def importance_share(spark, sf):
+    return rounded(_corr_importance(spark, sf).select("approach", "feature", "share_pct"))
+
+
+@query("importance_cumulative", S.with_(S.obs_cte(), S.CC, S.SPLIT, _IMP_SQL) + """
+SELECT approach, rank, round(cum_pct, 6) AS cum_pct FROM ic""")
+def importance_cumulative(spark, sf):
+    return rounded(_corr_importance(spark, sf).select("approach", "rank", "cum_pct"))
+
+
+@query("features_for_80", S.with_(S.obs_cte(), S.CC, S.SPLIT, _IMP_SQL) + """
+SELECT approach, min(CASE WHEN cum_pct >= 80 THEN rank END) AS n_features FROM ic GROUP BY approach""")
+def features_for_80(spark, sf):
+    return RK.features_needed(_corr_importance(spark, sf), ["approach"], 80.0)
+
+
+@query("importance_concentration", S.with_(S.obs_cte(), S.CC, S.SPLIT, _IMP_SQL) + """
+SELECT approach, round(sum(CASE WHEN rank <= 5 THEN share_pct END), 6) AS top5_pct,
+       CAST(count(*) FILTER (WHERE share_pct > 5) AS BIGINT) AS n_above FROM ic GROUP BY approach""")
+def importance_concentration(spark, sf):
+    return rounded(RK.concentration(_corr_importance(spark, sf), ["approach"], 5, 5.0))
