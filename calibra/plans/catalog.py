@@ -930,3 +930,73 @@ SELECT approach, round(sum(CASE WHEN rank <= 5 THEN share_pct END), 6) AS top5_p
        CAST(count(*) FILTER (WHERE share_pct > 5) AS BIGINT) AS n_above FROM ic GROUP BY approach""")
 def importance_concentration(spark, sf):
     return rounded(RK.concentration(_corr_importance(spark, sf), ["approach"], 5, 5.0))
+
+
+# ---------------------------------------------------------------- step 8: linear family (Gram route)
+
+from ..operators import linear as L  # noqa: E402
+from . import evaluation as EV  # noqa: E402
+
+
+def _det3(m):
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"(({a}) * (({e}) * ({i}) - ({f}) * ({h})) - ({b}) * (({d}) * ({i}) - ({f}) * ({g})) + ({c}) * (({d}) * ({h}) - ({e}) * ({g})))"
+
+
+def _ols3_sql(cols, src_filter):
+    cv = [[f"covar_pop({a}, {b})" for b in cols] for a in cols]
+    cy = [f"covar_pop({a}, y)" for a in cols]
+    stats = ", ".join([f"avg(y) AS my"] + [f"avg({c}) AS m{i}" for i, c in enumerate(cols)]
+                      + [f"{cv[i][j]} AS c{i}{j}" for i in range(3) for j in range(3)]
+                      + [f"{cy[i]} AS y{i}" for i in range(3)])
+    C = [[f"c{i}{j}" for j in range(3)] for i in range(3)]
+    dets = []
+    for k in range(3):
+        Mk = [[(f"y{i}" if j == k else C[i][j]) for j in range(3)] for i in range(3)]
+        dets.append(f"{_det3(Mk)} / {_det3(C)} AS b{k}")
+    return f"""g AS (SELECT {stats} FROM {src_filter}),
+cf AS (SELECT *, {", ".join(dets)} FROM g)"""
+
+
+@query("ols3_coeffs", S.with_(S.obs_cte(), S.CC, S.SPLIT, _ols3_sql(["ref", "s2", "s3"], "sp WHERE NOT is_test")) + """
+SELECT 'linear' AS model, round(my - b0 * m0 - b1 * m1 - b2 * m2, 6) AS intercept,
+       round(b0, 6) AS b_ref, round(b1, 6) AS b_s2, round(b2, 6) AS b_s3 FROM cf""")
+def ols3_coeffs(spark, sf):
+    """Least squares of y on the three raw sensors over the training rows, from one Gram aggregate."""
+    coefs, _ = EV.holdout_linear(_split(spark, sf), "raw3", specs=(L.LinearSpec("linear", "ols"),))
+    return rounded(coefs)
+
+
+def _linear_cv(spark, sf, names=None):
+    _, preds = EV.kfold_linear(_clean(spark, sf), "optimized10", P.k)
+    if names:
+        preds = preds.filter(F.col("model").isin(names))
+    return EV.cv_summary(preds)
+
+
+@query("linear_cv")
+def linear_cv(spark, sf):
+    """5-fold CV of OLS, Ridge, Lasso, ElasticNet on the optimized10 features (leak-free per fold)."""
+    return _linear_cv(spark, sf)
+
+
+@query("ridge_cv")
+def ridge_cv(spark, sf):
+    return _linear_cv(spark, sf, ["ridge"])
+
+
+@query("lasso_cv")
+def lasso_cv(spark, sf):
+    return _linear_cv(spark, sf, ["lasso"])
+
+
+@query("elasticnet_cv")
+def elasticnet_cv(spark, sf):
+    return _linear_cv(spark, sf, ["elasticnet"])
+
+
+@query("linear_holdout")
+def linear_holdout(spark, sf):
+    """Holdout fit of the linear family on optimized10, scored on the test rows."""
+    _, preds = EV.holdout_linear(_split(spark, sf), "optimized10")
+    return M.metric_bundle(preds, ["model"])
