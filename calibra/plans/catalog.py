@@ -1000,3 +1000,41 @@ def linear_holdout(spark, sf):
     """Holdout fit of the linear family on optimized10, scored on the test rows."""
     _, preds = EV.holdout_linear(_split(spark, sf), "optimized10")
     return M.metric_bundle(preds, ["model"])
+
+
+# ---------------------------------------------------------------- step 9a: zone-adaptive correction (exact)
+
+from ..operators import ensembles as EN  # noqa: E402
+
+_TZ = f"""tz AS (SELECT *, CASE WHEN s2 < {P.zone_cuts[0]} AND s3 < {P.zone_cuts[1]} THEN 'reliable' ELSE 'extreme' END AS zone,
+   ln(1 + s2) AS ls2, ln(1 + s3) AS ls3 FROM sp)"""
+_ADAPT = _ols3_sql(["ref", "ls2", "ls3"], "tz WHERE NOT is_test AND zone = 'reliable'").replace(
+    "g AS (SELECT avg(y) AS my", "g AS (SELECT count(*) AS nr, avg(y) AS my") + """,
+be AS (SELECT avg(y - ref) AS bias FROM tz WHERE NOT is_test AND zone = 'extreme'),
+pa AS (SELECT zone, y, CASE WHEN zone = 'reliable' THEN (CASE WHEN nr > 10 THEN
+          (my - b0 * m0 - b1 * m1 - b2 * m2) + b0 * ref + b1 * ls2 + b2 * ls3 END) ELSE ref + bias END AS pred
+       FROM tz CROSS JOIN cf CROSS JOIN be WHERE is_test)"""
+
+
+def _adaptive_preds(spark, sf):
+    sp = _split(spark, sf)
+    coefs, bias = EN.fit_adaptive(sp.filter(~F.col("is_test")), P.zone_cuts)
+    return EN.predict_adaptive(sp.filter(F.col("is_test")), coefs, bias, P.zone_cuts).filter(F.col("pred").isNotNull())
+
+
+@query("adaptive_holdout", S.with_(S.obs_cte(), S.CC, S.SPLIT, _TZ, _ADAPT) + f"""
+SELECT CASE WHEN GROUPING(zone) = 1 THEN 'ALL' ELSE zone END AS zone, {S.metric_cols()}
+FROM pa WHERE pred IS NOT NULL GROUP BY GROUPING SETS ((zone), ())""")
+def adaptive_holdout(spark, sf):
+    """Zone-adaptive correction: least squares on (ref, log s2, log s3) in the reliable zone, bias-corrected
+    ref in the extreme zone; scored overall and per zone in one grouping-sets aggregate."""
+    p = _adaptive_preds(spark, sf).withColumn("model", F.lit("adaptive"))
+    return rounded(M.metrics_rollup(p, ["model"], ["zone"]).drop("model"))
+
+
+@query("adaptive_extreme", S.with_(S.obs_cte(), S.CC, S.SPLIT, _TZ, _ADAPT) + f"""
+SELECT 'extreme' AS zone, {S.metric_cols()} FROM pa WHERE zone = 'extreme'""")
+def adaptive_extreme(spark, sf):
+    """The extreme-zone branch of the adaptive model alone (bias-corrected ref)."""
+    p = _adaptive_preds(spark, sf).filter(F.col("zone") == "extreme")
+    return rounded(M.metric_bundle(p, ["zone"]))
