@@ -1038,3 +1038,70 @@ def adaptive_extreme(spark, sf):
     """The extreme-zone branch of the adaptive model alone (bias-corrected ref)."""
     p = _adaptive_preds(spark, sf).filter(F.col("zone") == "extreme")
     return rounded(M.metric_bundle(p, ["zone"]))
+
+
+# ---------------------------------------------------------------- step 9b: learners, ensembles, sweeps (rows-only)
+
+from . import modeling as MD  # noqa: E402
+from ..operators import learners as LR  # noqa: E402
+
+
+@query("huber_holdout")
+def huber_holdout(spark, sf):
+    """Huber regression (epsilon 1.35) on standardised optimized10 features, scored on the test rows."""
+    _, p = MD.learner_holdout(_split(spark, sf), "optimized10", LR.STUDY_HUBER, standardize=True)
+    return M.metric_bundle(p, ["model"])
+
+
+@query("gbt_holdout")
+def gbt_holdout(spark, sf):
+    _, p = MD.learner_holdout(_split(spark, sf), "optimized10", MD.LIGHT_GBT)
+    return M.metric_bundle(p, ["model"])
+
+
+@query("rf_importance")
+def rf_importance(spark, sf):
+    """Random-forest feature importances of optimized10 as share, rank and cumulative share."""
+    model, _ = MD.learner_holdout(_split(spark, sf), "optimized10", MD.LIGHT_RF)
+    imp = LR.tree_importance(spark, model, FT.names("optimized10"), "random_forest")
+    return RK.importance_table(imp, ["model"])
+
+
+@query("coef_importance")
+def coef_importance(spark, sf):
+    """|standardised coefficient| importances of ElasticNet and Ridge on three feature sets."""
+    return MD.coef_importance(_split(spark, sf))
+
+
+def _ensemble(spark, sf):
+    return MD.base_predictions(spark, sf, _split(spark, sf))
+
+
+@query("stacking_holdout")
+def stacking_holdout(spark, sf):
+    oof, test = _ensemble(spark, sf)
+    return M.metric_bundle(MD.stacking(oof, test), ["model"])
+
+
+@query("voting_holdout")
+def voting_holdout(spark, sf):
+    _, test = _ensemble(spark, sf)
+    return M.metric_bundle(MD.voting(test), ["model"])
+
+
+@query("weighted_holdout")
+def weighted_holdout(spark, sf):
+    """Simplex-weighted ensemble (weights fitted on out-of-fold predictions) with its weights."""
+    oof, test = _ensemble(spark, sf)
+    w, p = MD.weighted(oof, test)
+    return M.metric_bundle(p, ["model"]).crossJoin(w)
+
+
+@query("approach_compare")
+def approach_compare(spark, sf):
+    return MD.approach_compare(_split(spark, sf))
+
+
+@query("model_sweep")
+def model_sweep(spark, sf):
+    return MD.model_sweep(_clean(spark, sf), P.k)
