@@ -52,11 +52,12 @@ def leave_out_predictions(df: DataFrame, group: str, ids: list[str],
                           models=("ref", "ref_bias", "s2_r", "s3_r")) -> DataFrame:
     """Each row predicted by the models fitted without its group (k-fold or leave-one-group-out).
 
-    The per-group fit table is one row per group; it is joined without a hint (folds are
-    few, but held-out groups such as sites are not bounded), so AQE decides the strategy.
+    The per-group fit table is one row per group; folds are few, held-out groups such as
+    sites are not bounded, so it is attached with a checked size (``joins.attach``).
     """
+    from .joins import attach
     fits = leave_out_fit(df, group)
-    j = df.join(fits, group)
+    j = attach(df, fits, group)
     exprs = {
         "ref": F.col("ref"), "ref_bias": F.col("ref") + F.col("bias"),
         "s2_r": F.col("s2") * F.col("s2_scale") + F.col("s2_offset"),

@@ -35,15 +35,16 @@ def class_by_site_mean(df: DataFrame, site: str = "site", value: str = "y", cuts
                        labels=CLASS_LABELS, out: str = "cls") -> DataFrame:
     """Class of each row's site, from the site mean (mean <= c1 low, <= c2 mid, else high).
 
-    The per-site table is one row per site. It is joined without a broadcast hint:
-    the number of sites is not bounded by anything, so AQE decides from the runtime
-    size of the aggregated side (broadcast when small, shuffled join with skew
-    splitting otherwise). A window over the site would shuffle every row instead.
+    The per-site table is one row per site (partial aggregation, one shuffle of
+    per-site partials). The number of sites is data-dependent, so the table is
+    attached by ``joins.attach``: broadcast when its checked row count is small,
+    a shuffled join (AQE skew splitting) otherwise. A window over the site would
+    shuffle every row instead.
     """
+    from .joins import attach
     m = site_means(df, site, value).select(
         site, right_closed_class("site_mean", cuts, labels, null_at_or_below_zero=False).alias(out))
-    return (df.join(m, site, "left")
-              .withColumn(f"{out}_ord", class_ordinal(out, labels)))
+    return attach(df, m, site, "left").withColumn(f"{out}_ord", class_ordinal(out, labels))
 
 
 def with_agree_flag(df: DataFrame, cuts=(50.0, 500.0, 1000.0), out: str = "all_agree") -> DataFrame:

@@ -517,7 +517,7 @@ def cv_summary(spark, sf):
 
 
 _LORO = f"""lp AS (SELECT site, y, ref + bias AS pred FROM cc JOIN lo USING (site)),
-lm AS (SELECT site, {S.metric_cols()} FROM lp GROUP BY site)"""
+lm AS (SELECT site, {S.metric_cols(rounded=False)} FROM lp GROUP BY site)"""
 
 
 def _loro_metrics(spark, sf):
@@ -525,7 +525,8 @@ def _loro_metrics(spark, sf):
     return M.metric_bundle(p, ["site"])
 
 
-@query("loro_metrics", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc"), _LORO) + "SELECT * FROM lm")
+@query("loro_metrics", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc"), _LORO) + "SELECT site, n, "
+       + ", ".join(f"round({m}, 6) AS {m}" for m in S.METRIC_NAMES[1:]) + " FROM lm")
 def loro_metrics(spark, sf):
     """Leave-one-site-out: bias-corrected ref fitted without the site, scored on the site (R2 NULL for n=1)."""
     return rounded(_loro_metrics(spark, sf))

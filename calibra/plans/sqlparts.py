@@ -43,15 +43,19 @@ clsd AS (SELECT {src}.*, sm.cls FROM {src} LEFT JOIN sm USING (site))"""
 SPLIT = """sp AS (SELECT *, ((rk // 5) % 100) >= 70 AS is_test FROM cc)"""
 
 
-def metric_cols(y: str = "y", p: str = "pred", floor: float = 1e-6) -> str:
+METRIC_NAMES = ["n", "rmse", "mae", "r2", "mape", "mbe", "max_error"]
+
+
+def metric_cols(y: str = "y", p: str = "pred", floor: float = 1e-6, rounded: bool = True) -> str:
     e = f"({y} - {p})"
+    r = (lambda x: f"round({x}, 6)") if rounded else (lambda x: x)
     return f"""CAST(count(*) AS BIGINT) AS n,
-  round(sqrt(avg({e} * {e})), 6) AS rmse,
-  round(avg(abs{e}), 6) AS mae,
-  round(CASE WHEN count(*) > 1 AND var_pop({y}) > 0 THEN 1 - sum({e} * {e}) / (var_pop({y}) * count(*)) END, 6) AS r2,
-  round(avg(abs{e} / greatest(abs({y}), {floor})) * 100, 6) AS mape,
-  round(avg({p} - {y}), 6) AS mbe,
-  round(max(abs{e}), 6) AS max_error"""
+  {r(f"sqrt(avg({e} * {e}))")} AS rmse,
+  {r(f"avg(abs{e})")} AS mae,
+  {r(f"CASE WHEN count(*) > 1 AND var_pop({y}) > 0 THEN 1 - sum({e} * {e}) / (var_pop({y}) * count(*)) END")} AS r2,
+  {r(f"avg(abs{e} / greatest(abs({y}), {floor})) * 100")} AS mape,
+  {r(f"avg({p} - {y})")} AS mbe,
+  {r(f"max(abs{e})")} AS max_error"""
 
 
 def with_(*ctes: str) -> str:
