@@ -1106,3 +1106,17 @@ def approach_compare(spark, sf):
 @query("model_sweep")
 def model_sweep(spark, sf):
     return MD.model_sweep(_clean(spark, sf), P.k)
+
+
+@query("elasticnet_loro")
+def elasticnet_loro(spark, sf):
+    """Leave-one-site-out ElasticNet (and the rest of the linear family) on optimized10, exact per
+    held-out site, summarised over sites (mean/std/median of RMSE, NULL-skipping R2 mean)."""
+    from ..operators import loro as LO
+    _, preds = LO.loro_linear(_clean(spark, sf), "site")
+    per_site = M.metric_bundle(preds, ["model", "site"])
+    q = F.percentile("rmse", F.lit(0.5))
+    return per_site.groupBy("model").agg(F.count(F.lit(1)).alias("n_sites"), F.avg("rmse").alias("rmse_mean"),
+                                         F.stddev_pop("rmse").alias("rmse_std"), q.alias("rmse_median"),
+                                         F.avg("mae").alias("mae_mean"), F.avg("r2").alias("r2_mean"),
+                                         F.stddev_pop("r2").alias("r2_std"))
