@@ -1120,3 +1120,22 @@ def elasticnet_loro(spark, sf):
                                          F.stddev_pop("rmse").alias("rmse_std"), q.alias("rmse_median"),
                                          F.avg("mae").alias("mae_mean"), F.avg("r2").alias("r2_mean"),
                                          F.stddev_pop("r2").alias("r2_std"))
+
+
+@query("stream_scoring")
+def stream_scoring(spark, sf):
+    """Structured Streaming: lineitem arrives as a file stream, is scored with the linear family fitted
+    on the batch training split (stream-static broadcast joins), and its errors are aggregated per
+    30-day event-time window under a watermark. Runs the stream over everything available."""
+    from ..streaming import scoring as ST
+    import uuid
+    sp = _split(spark, sf)
+    params = RS.rescale_params(sp.filter(~F.col("is_test")))
+    coefs, _ = EV.holdout_linear(sp, "optimized10")
+    coefs = coefs.persist()
+    coefs.count()
+    stream = ST.driver_obs_stream(spark, sf)
+    win = ST.windowed_errors(ST.score(stream, params, coefs))
+    root = spark.conf.get("spark.checkpoint.dir")
+    name = f"stream_errors_{uuid.uuid4().hex[:8]}"
+    return ST.run_to_table(win, name, root)
