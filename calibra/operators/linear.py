@@ -51,14 +51,36 @@ def _cov_name(i: int, j: int) -> str:
     return f"c_{i}_{j}"
 
 
-def gram_stats(df: DataFrame, features: list[str], label: str = "y", by: list[str] = ()) -> DataFrame:
-    """n, means, covariance matrix (upper triangle) and feature-label covariances per group."""
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(label).alias("mu_y"), F.var_pop(label).alias("var_y")]
-    for i, f in enumerate(features):
-        aggs += [F.avg(f).alias(f"mu_{i}"), F.covar_pop(f, label).alias(f"cy_{i}")]
-        for j in range(i, len(features)):
-            aggs.append(F.covar_pop(f, features[j]).alias(_cov_name(i, j)))
-    return df.groupBy(*by).agg(*aggs)
+def gram_stats(df: DataFrame, features: list[str], label: str = "y", by: list[str] = (),
+               center: DataFrame | None = None) -> DataFrame:
+    """n, means, covariance matrix (upper triangle) and feature-label covariances per group.
+
+    Columns are shifted by a pilot centre (overall means: a one-row aggregate, broadcast)
+    and reduced with plain sums of products — one buffer per statistic, so the aggregate
+    stays in generated code; covariances are formed from the centred sums afterwards,
+    which keeps them free of cancellation."""
+    cols = [*features, label]
+    if center is None:
+        center = df.agg(*[F.avg(c).alias(f"_p{i}") for i, c in enumerate(cols)])
+    center = F.broadcast(center)
+    x = df.crossJoin(center).select(
+        *by, *[(F.col(c) - F.col(f"_p{i}")).alias(f"_z{i}") for i, c in enumerate(cols)])
+    k = len(features)
+    z = [F.col(f"_z{i}") for i in range(len(cols))]
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(z[i]).alias(f"_s{i}") for i in range(len(cols))]
+    aggs += [F.sum(z[i] * z[j]).alias(f"_S{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
+    g = x.groupBy(*by).agg(*aggs).crossJoin(center)
+    n = F.col("n")
+    m = [F.col(f"_s{i}") / n for i in range(len(cols))]
+
+    def cov(i, j):
+        return F.col(f"_S{i}_{j}") / n - m[i] * m[j]
+
+    out = [*[F.col(b) for b in by], n, (F.col(f"_p{k}") + m[k]).alias("mu_y"), cov(k, k).alias("var_y")]
+    for i in range(k):
+        out += [(F.col(f"_p{i}") + m[i]).alias(f"mu_{i}"), cov(i, k).alias(f"cy_{i}")]
+        out += [cov(i, j).alias(_cov_name(i, j)) for j in range(i, k)]
+    return g.select(*out)
 
 
 def _kkt_polish(G: np.ndarray, c: np.ndarray, l1: float, l2: float, w: np.ndarray) -> np.ndarray | None:

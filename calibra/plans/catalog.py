@@ -31,10 +31,11 @@ def query(name: str, sql: str | None = None):
 
 
 def snap(c, digits: int = 6):
-    """Snap a double to a 10^-digits grid with floor(x * 10^d + 0.5) / 10^d: the same IEEE
-    operations in any engine, so equal inputs give equal outputs (no decimal-text ties)."""
+    """Snap a double to a 10^-digits grid with floor(x * 10^d + h) / 10^d, h = 0.500314159: the same
+    IEEE operations in any engine. The offset past one half moves exact decimal ties (a mean that
+    is exactly x.xxxxxx5) off the rounding boundary, so summation order cannot flip them."""
     k = float(10 ** digits)
-    return F.floor(c * F.lit(k) + F.lit(0.5)) / F.lit(k)
+    return F.floor(c * F.lit(k) + F.lit(S.SNAP_HALF)) / F.lit(k)
 
 
 def rounded(df: DataFrame, digits: int = 6, per_col: dict | None = None) -> DataFrame:
@@ -44,8 +45,25 @@ def rounded(df: DataFrame, digits: int = 6, per_col: dict | None = None) -> Data
                       for f in df.schema.fields])
 
 
+_OBS_MEMO: dict = {}
+
+
+def _obs(spark, sf, with_missing=False):
+    """The pruned observation view (7 columns), persisted once per session and folder.
+
+    Every query branches from it many times (leave-out moments, pilot centres, test
+    side); persisting the narrow view replaces repeated scan+join of lineitem/part with
+    cached reads. MEMORY_AND_DISK spills on executors; a lost block is recomputed from
+    lineage (a deterministic scan and join)."""
+    from pyspark import StorageLevel
+    key = (spark.sparkContext.applicationId, sf, with_missing)
+    if key not in _OBS_MEMO:
+        _OBS_MEMO[key] = driver_obs(spark, sf, with_missing).persist(StorageLevel.MEMORY_AND_DISK)
+    return _OBS_MEMO[key]
+
+
 def _clean(spark, sf, with_missing=False):
-    return C.complete_cases(driver_obs(spark, sf, with_missing))
+    return C.complete_cases(_obs(spark, sf, with_missing))
 
 
 # ---------------------------------------------------------------- step 1: minimum slice
@@ -73,7 +91,7 @@ from ..sources.observations import lenient_double  # noqa: E402
 @query("scan_obs", S.with_(S.obs_cte()) + """
 SELECT site, obs_date, round(ref, 6) AS ref, round(s2, 6) AS s2, round(s3, 6) AS s3, round(y, 6) AS y, rk FROM obs""")
 def scan_obs(spark, sf):
-    return rounded(driver_obs(spark, sf))
+    return rounded(_obs(spark, sf))
 
 
 _TXT_SQL = """CASE WHEN rk % 7 = 0 THEN 'n/a'
@@ -95,7 +113,7 @@ SELECT rk, round(TRY_CAST(replace(trim(t_ref), ',', '.') AS DOUBLE), 6) AS ref,
        round(TRY_CAST(replace(trim(t_s3), ',', '.') AS DOUBLE), 6) AS s3 FROM txt""")
 def coerce_numeric(spark, sf):
     """Text columns with decimal commas, padding and junk coerced back to DOUBLE (junk -> NULL)."""
-    t = driver_obs(spark, sf).select("rk", _as_text("ref").alias("t_ref"), _as_text("s3").alias("t_s3"))
+    t = _obs(spark, sf).select("rk", _as_text("ref").alias("t_ref"), _as_text("s3").alias("t_s3"))
     return rounded(t.select("rk", lenient_double("t_ref").alias("ref"), lenient_double("t_s3").alias("s3")))
 
 
@@ -1139,3 +1157,37 @@ def stream_scoring(spark, sf):
     root = spark.conf.get("spark.checkpoint.dir")
     name = f"stream_errors_{uuid.uuid4().hex[:8]}"
     return ST.run_to_table(win, name, root)
+
+
+# ---------------------------------------------------------------- per-class reports of trained models
+
+@query("linear_cv10")
+def linear_cv10(spark, sf):
+    """10-fold CV of the linear family on optimized10 (the study runs 5 and 10 folds)."""
+    _, preds = EV.kfold_linear(_clean(spark, sf), "optimized10", 10)
+    return EV.cv_summary(preds)
+
+
+def _stratified(spark, sf):
+    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
+    return SP.stratified_holdout(c, "cls", "rk", P.test_frac)
+
+
+@query("trophic_elasticnet")
+def trophic_elasticnet(spark, sf):
+    """Per-class check of the primary model: ElasticNet on optimized10 fitted on the class-stratified
+    training split, scored overall and per site class (grouping sets, one pass)."""
+    s = _stratified(spark, sf)
+    _, preds = EV.holdout_linear(s, "optimized10", specs=(L.STUDY_LINEAR[3],), ids=("rk", "cls"))
+    return M.metrics_rollup(preds, ["model"], ["cls"])
+
+
+@query("class_model_matrix")
+def class_model_matrix(spark, sf):
+    """Class x model RMSE matrix of the trained linear family plus the ref baseline, on the stratified split."""
+    s = _stratified(spark, sf)
+    _, preds = EV.holdout_linear(s, "optimized10", ids=("rk", "cls"))
+    base = s.filter(F.col("is_test")).select("rk", "cls", F.lit("ref").alias("model"), "y", F.col("ref").alias("pred"))
+    per = M.metric_bundle(preds.unionByName(base), ["model", "cls"])
+    models = [sp.name for sp in L.STUDY_LINEAR] + ["ref"]
+    return RK.pivot_matrix(per, "cls", "model", "rmse", models)

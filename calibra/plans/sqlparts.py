@@ -62,6 +62,10 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+# just above one half: exact decimal ties never sit on the snapping boundary
+SNAP_HALF = 0.500314159
+
+
 def grid_round(sql: str, digits: int = 6) -> str:
     """Rewrite every ``round(<expr>, 6)`` into the engine-neutral grid snap
     ``floor(<expr> * 1e6 + 0.5) / 1e6`` (matches ``catalog.snap`` on the Spark side)."""
@@ -85,5 +89,5 @@ def grid_round(sql: str, digits: int = 6) -> str:
             out.append(sql[i:k])
         else:
             f = float(10 ** int(d.strip()))
-            out.append(sql[i:j] + f"(floor(({grid_round(expr, digits)}) * {f} + 0.5) / {f})")
+            out.append(sql[i:j] + f"(floor(({grid_round(expr, digits)}) * {f} + {SNAP_HALF}) / {f})")
         i = k

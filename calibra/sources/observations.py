@@ -79,6 +79,18 @@ ROW_KEY_MULT = (7919, 104729, 31)
 ROW_KEY_MOD = 1000003
 
 
+def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-repartition on ``key`` only when the scan yields fewer partitions than the cluster's
+    parallelism (a small table stored as one file/row group would otherwise run every narrow step
+    in one task). Large inputs already arrive as many splits and are left alone (no shuffle)."""
+    want = min_partitions or spark_parallelism(df)
+    return df.repartition(want, key) if df.rdd.getNumPartitions() < want else df
+
+
+def spark_parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
+
+
 def driver_obs(spark: SparkSession, sf_dir: str, with_missing: bool = False) -> DataFrame:
     """Observation view over the driver tables (lineitem joined to part).
 
@@ -88,9 +100,9 @@ def driver_obs(spark: SparkSession, sf_dir: str, with_missing: bool = False) ->
     Only the needed columns reach the scan (column pruning); part is joined
     without a hint so AQE picks broadcast only when its runtime size allows.
     """
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    li = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+        "l_extendedprice", "l_discount", "l_tax", "l_shipdate"), "l_orderkey")
     pa = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_retailprice")
     j = li.join(pa, li.l_partkey == pa.p_partkey, "inner")
     q, p, t = F.col("l_quantity"), F.col("p_retailprice"), F.col("l_tax")

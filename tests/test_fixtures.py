@@ -108,3 +108,11 @@ def test_read_obs_csv(spark, tmp_path):
     assert rows[0].ref is None and rows[1].site == "Peñas" and rows[1].ref == 3.5
     assert rows[1].obs_date == dt.date(2020, 6, 1)
     assert C.complete_cases(df).count() == 1
+
+
+def test_write_table_roundtrip(spark, tmp_path):
+    from calibra.sources.sinks import write_table
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "model string, rmse double")
+    p = write_table(df, str(tmp_path / "res"), fmt="csv", single_file=True)
+    back = spark.read.option("header", True).csv(p)
+    assert sorted(r.model for r in back.collect()) == ["a", "b"]
