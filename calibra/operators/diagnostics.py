@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles, quantile_columns
+
 
 def jarque_bera(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     s, k, n = F.skewness(col), F.kurtosis(col), F.count(col)
@@ -20,24 +22,19 @@ def jarque_bera(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     return g.withColumn("jb_stat", jb).withColumn("jb_pvalue", F.exp(-F.col("jb_stat") / 2))
 
 
-def quartiles(col: str):
-    return F.percentile(col, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-
-
 def describe_long(df: DataFrame, cols: list[str]) -> DataFrame:
     """count, mean, sample std, min, 25 %, 50 %, 75 %, max of each column, in long layout
-    (variable, stat, value): one aggregate pass, exact percentiles, then ``unpivot``."""
-    aggs = []
-    for c in cols:
-        q = quartiles(c)
-        aggs += [F.count(c).cast("double").alias(f"{c}|count"), F.avg(c).alias(f"{c}|mean"),
-                 F.stddev_samp(c).alias(f"{c}|std"), F.min(c).cast("double").alias(f"{c}|min"),
-                 q.alias(f"{c}|q"), F.max(c).cast("double").alias(f"{c}|max")]
-    wide = df.agg(*aggs)
-    wide = wide.select(*[F.col(f"`{c}|{s}`").alias(f"{c}|{s}") for c in cols for s in ("count", "mean", "std", "min", "max")],
-                       *[F.col(f"`{c}|q`")[i].alias(f"{c}|{s}") for c in cols for i, s in enumerate(("25%", "50%", "75%"))])
-    long = wide.unpivot([], [F.col(f"`{c}`") for c in wide.columns], "key", "value")
-    return long.select(F.split("key", r"\|")[0].alias("variable"), F.split("key", r"\|")[1].alias("stat"), "value")
+    (variable, stat, value). The columns are stacked (variable, value) so one aggregate and one
+    exact-quantile pass serve all of them."""
+    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v"))
+                                            for c in cols])).alias("_s")).select("_s.variable", "_s.v")
+    basic = stacked.groupBy("variable").agg(
+        F.count("v").cast("double").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
+        F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantile_columns(stacked, "v", [0.25, 0.5, 0.75], ["25%", "50%", "75%"], by=["variable"])
+    wide = basic.join(q, "variable")
+    stats = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
+    return wide.unpivot(["variable"], [F.col(f"`{s_}`") for s_ in stats], "stat", "value")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20, by: list[str] = ()) -> DataFrame:
@@ -58,8 +55,8 @@ def box_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Box-plot numbers per group: quartiles, IQR, whiskers (extreme values within 1.5 IQR),
     outlier count and notch (median +- 1.57 IQR / sqrt(n)). Quartiles are one row per
     group (bounded by the number of groups) and are broadcast to the second pass."""
-    q = df.groupBy(*by).agg(F.count(col).alias("n"), quartiles(col).alias("_q")) \
-          .select(*by, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
+    q = quantile_columns(df, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=by)
+    q = q.join(df.groupBy(*by).agg(F.count(col).alias("n")), list(by))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     j = df.join(F.broadcast(q), list(by))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
@@ -79,15 +76,13 @@ def normal_grid(m: int = 20) -> list[tuple[int, float, float]]:
 
 
 def qq_grid(df: DataFrame, col: str, m: int = 20) -> DataFrame:
-    """Sample quantiles of ``col`` at m probability points against normal quantiles.
-    One aggregate (exact percentile array); the grid itself is m literal rows."""
+    """Sample quantiles of ``col`` at m probability points against normal quantiles (exact
+    quantiles; the grid itself is m literal rows)."""
     grid = normal_grid(m)
-    q = df.agg(F.percentile(col, F.array(*[F.lit(p) for _, p, _ in grid])).alias("_q"))
-    theo = F.array(*[F.lit(z) for _, _, z in grid])
-    probs = F.array(*[F.lit(p) for _, p, _ in grid])
-    z = q.select(F.posexplode(F.arrays_zip(F.col("_q").alias("sample_q"), theo.alias("theo_q"), probs.alias("p"))))
-    return z.select((F.col("pos") + 1).cast("bigint").alias("i"), F.col("col.p").alias("p"),
-                    F.col("col.sample_q").alias("sample_q"), F.col("col.theo_q").alias("theo_q"))
+    q = exact_quantiles(df, col, [p for _, p, _ in grid])
+    theo = df.sparkSession.createDataFrame([(i - 1, z) for i, _, z in grid], "q_idx int, theo_q double")
+    return q.join(F.broadcast(theo), "q_idx").select((F.col("q_idx") + 1).cast("bigint").alias("i"), "p",
+                                                      F.col("value").alias("sample_q"), "theo_q")
 
 
 def extents(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

@@ -551,13 +551,12 @@ def loro_metrics(spark, sf):
 
 
 def _loro_summary_df(lm):
-    q = F.percentile("rmse", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    from ..operators.quantiles import quantile_columns
+    q = quantile_columns(lm, "rmse", [0.25, 0.5, 0.75], ["rmse_q1", "rmse_median", "rmse_q3"])
     return lm.agg(F.count(F.lit(1)).alias("n_sites"), F.avg("rmse").alias("rmse_mean"),
-                  F.stddev_pop("rmse").alias("rmse_std"), q.alias("_q"), F.min("rmse").alias("rmse_min"),
+                  F.stddev_pop("rmse").alias("rmse_std"), F.min("rmse").alias("rmse_min"),
                   F.max("rmse").alias("rmse_max"), F.avg("mae").alias("mae_mean"), F.stddev_pop("mae").alias("mae_std"),
-                  F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std")) \
-             .select("*", F.col("_q")[0].alias("rmse_q1"), F.col("_q")[1].alias("rmse_median"),
-                     F.col("_q")[2].alias("rmse_q3")).drop("_q")
+                  F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std")).crossJoin(q)
 
 
 @query("loro_summary", S.with_(S.obs_cte(), S.CC, _naive_leave_out("site", "cc"), _LORO) + """
@@ -1132,12 +1131,13 @@ def elasticnet_loro(spark, sf):
     held-out site, summarised over sites (mean/std/median of RMSE, NULL-skipping R2 mean)."""
     from ..operators import loro as LO
     _, preds = LO.loro_linear(_clean(spark, sf), "site")
+    from ..operators.quantiles import quantile_columns
     per_site = M.metric_bundle(preds, ["model", "site"])
-    q = F.percentile("rmse", F.lit(0.5))
+    med = quantile_columns(per_site, "rmse", [0.5], ["rmse_median"], by=["model"])
     return per_site.groupBy("model").agg(F.count(F.lit(1)).alias("n_sites"), F.avg("rmse").alias("rmse_mean"),
-                                         F.stddev_pop("rmse").alias("rmse_std"), q.alias("rmse_median"),
+                                         F.stddev_pop("rmse").alias("rmse_std"),
                                          F.avg("mae").alias("mae_mean"), F.avg("r2").alias("r2_mean"),
-                                         F.stddev_pop("r2").alias("r2_std"))
+                                         F.stddev_pop("r2").alias("r2_std")).join(med, "model")
 
 
 @query("stream_scoring")

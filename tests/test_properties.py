@@ -101,3 +101,17 @@ def test_leave_out_bias_equals_direct(spark):
     d = o.filter(F.col("site") != site).agg(F.avg(F.col("y") - F.col("ref"))).first()[0]
     own = o.filter(F.col("site") == site).agg(F.avg(F.col("ref") - F.col("y"))).first()[0]
     assert abs(got[site] - (own + d)) < 1e-9
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from calibra.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(7)
+    vals = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), rng.integers(0, 5, 500).astype(float)])
+    grp = rng.integers(0, 3, len(vals))
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(grp, vals)], "g int, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r.g, r.q_idx): r.value for r in exact_quantiles(df, "v", probs, by=["g"], accuracy=200).collect()}
+    ref = df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
+    for r in ref:
+        for i, want in enumerate(r.q):
+            assert abs(got[(r.g, i)] - want) <= 1e-12 * max(1.0, abs(want)), (r.g, probs[i])
