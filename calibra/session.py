@@ -22,8 +22,6 @@ ENGINE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # moment aggregates carry O(p^2) sums; keep them in whole-stage codegen (default cap is 100 fields)
-    "spark.sql.codegen.maxFields": "1000",
 }
 
 
