@@ -8,6 +8,7 @@ driver view, or ``row_key(...)`` over any columns).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,31 +41,49 @@ def inner_folds(df: DataFrame, k: int = 5, key: str = "rk", out: str = "inner_fo
     return df.withColumn(out, F.pmod(F.expr(f"`{key}` div 500"), F.lit(k)).cast("bigint"))
 
 
+def _cut_level(rows: DataFrame, strata: str, key: str, need: str) -> DataFrame:
+    """On rows carrying a per-stratum ``need`` (how many of them are still to be taken, smallest
+    ``key`` first): count rows per (stratum, key), run a sum over the *distinct keys* of each stratum
+    (an aggregated table, never the rows), and return per stratum the key where the running count
+    reaches the need and how many rows of that key are still needed."""
+    c = rows.groupBy(strata, key).agg(F.count(F.lit(1)).alias("_nk"), F.first(need).alias("_need"))
+    w = Window.partitionBy(strata).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    c = c.withColumn("_cum", F.sum("_nk").over(w)).withColumn("_prev", F.col("_cum") - F.col("_nk"))
+    return c.filter((F.col("_prev") < F.col("_need")) & (F.col("_cum") >= F.col("_need"))) \
+            .select(strata, F.col(key).alias("_cut"), (F.col("_need") - F.col("_prev")).alias("_take"))
+
+
 def stratified_holdout(df: DataFrame, strata: str = "cls", key: str = "rk", test_frac: float = 0.3,
                        buckets: int = 1000, out: str = "is_test") -> DataFrame:
-    """Exact stratified holdout: per stratum the ceil(test_frac * n) rows of smallest
-    (bucket, key) go to test.
-
-    Only a (stratum x bucket) count table is aggregated (size strata*buckets, bounded
-    by the parameters, so it is broadcast). The running sum over it finds each
-    stratum's cut bucket; rows below it are test, above it train, and only rows
-    inside the cut bucket are ranked, in a window partitioned by (stratum, bucket).
+    """Exact stratified holdout: per stratum the ceil(test_frac * n) rows first in the order
+    (bucket, key, remaining columns) go to test.
+
+    Two levels are resolved by counting (``_cut_level``: rows per distinct value, running sum over
+    the distinct values of the stratum, never over rows): the bucket, then the key inside the cut
+    bucket. Rows before a cut are test, after it train. Only rows sharing the cut key are ranked, in
+    a window partitioned by (stratum, key) — with keys drawn from a bounded key space that group is
+    about n / key-space rows (a key holding a large share of all rows would make it one large,
+    spillable sort task).
     """
-    b = F.pmod(F.expr(f"`{key}` div 7"), F.lit(buckets)).cast("bigint")
-    x = df.withColumn("_b", b)
-    counts = x.groupBy(strata, "_b").agg(F.count(F.lit(1)).alias("_nb"))
-    w = Window.partitionBy(strata).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy(strata)
-    counts = (counts.withColumn("_cum", F.sum("_nb").over(w))
-                    .withColumn("_n", F.sum("_nb").over(tot))
-                    .withColumn("_need", F.ceil(F.col("_n") * F.lit(test_frac)))
-                    .withColumn("_prev", F.col("_cum") - F.col("_nb")))
-    cut = counts.filter((F.col("_prev") < F.col("_need")) & (F.col("_cum") >= F.col("_need"))) \
-                .select(strata, F.col("_b").alias("_cut_b"), (F.col("_need") - F.col("_prev")).alias("_take"))
-    x = x.join(F.broadcast(cut), strata, "left")
-    inside = x.filter(F.col("_b") == F.col("_cut_b"))
-    rest = x.filter(F.col("_cut_b").isNull() | (F.col("_b") != F.col("_cut_b")))
-    rw = Window.partitionBy(strata, "_b").orderBy(key, *[c for c in df.columns if c not in (strata, key)])
-    inside = inside.withColumn(out, F.row_number().over(rw) <= F.col("_take"))
-    rest = rest.withColumn(out, F.col("_cut_b").isNotNull() & (F.col("_b") < F.col("_cut_b")))
-    return inside.unionByName(rest).drop("_b", "_cut_b", "_take")
+    cols = list(df.columns)
+    x = df.withColumn("_b", F.pmod(F.expr(f"`{key}` div 7"), F.lit(buckets)).cast("bigint"))
+    n = x.groupBy(strata).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_frac)).alias("_need0"))
+    # one row per stratum (classes: bounded); the frame feeds every level, so it is persisted once
+    # (MEMORY_AND_DISK, rebuilt from lineage if a block is lost) instead of re-derived per branch
+    x = x.join(F.broadcast(n), strata).persist(StorageLevel.MEMORY_AND_DISK)
+    decided, need = [], "_need0"
+    for lvl, k in enumerate(["_b", key]):
+        cut = _cut_level(x, strata, k, need)
+        x = x.join(F.broadcast(cut.withColumnRenamed("_cut", f"_c{lvl}").withColumnRenamed("_take", f"_t{lvl}")),
+                   strata, "left")
+        before = F.col(f"_c{lvl}").isNotNull() & (F.col(k) < F.col(f"_c{lvl}"))
+        after = F.col(f"_c{lvl}").isNull() | (F.col(k) > F.col(f"_c{lvl}"))
+        decided.append(x.filter(before | after).withColumn(out, before))
+        x = x.filter(F.col(k) == F.col(f"_c{lvl}"))
+        need = f"_t{lvl}"
+    rest = [c for c in cols if c not in (strata, key)]
+    rw = Window.partitionBy(strata, key).orderBy(*[F.col(f"`{c}`") for c in rest])
+    res = x.withColumn(out, F.row_number().over(rw) <= F.col(need)).select(*cols, out)
+    for d in decided:
+        res = res.unionByName(d.select(*cols, out))
+    return res

@@ -369,8 +369,7 @@ SELECT cls, r <= ceil(nc * {P.test_frac}) AS is_test, CAST(count(*) AS BIGINT) A
 FROM rn GROUP BY 1, 2""")
 def split_stratified(spark, sf):
     """Exact 70/30 split within every site-mean class (no global window)."""
-    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts).drop("cls_ord")
-    s = SP.stratified_holdout(c, "cls", "rk", P.test_frac)
+    s = _stratified(spark, sf)
     return rounded(s.groupBy("cls", "is_test").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
 
 
@@ -1169,8 +1168,13 @@ def linear_cv10(spark, sf):
 
 
 def _stratified(spark, sf):
-    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
-    return SP.stratified_holdout(c, "cls", "rk", P.test_frac)
+    """Class-stratified split, persisted once per session and folder (several fits read it)."""
+    from pyspark import StorageLevel
+    key = (spark.sparkContext.applicationId, sf, "stratified")
+    if key not in _OBS_MEMO:
+        c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
+        _OBS_MEMO[key] = SP.stratified_holdout(c, "cls", "rk", P.test_frac).persist(StorageLevel.MEMORY_AND_DISK)
+    return _OBS_MEMO[key]
 
 
 @query("trophic_elasticnet")
