@@ -54,13 +54,16 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: list[str] = ()) -> Da
 def box_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Box-plot numbers per group: quartiles, IQR, whiskers (extreme values within 1.5 IQR),
     outlier count and notch (median +- 1.57 IQR / sqrt(n)). Quartiles are one row per
-    group (bounded by the number of groups) and are broadcast to the second pass."""
-    q = quantile_columns(df, col, [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=by)
-    q = q.join(df.groupBy(*by).agg(F.count(col).alias("n")), list(by))
+    group (bounded by the number of groups) and are broadcast to the second pass; the narrow
+    (group, value) input is persisted once for the passes."""
+    from pyspark import StorageLevel
+    d = df.select(*by, F.col(col).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    q = quantile_columns(d, "_v", [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=by)
+    q = q.join(d.groupBy(*by).agg(F.count("_v").alias("n")), list(by))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = df.join(F.broadcast(q), list(by))
+    j = d.join(F.broadcast(q), list(by))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
-    v = F.col(col)
+    v = F.col("_v")
     w = j.groupBy(*by).agg(F.min(F.when(v >= lo, v)).alias("whisker_lo"), F.max(F.when(v <= hi, v)).alias("whisker_hi"),
                            F.count(F.when((v < lo) | (v > hi), 1)).alias("n_outliers"))
     out = q.join(w, list(by))

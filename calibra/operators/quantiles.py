@@ -17,20 +17,42 @@ The result equals the exact ``percentile``; groups may be data-sized, probabilit
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+# a bracket spans about 8 n / accuracy ranks; the sketch accuracy is chosen from the largest group
+# so that a bracket holds at most about BRACKET_ROWS values (bounded below and above)
+BRACKET_ROWS = 200_000
+MIN_ACCURACY, MAX_ACCURACY = 1_000, 1_000_000
+# groups up to this many rows use Spark's exact ``percentile`` directly: its buffer (the group's
+# distinct values) is then bounded by this checked size
+EXACT_BUFFER_ROWS = 2_000_000
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float], by: list[str] = (),
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row per (group, probability index): by..., q_idx (0-based), p, n, value."""
+                    accuracy: int | None = None, max_buffer_rows: int = EXACT_BUFFER_ROWS) -> DataFrame:
+    """One row per (group, probability index): by..., q_idx (0-based), p, n, value.
+
+    The first pass measures the group sizes; if the largest group has at most ``max_buffer_rows``
+    rows, Spark's ``percentile`` is used as is, otherwise the sketch-bracketed selection."""
     by = list(by)
     c = F.col(col) if isinstance(col, str) else col
-    x = df.select(*by, c.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # the narrow (group, value) projection is read four times: persist it once (MEMORY_AND_DISK,
+    # rebuilt from lineage if a block is lost) instead of re-deriving the upstream plan per pass
+    x = df.select(*by, c.cast("double").alias("_v")).filter(F.col("_v").isNotNull()) \
+          .persist(StorageLevel.MEMORY_AND_DISK)
     # the bracket must also span a couple of rank steps of the smallest group (one small aggregate)
-    n_min = x.groupBy(*by).count().agg(F.min("count")).first()[0] or 1
+    ext = x.groupBy(*by).count().agg(F.min("count"), F.max("count")).first()
+    n_min, n_max = (ext[0] or 1), (ext[1] or 1)
+    if n_max <= max_buffer_rows:
+        g = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
+                               F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+        z = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("_q").alias("v"))
+        return g.select(*by, "n", F.posexplode(z).alias("q_idx", "_z")) \
+                .select(*by, "q_idx", F.col("_z.p").alias("p"), "n", F.col("_z.v").alias("value"))
+    if accuracy is None:
+        accuracy = int(min(MAX_ACCURACY, max(MIN_ACCURACY, 8 * n_max // BRACKET_ROWS)))
     margin = 4.0 / accuracy + 3.0 / n_min
     lo_p = [max(0.0, p - margin) for p in probs]
     hi_p = [min(1.0, p + margin) for p in probs]
@@ -66,8 +88,9 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float], by: li
 
 
 def quantile_columns(df: DataFrame, col: str | Column, probs: list[float], names: list[str],
-                     by: list[str] = (), accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                     by: list[str] = (), accuracy: int | None = None,
+                     max_buffer_rows: int = EXACT_BUFFER_ROWS) -> DataFrame:
     """Wide form: by..., one column per probability (named by ``names``)."""
-    q = exact_quantiles(df, col, probs, by, accuracy)
+    q = exact_quantiles(df, col, probs, by, accuracy, max_buffer_rows)
     return q.groupBy(*by).agg(*[F.max(F.when(F.col("q_idx") == i, F.col("value"))).alias(nm)
                                 for i, nm in enumerate(names)])

@@ -110,8 +110,13 @@ def test_exact_quantiles_equal_percentile(spark):
     grp = rng.integers(0, 3, len(vals))
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(grp, vals)], "g int, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {(r.g, r.q_idx): r.value for r in exact_quantiles(df, "v", probs, by=["g"], accuracy=200).collect()}
+    # max_buffer_rows=0 forces the sketch-bracketed path; the default path must agree as well
+    got = {(r.g, r.q_idx): r.value for r in exact_quantiles(df, "v", probs, by=["g"], accuracy=200,
+                                                             max_buffer_rows=0).collect()}
+    fast = {(r.g, r.q_idx): r.value for r in exact_quantiles(df, "v", probs, by=["g"]).collect()}
+    assert fast.keys() == got.keys()
     ref = df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
     for r in ref:
         for i, want in enumerate(r.q):
             assert abs(got[(r.g, i)] - want) <= 1e-12 * max(1.0, abs(want)), (r.g, probs[i])
+            assert fast[(r.g, i)] == want
