@@ -97,7 +97,3 @@ def fit_line(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Least-squares line y ~ x per group (slope, intercept, r)."""
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
                                F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
-
-
-def moments(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
-    return jarque_bera(df, col, by)

@@ -88,8 +88,8 @@ def base_predictions(spark, sf: str, sp: DataFrame, k_inner: int = 5, set_name:
     fr = holdout_features(sp, set_name)
     tr = SP.inner_folds(fr.filter(~F.col("is_test")), k_inner)
     te = fr.filter(F.col("is_test"))
-    rf = LIGHT_RF.__class__("p_rf", "rf", LIGHT_RF.params)
-    xgb = LIGHT_XGB.__class__("p_xgb", "gbt", LIGHT_XGB.params)
+    rf = LR.LearnerSpec("p_rf", "rf", LIGHT_RF.params)
+    xgb = LR.LearnerSpec("p_xgb", "gbt", LIGHT_XGB.params)
 
     def fit(train, spec):
         return LR.make_estimator(spec).setPredictionCol(spec.name).fit(LR.assemble(train.select(*names, "y"), names))
@@ -159,7 +159,7 @@ def approach_compare(sp: DataFrame, set_names=("orig16", "rescaled8", "rescaled1
     return out
 
 
-def model_sweep(df: DataFrame, k: int = 5, set_name: str = "optimized10", parallelism: int = 4,
+def model_sweep(df: DataFrame, k: int = 5, set_name: str = "optimized10", parallelism: int = 8,
                 learners=(LR.STUDY_HUBER, LIGHT_RF, LIGHT_GBT)) -> DataFrame:
     """K-fold sweep of the study's model list on one fold frame: the linear family through fold-keyed
     Gram statistics (one pass), the iterative/tree learners fitted per fold concurrently. Returns the
