@@ -1155,7 +1155,9 @@ def stream_scoring(spark, sf):
     win = ST.windowed_errors(ST.score(stream, params, coefs))
     root = spark.conf.get("spark.checkpoint.dir")
     name = f"stream_errors_{uuid.uuid4().hex[:8]}"
-    return ST.run_to_table(win, name, root)
+    # complete mode: the error table is windows x models (small), and append mode would hold back the
+    # last windows until later data moves the watermark past them
+    return ST.run_to_table(win, name, root, mode="complete")
 
 
 # ---------------------------------------------------------------- per-class reports of trained models
