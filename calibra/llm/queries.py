@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
-from .common import documents
+from . import linededup, packing, quality, sharding, simhash, urlfilter
+from .common import documents, stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,34 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    light = quality.measure(documents(spark, sf_dir)).select("doc_id", "lang", "__q")
+    measured = stored(light)
+    d = quality.judge(measured, stored(quality.cutoffs(measured, labels)))
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return d.select("doc_id", *(F.col("__q")[k].alias(k) for k in fields), F.col("__failed").alias("base_failed"),
+                    F.col("__kept").alias("kept"))
+
+
+@query("op8_sharding")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sharding.shard_documents(documents(spark, sf_dir))
+    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op9_urlfilter")
+def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_linededup")
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = linededup.drop_boilerplate(documents(spark, sf_dir))
+    return d.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
+                    F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
