@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, quality, sharding, simhash, urlfilter
+from . import linededup, packing, quality, sharding, simhash, suffix, urlfilter
 from .common import documents, stored
 
 QUERIES: dict = {}
@@ -72,3 +72,11 @@ def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = linededup.drop_boilerplate(documents(spark, sf_dir))
     return d.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"),
                     F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op4_suffix")
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
+    return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                    F.sha2("kept", 256).alias("kept_sha256"))
