@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, packing, quality, sharding, simhash, suffix, urlfilter
+from . import decontaminate, license, linededup, packing, quality, sharding, simhash, suffix, urlfilter
 from .common import documents, stored
 
 QUERIES: dict = {}
@@ -80,3 +80,14 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
     return d.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                     F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_decontaminate")
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op3_license")
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = license.scan_documents(documents(spark, sf_dir))
+    return d.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
