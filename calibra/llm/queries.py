@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license, linededup, packing, quality, sharding, simhash, suffix, urlfilter
+from . import decontaminate, license, linededup, packing, pii, quality, sharding, simhash, suffix, urlfilter
 from .common import documents, stored
 
 QUERIES: dict = {}
@@ -91,3 +91,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = license.scan_documents(documents(spark, sf_dir))
     return d.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@query("op1_pii")
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    d = pii.find_spans(documents(spark, sf_dir))
+    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.BASE}
+    return d.select("doc_id", *(c.alias(n) for n, c in counts.items()),
+                    F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
