@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_text, stored
@@ -209,3 +209,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One document of each near-duplicate component, the one with the least id, with its own columns.
+
+    Repeated rows (equal id and text) count once. Rows with a null id are kept only where their whole component has
+    none. The texts are dealt by id once, for the join with the kept ids and the removal of repeated rows alike.
+    """
+    found = stored(near_duplicates(docs, shingle, distance))
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    rows = docs.withColumn("__text", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("__text"))
+    return rows.withColumn("__row", first).where("__row = 1").select(*docs.columns)
