@@ -242,11 +242,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                       tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The documents, with their own columns, that hold no benchmark item. No shuffle: rows are judged in place."""
     for index in blocks(benchmark, tokens=tokens):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(index))(F.col(text_col)))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, shared=shared) -> pd.Series:
-            return pd.Series([not shared.value.leaks(t) for t in texts], dtype=bool)
 
-        docs = docs.where(clean(F.col(text_col)))
-    return docs
+def _clean(shared):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not shared.value.leaks(t) for t in texts], dtype=bool)
+
+    return clean

@@ -73,6 +73,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_shouts": F.length("__t") - F.length(F.translate("__t", "!", "")),
     }
     q = F.struct(*(F.coalesce(c, F.lit(0)).cast("long").alias(k) for k, c in q.items()))
+    # the id keeps the optimizer from pushing later filters on these counts through this projection, which would
+    # write the nested expressions above out once per use
+    q = F.when(F.monotonically_increasing_id() >= 0, q)
     return d.withColumn("__q", q).drop("__t", "__w", "__n", "__h", "__g", "__s", "__p", "__c", "__l")
 
 
