@@ -61,7 +61,7 @@ def affine(c, scale, offset) -> Column:
 
 def ape(y, pred, floor: float = APE_FLOOR) -> Column:
     """Absolute percentage error as a fraction, denominator floored at ``floor``."""
-    return F.abs(col(y) - col(pred)) / F.greatest(F.abs(col(y)), F.lit(floor))
+    return F.abs(col(y) - col(pred)) / F.greatest(col(y), F.lit(floor))
 
 
 def pct_improvement(base, x) -> Column:

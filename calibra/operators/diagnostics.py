@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import exact_quantiles, quantile_columns
+from .quantiles import exact_quantiles, null_safe_join, quantile_columns
 
 
 def jarque_bera(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
@@ -41,7 +41,7 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: list[str] = ()) -> Da
     """Equal-width histogram between min and max, last bin closed (as NumPy).
     Two passes: the (per-group) extent, broadcast back (one row per group), then counts per bin."""
     ext = df.groupBy(*by).agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
-    j = df.crossJoin(F.broadcast(ext)) if not by else df.join(F.broadcast(ext), list(by))
+    j = df.crossJoin(F.broadcast(ext)) if not by else null_safe_join(df, ext, list(by))
     w = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
     b = F.least(F.floor(F.try_divide(F.col(col) - F.col("_mn"), w)), F.lit(bins - 1))
     j = j.withColumn("bin", F.coalesce(b, F.lit(0)).cast("bigint"))
@@ -54,14 +54,12 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: list[str] = ()) -> Da
 def box_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     """Box-plot numbers per group: quartiles, IQR, whiskers (extreme values within 1.5 IQR),
     outlier count and notch (median +- 1.57 IQR / sqrt(n)). Quartiles are one row per
-    group (bounded by the number of groups) and are broadcast to the second pass; the narrow
-    (group, value) input is persisted once for the passes."""
-    from pyspark import StorageLevel
-    d = df.select(*by, F.col(col).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    group (bounded by the number of groups), joined for the second pass; a null group is a group."""
+    d = df.select(*by, F.col(col).alias("_v"))
     q = quantile_columns(d, "_v", [0.25, 0.5, 0.75], ["q1", "median", "q3"], by=by)
-    q = q.join(d.groupBy(*by).agg(F.count("_v").alias("n")), list(by))
+    q = null_safe_join(q, d.groupBy(*by).agg(F.count("_v").alias("n")), list(by))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    j = d.join(F.broadcast(q), list(by))
+    j = null_safe_join(d, q, list(by))
     lo, hi = F.col("q1") - 1.5 * F.col("iqr"), F.col("q3") + 1.5 * F.col("iqr")
     v = F.col("_v")
     w = j.groupBy(*by).agg(F.min(F.when(v >= lo, v)).alias("whisker_lo"), F.max(F.when(v <= hi, v)).alias("whisker_hi"),

@@ -1,28 +1,22 @@
 """Attaching a per-group table (one row per site, fold, class...) back to the rows.
 
-A per-group table's size is bounded by the number of groups, which for folds or
-classes is a parameter but for sites is data-dependent. ``attach`` therefore
-measures it: the small side is persisted (so it is computed once), its row count
-is checked, and it is broadcast only below ``max_rows``; above that the join
-stays a shuffled join, where AQE's skew handling splits a hot key's partition.
+A per-group table's size is bounded by the number of groups, which for folds or classes is a
+parameter but for sites is data-dependent. Only a caller that knows the row count gets a broadcast;
+otherwise the join is planned as a shuffled one, and adaptive execution turns it into a
+broadcast by the table's measured bytes or splits a hot key's partition. Nothing runs while the plan is built.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows of a per-group table that may be broadcast (a few dozen bytes per row).
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 200_000
 
 
 def attach(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS,
            known_rows: int | None = None) -> DataFrame:
-    """Join a per-group table to the rows, broadcasting it only when its checked size allows."""
-    n = known_rows
-    if n is None:
-        small = small.persist(StorageLevel.MEMORY_AND_DISK)
-        n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
+    """Join a per-group table to the rows; ``known_rows`` up to ``max_rows`` makes it a broadcast."""
+    side = F.broadcast(small) if known_rows is not None and known_rows <= max_rows else small
     return big.join(side, on, how)

@@ -58,19 +58,37 @@ def gram_stats(df: DataFrame, features: list[str], label: str = "y", by: list[st
     and reduced with plain sums of products — one buffer per statistic, so the aggregate
     stays in generated code; covariances are formed from the centred sums afterwards,
     which keeps them free of cancellation."""
+    g, center = _centred_sums(df, features, label, by, center)
+    return _moments(g.crossJoin(center), len(features), by)
+
+
+def leave_out_stats(df: DataFrame, features: list[str], by: str, label: str = "y") -> DataFrame:
+    """``gram_stats`` of all rows *outside* each group, keyed by the group: total minus group on the centred
+    sums, so the rows are read once and never copied."""
+    g, center = _centred_sums(df, features, label, [by], None)
+    sums = [c for c in g.columns if c != by]
+    total = g.agg(*[F.sum(c).alias(f"_t{c}") for c in sums])
+    rest = g.crossJoin(F.broadcast(total)).select(by, *[(F.col(f"_t{c}") - F.col(c)).alias(c) for c in sums])
+    return _moments(rest.filter("n > 0").crossJoin(center), len(features), [by])
+
+
+def _centred_sums(df, features, label, by, center):
+    """Per group: n, sums and sums of products of the columns shifted by the pilot centre; and the centre."""
     cols = [*features, label]
     if center is None:
         center = df.agg(*[F.avg(c).alias(f"_p{i}") for i, c in enumerate(cols)])
     center = F.broadcast(center)
     x = df.crossJoin(center).select(
         *by, *[(F.col(c) - F.col(f"_p{i}")).alias(f"_z{i}") for i, c in enumerate(cols)])
-    k = len(features)
     z = [F.col(f"_z{i}") for i in range(len(cols))]
     aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(z[i]).alias(f"_s{i}") for i in range(len(cols))]
     aggs += [F.sum(z[i] * z[j]).alias(f"_S{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]
-    g = x.groupBy(*by).agg(*aggs).crossJoin(center)
+    return x.groupBy(*by).agg(*aggs), center
+
+
+def _moments(g: DataFrame, k: int, by: list[str]) -> DataFrame:
     n = F.col("n")
-    m = [F.col(f"_s{i}") / n for i in range(len(cols))]
+    m = [F.col(f"_s{i}") / n for i in range(k + 1)]
 
     def cov(i, j):
         return F.col(f"_S{i}_{j}") / n - m[i] * m[j]

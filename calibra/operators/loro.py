@@ -132,7 +132,9 @@ def loro_linear(df: DataFrame, group: str = "site", specs=L.STUDY_LINEAR):
               for j, b in enumerate(FEATS) if j >= i]
     ug = ux.groupBy(F.col("_g").alias(group)).agg(*uaggs)
 
-    stats = attach(pg.join(th, group), ug, group, "left").na.fill(0.0).na.fill(0, ["un"])
+    # a group without unstable rows has zero sums there; missing rescale parameters stay missing
+    sums = [c for c in ug.columns if c != group]
+    stats = attach(pg.join(th, group), ug, group, "left").na.fill(0.0, sums).na.fill(0, ["un"])
     coefs = _solve_groups(stats, group, specs)
 
     te = attach(df, params, group)

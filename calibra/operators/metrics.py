@@ -28,16 +28,17 @@ def to_long(df: DataFrame, preds: dict[str, Column | str], ids: list[str],
 
 
 def metric_aggs(y: str = "y", pred: str = "pred", ape_floor: float = APE_FLOOR) -> list[Column]:
+    """Only rows with both values count, in ``n`` and in the variance too."""
     e = F.col(y) - F.col(pred)
     return [
-        F.count(F.lit(1)).alias("n"),
+        F.count(e).alias("n"),
         F.sum(e * e).alias("_sse"),
         F.avg(e * e).alias("_mse"),
         F.avg(F.abs(e)).alias("mae"),
-        F.avg(F.abs(e) / F.greatest(F.abs(F.col(y)), F.lit(ape_floor))).alias("_mape"),
+        F.avg(F.abs(e) / F.greatest(F.col(y), F.lit(ape_floor))).alias("_mape"),
         F.avg(F.col(pred) - F.col(y)).alias("mbe"),
         F.max(F.abs(e)).alias("max_error"),
-        F.var_pop(y).alias("_var_y"),
+        F.var_pop(F.when(F.col(pred).isNotNull(), F.col(y))).alias("_var_y"),
     ]
 
 

@@ -17,7 +17,6 @@ The result equals the exact ``percentile``; groups may be data-sized, probabilit
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,19 +37,32 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float], by: li
     rows, Spark's ``percentile`` is used as is, otherwise the sketch-bracketed selection."""
     by = list(by)
     c = F.col(col) if isinstance(col, str) else col
-    # the narrow (group, value) projection is read four times: persist it once (MEMORY_AND_DISK,
-    # rebuilt from lineage if a block is lost) instead of re-deriving the upstream plan per pass
-    x = df.select(*by, c.cast("double").alias("_v")).filter(F.col("_v").isNotNull()) \
-          .persist(StorageLevel.MEMORY_AND_DISK)
-    # the bracket must also span a couple of rank steps of the smallest group (one small aggregate)
-    ext = x.groupBy(*by).count().agg(F.min("count"), F.max("count")).first()
+    x = df.select(*by, c.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    sizes = x.groupBy(*by).count()
+    big = F.col("count") > max_buffer_rows
+    ext = sizes.agg(F.min(F.when(big, F.col("count"))), F.max("count")).first()
     n_min, n_max = (ext[0] or 1), (ext[1] or 1)
+    if n_max > max_buffer_rows and by:
+        # each group by its own size: the small ones exactly in a buffer, the large ones by brackets whose
+        # margin depends on the large ones only
+        same = lambda s: [F.col(b).eqNullSafe(s[f"_g_{b}"]) for b in by]
+        pick = lambda s: s.select(*[F.col(b).alias(f"_g_{b}") for b in by])
+        lesser = pick(sizes.filter(~big))
+        rest = exact_quantiles(x.join(lesser, same(lesser), "left_semi"), "_v", probs, by, accuracy, max_buffer_rows)
+        greater = pick(sizes.filter(big))
+        x = x.join(greater, same(greater), "left_semi")
+        return rest.unionByName(_bracketed(x, probs, by, accuracy, n_min, n_max))
     if n_max <= max_buffer_rows:
         g = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                                F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
         z = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("_q").alias("v"))
         return g.select(*by, "n", F.posexplode(z).alias("q_idx", "_z")) \
                 .select(*by, "q_idx", F.col("_z.p").alias("p"), "n", F.col("_z.v").alias("value"))
+    return _bracketed(x, probs, by, accuracy, n_min, n_max)
+
+
+def _bracketed(x: DataFrame, probs: list[float], by: list[str], accuracy: int | None, n_min: int, n_max: int) -> DataFrame:
+    """The sketch-bracketed selection for groups of ``n_min`` to ``n_max`` rows; a null group is a group."""
     if accuracy is None:
         accuracy = int(min(MAX_ACCURACY, max(MIN_ACCURACY, 8 * n_max // BRACKET_ROWS)))
     margin = 4.0 / accuracy + 3.0 / n_min
@@ -68,14 +80,14 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float], by: li
                  F.when(F.col("_z.p") + margin >= 1, F.col("_mx")).otherwise(F.col("_z.hi")).alias("_hi"))
     h = (F.col("_n") - 1) * F.col("p")
     s = s.withColumn("_h", h).withColumn("_rlo", F.floor("_h")).withColumn("_rhi", F.ceil("_h"))
-    # the bracket table has (groups x probabilities) rows; groups are few here (classes, models)
-    j = x.join(F.broadcast(s), by) if by else x.crossJoin(F.broadcast(s))
+    # (large groups x probabilities) rows: at least a whole buffer's worth of rows stands behind each group
+    j = null_safe_join(x, s, by) if by else x.crossJoin(F.broadcast(s))
     below = j.groupBy(*by, "q_idx").agg(F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"))
     inside = (j.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
                .groupBy(*by, "q_idx", "_v").agg(F.count(F.lit(1)).alias("_c")))
     keys = [*by, "q_idx"]
     w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    t = inside.join(below, keys).join(s.select(*keys, "p", "_n", "_h", "_rlo", "_rhi"), keys)
+    t = null_safe_join(null_safe_join(inside, below, keys), s.select(*keys, "p", "_n", "_h", "_rlo", "_rhi"), keys)
     t = t.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))   # ranks [cum - c, cum - 1]
     got = t.groupBy(*keys).agg(
         F.first("p").alias("p"), F.first("_n").alias("n"), F.first("_h").alias("_h"),
@@ -87,6 +99,12 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float], by: li
     return got.select(*keys, "p", "n", val.alias("value"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys``, null equal to null."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    return left.join(r, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]).drop(*[f"_r_{k}" for k in keys])
+
+
 def quantile_columns(df: DataFrame, col: str | Column, probs: list[float], names: list[str],
                      by: list[str] = (), accuracy: int | None = None,
                      max_buffer_rows: int = EXACT_BUFFER_ROWS) -> DataFrame:

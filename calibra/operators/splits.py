@@ -8,7 +8,6 @@ driver view, or ``row_key(...)`` over any columns).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +52,12 @@ def _cut_level(rows: DataFrame, strata: str, key: str, need: str) -> DataFrame:
             .select(strata, F.col(key).alias("_cut"), (F.col("_need") - F.col("_prev")).alias("_take"))
 
 
+def _with(rows: DataFrame, per_stratum: DataFrame, strata: str) -> DataFrame:
+    """Attach one row per stratum (classes: a few, by parameter); rows without a class are a stratum too."""
+    p = per_stratum.withColumnRenamed(strata, "_stratum")
+    return rows.join(F.broadcast(p), F.col(strata).eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+
+
 def stratified_holdout(df: DataFrame, strata: str = "cls", key: str = "rk", test_frac: float = 0.3,
                        buckets: int = 1000, out: str = "is_test") -> DataFrame:
     """Exact stratified holdout: per stratum the ceil(test_frac * n) rows first in the order
@@ -68,14 +73,11 @@ def stratified_holdout(df: DataFrame, strata: str = "cls", key: str = "rk", test
     cols = list(df.columns)
     x = df.withColumn("_b", F.pmod(F.expr(f"`{key}` div 7"), F.lit(buckets)).cast("bigint"))
     n = x.groupBy(strata).agg(F.ceil(F.count(F.lit(1)) * F.lit(test_frac)).alias("_need0"))
-    # one row per stratum (classes: bounded); the frame feeds every level, so it is persisted once
-    # (MEMORY_AND_DISK, rebuilt from lineage if a block is lost) instead of re-derived per branch
-    x = x.join(F.broadcast(n), strata).persist(StorageLevel.MEMORY_AND_DISK)
+    x = _with(x, n, strata)
     decided, need = [], "_need0"
     for lvl, k in enumerate(["_b", key]):
         cut = _cut_level(x, strata, k, need)
-        x = x.join(F.broadcast(cut.withColumnRenamed("_cut", f"_c{lvl}").withColumnRenamed("_take", f"_t{lvl}")),
-                   strata, "left")
+        x = _with(x, cut.withColumnRenamed("_cut", f"_c{lvl}").withColumnRenamed("_take", f"_t{lvl}"), strata)
         before = F.col(f"_c{lvl}").isNotNull() & (F.col(k) < F.col(f"_c{lvl}"))
         after = F.col(f"_c{lvl}").isNull() | (F.col(k) > F.col(f"_c{lvl}"))
         decided.append(x.filter(before | after).withColumn(out, before))

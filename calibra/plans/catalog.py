@@ -33,9 +33,10 @@ def query(name: str, sql: str | None = None):
 def snap(c, digits: int = 6):
     """Snap a double to a 10^-digits grid with floor(x * 10^d + h) / 10^d, h = 0.500314159: the same
     IEEE operations in any engine. The offset past one half moves exact decimal ties (a mean that
-    is exactly x.xxxxxx5) off the rounding boundary, so summation order cannot flip them."""
+    is exactly x.xxxxxx5) off the rounding boundary, so summation order cannot flip them. Values of 1e9 and
+    more, infinities and NaN stay as they are."""
     k = float(10 ** digits)
-    return F.floor(c * F.lit(k) + F.lit(S.SNAP_HALF)) / F.lit(k)
+    return F.when(F.abs(c) < F.lit(S.SNAP_BELOW), F.floor(c * F.lit(k) + F.lit(S.SNAP_HALF)) / F.lit(k)).otherwise(c)
 
 
 def rounded(df: DataFrame, digits: int = 6, per_col: dict | None = None) -> DataFrame:
@@ -45,21 +46,10 @@ def rounded(df: DataFrame, digits: int = 6, per_col: dict | None = None) -> Data
                       for f in df.schema.fields])
 
 
-_OBS_MEMO: dict = {}
-
-
 def _obs(spark, sf, with_missing=False):
-    """The pruned observation view (7 columns), persisted once per session and folder.
-
-    Every query branches from it many times (leave-out moments, pilot centres, test
-    side); persisting the narrow view replaces repeated scan+join of lineitem/part with
-    cached reads. MEMORY_AND_DISK spills on executors; a lost block is recomputed from
-    lineage (a deterministic scan and join)."""
-    from pyspark import StorageLevel
-    key = (spark.sparkContext.applicationId, sf, with_missing)
-    if key not in _OBS_MEMO:
-        _OBS_MEMO[key] = driver_obs(spark, sf, with_missing).persist(StorageLevel.MEMORY_AND_DISK)
-    return _OBS_MEMO[key]
+    """The observation view as a lazy plan: each query's own filters and columns reach the scan, and
+    nothing stays pinned on executors after it."""
+    return driver_obs(spark, sf, with_missing)
 
 
 def _clean(spark, sf, with_missing=False):
@@ -215,8 +205,8 @@ def features_figure10(spark, sf):
 
 
 @query("ape_guarded", S.with_(S.obs_cte(), S.CC) + """
-SELECT site, round(avg(abs(y - ref) / greatest(abs(y), 1e-6)) * 100, 6) AS mape,
-       round(max(abs(y - ref) / greatest(abs(y), 1e-6)) * 100, 6) AS max_ape FROM cc GROUP BY site""")
+SELECT site, round(avg(abs(y - ref) / greatest(y, 1e-6)) * 100, 6) AS mape,
+       round(max(abs(y - ref) / greatest(y, 1e-6)) * 100, 6) AS max_ape FROM cc GROUP BY site""")
 def ape_guarded(spark, sf):
     a = X.ape("y", "ref")
     return rounded(_clean(spark, sf).groupBy("site").agg((F.avg(a) * 100).alias("mape"),
@@ -985,12 +975,115 @@ def ols3_coeffs(spark, sf):
 
 
 def _linear_cv(spark, sf, names=None):
-    _, preds = EV.kfold_linear(_clean(spark, sf), "optimized10", P.k)
-    if names:
-        preds = preds.filter(F.col("model").isin(names))
+    specs = tuple(s for s in L.STUDY_LINEAR if names is None or s.name in names)
+    _, preds = EV.kfold_linear(_clean(spark, sf), "optimized10", P.k, specs)
     return EV.cv_summary(preds)
 
 
+# the three raw sensors with every penalty of the study, solved in SQL: normal equations for every choice of signs
+# (-1, 0, 1) of the three weights, kept where signs and optimality conditions hold
+PENALISED = (L.LinearSpec("linear", "ols"), L.LinearSpec("ridge_0.1", "ridge", alpha=0.1),
+             L.LinearSpec("ridge_1", "ridge", alpha=1.0), L.LinearSpec("ridge_10", "ridge", alpha=10.0),
+             L.LinearSpec("lasso", "lasso", alpha=0.1), L.LinearSpec("elasticnet", "elasticnet", alpha=0.1, l1_ratio=0.5))
+
+
+def _penalised_sql(src: str, group: str = "0") -> str:
+    """CTEs ending in ``cf`` (grp, model, b0..b2, icpt) for the training rows ``src`` per ``group``."""
+    cols = ["ref", "s2", "s3"]
+    stats = [f"{group} AS grp", "count(*) AS n", "avg(y) AS my"]
+    stats += [f"avg({c}) AS m{i}, coalesce(nullif(sqrt(var_pop({c})), 0), 1) AS d{i}, covar_pop({c}, y) AS y{i}"
+              for i, c in enumerate(cols)]
+    stats += [f"covar_pop({a}, {b}) AS c{i}{j}" for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    std = ", ".join([f"c{i}{j} / (d{i} * d{j}) AS g{i}{j}" for i in range(3) for j in range(3)]
+                    + [f"y{i} / d{i} AS r{i}" for i in range(3)])
+    mods = ", ".join(f"('{s.name}', {float(s.alpha if s.kind == 'ridge' else 0)}, "
+                     f"{float(s.alpha * s.l1_ratio if s.kind in ('lasso', 'elasticnet') else 0)}, "
+                     f"{float(s.alpha * (1 - s.l1_ratio) if s.kind == 'elasticnet' else 0)})" for s in PENALISED)
+    A = [[f"(abs(p{i}) * abs(p{j}) * g{i}{j}" + (f" + abs(p{i}) * l2 + 1 - abs(p{i}))" if i == j else ")")
+          for j in range(3)] for i in range(3)]
+    rhs = [f"(abs(p{i}) * (r{i} - l1 * p{i}))" for i in range(3)]
+    w = [f"{_det3([[rhs[i] if j == k else A[i][j] for j in range(3)] for i in range(3)])} / {_det3(A)} AS w{k}"
+         for k in range(3)]
+    fits = " AND ".join(f"(CASE WHEN p{i} = 0 THEN abs(r{i} - g{i}0 * w0 - g{i}1 * w1 - g{i}2 * w2) <= l1 * (1 + 1e-9) + 1e-12 "
+                        f"ELSE sign(w{i}) = p{i} END)" for i in range(3))
+    return f"""st AS (SELECT {', '.join(stats)} FROM {src} GROUP BY 1),
+sd AS (SELECT *, {std} FROM st),
+md(model, ar, l1, a2) AS (VALUES {mods}),
+sg(p) AS (VALUES (-1), (0), (1)),
+sy AS (SELECT sd.*, model, l1, ar / n + a2 AS l2, x.p AS p0, y.p AS p1, z.p AS p2 FROM sd, md, sg x, sg y, sg z
+       WHERE l1 > 0 OR (x.p = 1 AND y.p = 1 AND z.p = 1)),
+so AS (SELECT *, {', '.join(w)} FROM sy),
+cf AS (SELECT grp, model, w0 / d0 AS b0, w1 / d1 AS b1, w2 / d2 AS b2,
+         my - w0 / d0 * m0 - w1 / d1 * m1 - w2 / d2 * m2 AS icpt FROM so WHERE l1 = 0 OR ({fits}))"""
+
+
+_PEN_HOLDOUT = S.with_(S.obs_cte(), S.CC, S.SPLIT, "tr AS (SELECT * FROM sp WHERE NOT is_test)", _penalised_sql("tr"))
+_PEN_PRED = "icpt + b0 * ref + b1 * s2 + b2 * s3"
+
+
+@query("penalised_coeffs", _PEN_HOLDOUT + """
+SELECT model, round(icpt, 6) AS intercept, round(b0, 6) AS b_ref, round(b1, 6) AS b_s2, round(b2, 6) AS b_s3 FROM cf""")
+def penalised_coeffs(spark, sf):
+    """Coefficients of OLS, Ridge (0.1, 1, 10), Lasso and ElasticNet on the raw sensors, fitted on the training rows."""
+    coefs, _ = EV.holdout_linear(_split(spark, sf), "raw3", specs=PENALISED)
+    return rounded(coefs)
+
+
+@query("penalised_holdout", _PEN_HOLDOUT + f"""
+, pr AS (SELECT model, y, {_PEN_PRED} AS pred FROM sp, cf WHERE is_test)
+SELECT model, {S.metric_cols()} FROM pr GROUP BY model""")
+def penalised_holdout(spark, sf):
+    """The same models scored on the test rows."""
+    _, preds = EV.holdout_linear(_split(spark, sf), "raw3", specs=PENALISED)
+    return rounded(M.metric_bundle(preds, ["model"]))
+
+
+def _penalised_cv_sql(k: int) -> str:
+    return S.with_(S.obs_cte(), S.CC, f"fo AS (SELECT *, rk % {k} AS fold FROM cc)",
+                   f"tr AS (SELECT f.*, t.g FROM fo f, (SELECT unnest(range(0, {k})) AS g) t WHERE f.fold <> t.g)",
+                   _penalised_sql("tr", "g")) + f"""
+, pr AS (SELECT model, fold, y, {_PEN_PRED} AS pred FROM fo JOIN cf ON fold = grp),
+pf AS (SELECT model, fold, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(abs(y - pred)) AS mae,
+         1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) AS r2 FROM pr GROUP BY model, fold)
+SELECT model, round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std, round(avg(mae), 6) AS mae_mean,
+       round(stddev_pop(mae), 6) AS mae_std, round(avg(r2), 6) AS r2_mean, round(stddev_pop(r2), 6) AS r2_std
+FROM pf GROUP BY model"""
+
+
+def _penalised_cv(spark, sf, k):
+    _, preds = EV.kfold_linear(_clean(spark, sf), "raw3", k, PENALISED)
+    return rounded(EV.cv_summary(preds))
+
+
+@query("penalised_cv", _penalised_cv_sql(P.k))
+def penalised_cv(spark, sf):
+    """Five-fold cross-validation of all penalties on the raw sensors."""
+    return _penalised_cv(spark, sf, P.k)
+
+
+@query("penalised_loro", S.with_(
+    S.obs_cte(), S.CC, "si AS (SELECT DISTINCT site AS g FROM cc)",
+    "tr AS (SELECT c.ref, c.s2, c.s3, c.y, si.g FROM cc c, si WHERE c.site <> si.g)", _penalised_sql("tr", "g")) + f"""
+, pr AS (SELECT model, site, y, {_PEN_PRED} AS pred FROM cc JOIN cf ON site = grp),
+ps AS (SELECT model, site, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(abs(y - pred)) AS mae,
+         CASE WHEN count(*) > 1 AND var_pop(y) > 0 THEN 1 - sum((y - pred) * (y - pred)) / (var_pop(y) * count(*)) END AS r2
+       FROM pr GROUP BY model, site)
+SELECT model, CAST(count(*) AS BIGINT) AS n_sites, round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std,
+       round(avg(mae), 6) AS mae_mean, round(avg(r2), 6) AS r2_mean FROM ps GROUP BY model""")
+def penalised_loro(spark, sf):
+    """Leave-one-site-out of all penalties on the raw sensors, summarised over sites."""
+    _, preds = EV.leave_out_linear(_clean(spark, sf), "raw3", "site", PENALISED)
+    per = M.metric_bundle(preds, ["model", "site"])
+    return rounded(per.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_sites"), F.avg("rmse").alias("rmse_mean"), F.stddev_pop("rmse").alias("rmse_std"),
+        F.avg("mae").alias("mae_mean"), F.avg("r2").alias("r2_mean")))
+
+
+@query("penalised_cv10", _penalised_cv_sql(10))
+def penalised_cv10(spark, sf):
+    return _penalised_cv(spark, sf, 10)
+
+
 @query("linear_cv")
 def linear_cv(spark, sf):
     """5-fold CV of OLS, Ridge, Lasso, ElasticNet on the optimized10 features (leak-free per fold)."""
@@ -1139,25 +1232,19 @@ def elasticnet_loro(spark, sf):
                                          F.stddev_pop("r2").alias("r2_std")).join(med, "model")
 
 
-@query("stream_scoring")
+@query("stream_scoring", _PEN_HOLDOUT + f"""
+, pr AS (SELECT model, y, {_PEN_PRED} AS pred,
+           DATE '1970-01-01' + CAST((date_diff('day', DATE '1970-01-01', obs_date) // 30) * 30 AS INTEGER) AS w FROM obs, cf)
+SELECT strftime(w, '%Y-%m-%d') AS window_start, model, {S.metric_cols()} FROM pr GROUP BY w, model""")
 def stream_scoring(spark, sf):
-    """Structured Streaming: lineitem arrives as a file stream, is scored with the linear family fitted
-    on the batch training split (stream-static broadcast joins), and its errors are aggregated per
-    30-day event-time window under a watermark. Runs the stream over everything available."""
+    """Structured Streaming: lineitem arrives as a file stream, is scored with the penalised models fitted on the
+    batch training split (stream-static broadcast joins), and its errors are aggregated per 30-day event-time
+    window. Runs the stream over everything available."""
     from ..streaming import scoring as ST
-    import uuid
-    sp = _split(spark, sf)
-    params = RS.rescale_params(sp.filter(~F.col("is_test")))
-    coefs, _ = EV.holdout_linear(sp, "optimized10")
-    coefs = coefs.persist()
-    coefs.count()
-    stream = ST.driver_obs_stream(spark, sf)
-    win = ST.windowed_errors(ST.score(stream, params, coefs))
-    root = spark.conf.get("spark.checkpoint.dir")
-    name = f"stream_errors_{uuid.uuid4().hex[:8]}"
-    # complete mode: the error table is windows x models (small), and append mode would hold back the
-    # last windows until later data moves the watermark past them
-    return ST.run_to_table(win, name, root, mode="complete")
+    coefs, _ = EV.holdout_linear(_split(spark, sf), "raw3", specs=PENALISED)
+    win = ST.windowed_errors(ST.score(ST.driver_obs_stream(spark, sf), None, coefs, "raw3"))
+    out = ST.run_to_table(win, spark.conf.get("spark.checkpoint.dir"))
+    return rounded(out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd")))
 
 
 # ---------------------------------------------------------------- per-class reports of trained models
@@ -1170,13 +1257,9 @@ def linear_cv10(spark, sf):
 
 
 def _stratified(spark, sf):
-    """Class-stratified split, persisted once per session and folder (several fits read it)."""
-    from pyspark import StorageLevel
-    key = (spark.sparkContext.applicationId, sf, "stratified")
-    if key not in _OBS_MEMO:
-        c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
-        _OBS_MEMO[key] = SP.stratified_holdout(c, "cls", "rk", P.test_frac).persist(StorageLevel.MEMORY_AND_DISK)
-    return _OBS_MEMO[key]
+    """Class-stratified split of the complete rows."""
+    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
+    return SP.stratified_holdout(c, "cls", "rk", P.test_frac)
 
 
 @query("trophic_elasticnet")

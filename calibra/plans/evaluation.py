@@ -23,6 +23,7 @@ from ..operators import metrics as M
 from ..operators import rescale as RS
 from ..operators import scaling as SC
 from ..operators import splits as SP
+from ..operators.joins import attach
 
 
 def _with_params(df: DataFrame, params: DataFrame | None, on: str | None) -> DataFrame:
@@ -69,6 +70,11 @@ def kfold_linear(df: DataFrame, set_name: str, k: int = 5, specs=L.STUDY_LINEAR,
     params = None
     if set_name in FT.RESCALED_SETS:
         params = RS.leave_out_params(f, "fold").drop("n_train")
+    if params is None:  # features do not depend on the fold: total minus fold, no copies
+        fr = features_frame(f, set_name, None, keep=[*ids, "fold", "y"])
+        coefs = L.fit_linear(L.leave_out_stats(fr, names, "fold"), names, specs, by=["fold"])
+        return (coefs.withColumnRenamed("fold", "train_fold"),
+                L.predict(fr, coefs, names, on=["fold"], ids=[*ids, "fold"]))
     # training view: one copy of each row per fold it trains (k - 1 copies), tagged train_fold
     tr = f.withColumn("train_fold", F.explode(other_folds(k)))
     tp = params.withColumnRenamed("fold", "train_fold") if params is not None else None
@@ -79,6 +85,18 @@ def kfold_linear(df: DataFrame, set_name: str, k: int = 5, specs=L.STUDY_LINEAR,
     return coefs, preds
 
 
+def leave_out_linear(df: DataFrame, set_name: str, group: str = "site", specs=L.STUDY_LINEAR) -> tuple[DataFrame, DataFrame]:
+    """Every group predicted by models fitted without it, for feature sets whose features do not depend on the
+    training rows: one pass of group sums, total minus group, no copies and no pairs of rows and groups."""
+    if set_name in FT.RESCALED_SETS:
+        raise ValueError("rescaled sets depend on the held-out group; see operators.loro")
+    names = FT.names(set_name)
+    fr = features_frame(df, set_name, None, keep=[group, "y"])
+    coefs = L.fit_linear(L.leave_out_stats(fr, names, group), names, specs, by=[group])
+    j = attach(fr, coefs, group)
+    return coefs, j.select(group, "model", "y", L.linear_prediction(names).alias("pred"))
+
+
 def cv_summary(preds: DataFrame) -> DataFrame:
     per_fold = M.metric_bundle(preds, ["model", "fold"])
     return M.summarize_folds(per_fold, ["model"])

@@ -1,13 +1,11 @@
 """Model comparisons that need iterative or tree learners (pyspark.ml), ensembles and sweeps.
 
-Base predictions shared by several reports (stacking, voting, weighted) are computed
-once per session and data folder and persisted (recomputable from lineage: the
-fitted models are fixed driver objects, so a lost partition is rebuilt exactly).
+Base predictions (stacking, voting, weighted) are plans over fitted models, which are fixed
+driver objects, so a lost partition is rebuilt exactly; nothing is kept between queries.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +30,6 @@ LIGHT_XGB = LR.LearnerSpec("boosted_trees", "gbt", {"maxIter": 30, "stepSize": 0
                                                     "cacheNodeIds": True, "maxMemoryInMB": 1024})
 RIDGE = L.LinearSpec("ridge", "ridge", alpha=1.0)
 
-_MEMO: dict = {}
-
-
 def holdout_features(sp: DataFrame, set_name: str, keep=("rk", "y", "is_test")) -> DataFrame:
     params = RS.rescale_params(sp.filter(~F.col("is_test"))) if set_name in FT.RESCALED_SETS else None
     return EV.features_frame(sp, set_name, params, keep=list(keep))
@@ -70,10 +65,6 @@ def coef_importance(sp: DataFrame, set_names=("orig16", "rescaled8", "rescaled16
     return RK.importance_table(out, ["approach", "model"])
 
 
-def _base_key(spark, sf, tag):
-    return (spark.sparkContext.applicationId, sf, tag)
-
-
 def base_predictions(spark, sf: str, sp: DataFrame, k_inner: int = 5, set_name: str = "raw3",
                      parallelism: int = 4):
     """Out-of-fold base predictions on the training rows and refit predictions on the test rows.
@@ -81,9 +72,6 @@ def base_predictions(spark, sf: str, sp: DataFrame, k_inner: int = 5, set_name:
     Columns: y, p_rf, p_xgb, p_ridge. For inner fold j, the forest and boosted model fitted
     without fold j predict fold j (their ``transform`` calls are chained, so the rows stay
     aligned); ridge uses per-inner-fold Gram statistics (one pass for all folds)."""
-    key = _base_key(spark, sf, ("base", k_inner, set_name))
-    if key in _MEMO:
-        return _MEMO[key]
     names = FT.names(set_name)
     fr = holdout_features(sp, set_name)
     tr = SP.inner_folds(fr.filter(~F.col("is_test")), k_inner)
@@ -121,9 +109,6 @@ def base_predictions(spark, sf: str, sp: DataFrame, k_inner: int = 5, set_name:
     d = LR.assemble(te, names)
     d = models[-1].transform(models[-2].transform(d))
     test = d.crossJoin(F.broadcast(rc_all.drop("model"))).select("y", "p_rf", "p_xgb", ridge_col())
-    oof = oof.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.persist(StorageLevel.MEMORY_AND_DISK)
-    _MEMO[key] = (oof, test)
     return oof, test
 
 

@@ -48,12 +48,13 @@ METRIC_NAMES = ["n", "rmse", "mae", "r2", "mape", "mbe", "max_error"]
 
 def metric_cols(y: str = "y", p: str = "pred", floor: float = 1e-6, rounded: bool = True) -> str:
     e = f"({y} - {p})"
+    yv = f"CASE WHEN {p} IS NOT NULL THEN {y} END"
     r = (lambda x: f"round({x}, 6)") if rounded else (lambda x: x)
-    return f"""CAST(count(*) AS BIGINT) AS n,
+    return f"""CAST(count({e}) AS BIGINT) AS n,
   {r(f"sqrt(avg({e} * {e}))")} AS rmse,
   {r(f"avg(abs{e})")} AS mae,
-  {r(f"CASE WHEN count(*) > 1 AND var_pop({y}) > 0 THEN 1 - sum({e} * {e}) / (var_pop({y}) * count(*)) END")} AS r2,
-  {r(f"avg(abs{e} / greatest(abs({y}), {floor})) * 100")} AS mape,
+  {r(f"CASE WHEN count({e}) > 1 AND var_pop({yv}) > 0 THEN 1 - sum({e} * {e}) / (var_pop({yv}) * count({e})) END")} AS r2,
+  {r(f"avg(abs{e} / greatest({y}, {floor})) * 100")} AS mape,
   {r(f"avg({p} - {y})")} AS mbe,
   {r(f"max(abs{e})")} AS max_error"""
 
@@ -64,6 +65,8 @@ def with_(*ctes: str) -> str:
 
 # just above one half: exact decimal ties never sit on the snapping boundary
 SNAP_HALF = 0.500314159
+# from here on values are left alone: beyond about 9e12 the grid index would not fit 64 bits
+SNAP_BELOW = 1e9
 
 
 def grid_round(sql: str, digits: int = 6) -> str:
@@ -89,5 +92,6 @@ def grid_round(sql: str, digits: int = 6) -> str:
             out.append(sql[i:k])
         else:
             f = float(10 ** int(d.strip()))
-            out.append(sql[i:j] + f"(floor(({grid_round(expr, digits)}) * {f} + {SNAP_HALF}) / {f})")
+            x = f"({grid_round(expr, digits)})"
+            out.append(sql[i:j] + f"(CASE WHEN abs({x}) < {SNAP_BELOW} THEN floor({x} * {f} + {SNAP_HALF}) / {f} ELSE {x} END)")
         i = k

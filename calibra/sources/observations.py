@@ -79,12 +79,15 @@ ROW_KEY_MULT = (7919, 104729, 31)
 ROW_KEY_MOD = 1000003
 
 
+#: A table up to this size may be dealt anew; larger ones arrive as many splits.
+SPREAD_BYTES = 128 << 20
+
+
 def spread(df: DataFrame, key: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-repartition on ``key`` only when the scan yields fewer partitions than the cluster's
-    parallelism (a small table stored as one file/row group would otherwise run every narrow step
-    in one task). Large inputs already arrive as many splits and are left alone (no shuffle)."""
-    want = min_partitions or spark_parallelism(df)
-    return df.repartition(want, key) if df.rdd.getNumPartitions() < want else df
+    """Hash-repartition a small table on ``key``: stored as one file or row group, it would run every narrow
+    step in one task. By the plan's size estimate, so larger tables are never shuffled for this."""
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= SPREAD_BYTES
+    return df.repartition(min_partitions or spark_parallelism(df), key) if small else df
 
 
 def spark_parallelism(df: DataFrame) -> int:

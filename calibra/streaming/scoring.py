@@ -4,11 +4,13 @@ The study has no streaming logic; what carries over is that every fitted artefac
 the engine is a small static table (rescale parameters, linear coefficients, class
 cuts) and every per-row step is a projection. A stream of observations is therefore
 scored with stream-static joins against those broadcast tables, and its running
-error is a watermarked windowed aggregation.
+error is a windowed aggregation.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,19 +42,25 @@ def score(stream: DataFrame, params: DataFrame, coefs: DataFrame, set_name: str
     return x.select("site", "ts", "model", "y", L.linear_prediction(names).alias("pred"))
 
 
-def windowed_errors(preds: DataFrame, window: str = "30 days", watermark: str = "60 days") -> DataFrame:
-    """Error bundle per model and event-time window; late rows beyond the watermark are dropped by Spark."""
-    g = preds.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "model")
-    agg = g.agg(*metric_aggs("y", "pred"))
+def windowed_errors(preds: DataFrame, window: str = "30 days") -> DataFrame:
+    """Error bundle per model and event-time window."""
+    agg = preds.groupBy(F.window("ts", window).alias("w"), "model").agg(*metric_aggs("y", "pred"))
     return finish_metrics(agg, ["w", "model"]).select(F.col("w.start").alias("window_start"), "*").drop("w")
 
 
-def run_to_table(df: DataFrame, name: str, checkpoint_root: str, mode: str = "append") -> DataFrame:
-    """Drive a streaming query over everything available into an in-memory table and return it."""
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", f"{checkpoint_root.rstrip('/')}/stream-{name}").start())
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return df.sparkSession.table(name)
+def run_to_table(df: DataFrame, shared: str) -> DataFrame:
+    """Drive an aggregating stream over everything available and return its final table.
+
+    Complete mode: each micro-batch rewrites the whole table (windows x models, a small report) as Parquet in the
+    shared folder, so trailing windows are included and late rows still count. The state keeps every window; a
+    stream without end needs append mode with a watermark, which holds back the windows not yet closed.
+    """
+    root = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/table")
+
+    q = (df.writeStream.foreachBatch(write).outputMode("complete").trigger(availableNow=True)
+         .option("checkpointLocation", f"{root}/state").start())
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/table")
