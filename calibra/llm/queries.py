@@ -10,16 +10,14 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, license, linededup, packing, pii, quality, sharding, simhash, suffix, urlfilter
 from .common import documents, stored
+from .oracles import ORACLES  # noqa: F401  the queries' SQL, where SQL can express them
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str):
     def add(fn):
         QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = oracle
         return fn
 
     return add
@@ -99,6 +97,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     d = pii.find_spans(documents(spark, sf_dir))
-    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.BASE}
-    return d.select("doc_id", *(c.alias(n) for n, c in counts.items()),
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return d.select("doc_id", *map(count, pii.BASE),
                     F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
