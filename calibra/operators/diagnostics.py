@@ -64,7 +64,7 @@ def box_stats(df: DataFrame, col: str, by: list[str]) -> DataFrame:
     v = F.col("_v")
     w = j.groupBy(*by).agg(F.min(F.when(v >= lo, v)).alias("whisker_lo"), F.max(F.when(v <= hi, v)).alias("whisker_hi"),
                            F.count(F.when((v < lo) | (v > hi), 1)).alias("n_outliers"))
-    out = q.join(w, list(by))
+    out = null_safe_join(q, w, list(by))
     notch = 1.57 * F.col("iqr") / F.sqrt(F.col("n"))
     return out.withColumn("notch_lo", F.col("median") - notch).withColumn("notch_hi", F.col("median") + notch)
 
