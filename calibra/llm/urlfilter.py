@@ -32,7 +32,9 @@ PATTERN_RULES = [
     ("block", r"/cart/(add|checkout)([/?#]|$)", ["cart"]),
     ("block", r"/wp-login[.]php", ["wp", "login", "php"]),
     ("block", r"/link-exchange([/?#]|$)", ["link", "exchange"]),
-    ("block", r"[.](zip|exe|iso)([?#]|$)", []),
+    ("block", r"[.]zip([?#]|$)", ["zip"]),
+    ("block", r"[.]exe([?#]|$)", ["exe"]),
+    ("block", r"[.]iso([?#]|$)", ["iso"]),
     ("allow", r"://([^/?#]*[.])?spam-farm[.][^/]*/abuse-report([/?#]|$)", ["spam", "farm", "abuse", "report"]),
 ]
 
@@ -62,22 +64,23 @@ def tokens(url: Column) -> Column:
 def matched(urls: DataFrame, rules=PATTERN_RULES) -> DataFrame:
     """(url, action) of the urls (one column, distinct) that a pattern rule matches; an allow rule outweighs blocks.
 
-    A rule without a literal token (only alternatives) is posted once for each of its alternatives by the caller or,
-    as here, under the empty token that every url has.
+    A rule must have a literal token: write alternatives as rules of their own.
     """
+    if any(not t for _, _, t in rules):
+        raise ValueError("every pattern rule needs a literal token")
     spark = urls.sparkSession
     literal = sorted({t for _, _, ts in rules for t in ts})
     found = urls.where("url is not null").select("url", F.array_intersect(
         tokens(F.col("url")), F.array(*map(F.lit, literal)).cast("array<string>")).alias("found"))
     counts = found.select(F.explode("found").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    posted = spark.createDataFrame([(i, a, p, t or [""]) for i, (a, p, t) in enumerate(rules)],
+    posted = spark.createDataFrame([(i, a, p, t) for i, (a, p, t) in enumerate(rules)],
                                    "id int, action string, pattern string, tokens array<string>")
     # one row per rule: a table of fixed size
     index = (posted.select("id", "action", "pattern", F.explode("tokens").alias("token"))
              .join(counts, "token", "left").groupBy("id", "action", "pattern")
              .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("rarest"))
              .select("action", "pattern", F.col("rarest.token").alias("token")))
-    fetched = (found.select("url", F.explode(F.array_append("found", F.lit(""))).alias("token"))
+    fetched = (found.select("url", F.explode("found").alias("token"))
                .join(F.broadcast(index), "token"))
     hits = fetched.where(F.expr("regexp_like(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
                                 "'abcdefghijklmnopqrstuvwxyz'), pattern)"))
