@@ -186,9 +186,9 @@ def judge(measured: DataFrame, cuts: DataFrame, lang_col: str = "lang") -> DataF
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. Only labelled documents are measured for the cutoffs."""
+    """The documents that pass, with their own columns. Texts are measured twice and never shuffled: once for a
+    light table of counts that meets the labels, once to be judged in place."""
     from .common import stored
 
-    known = labels.where("quality is not null").select("doc_id").distinct()
-    cuts = stored(cutoffs(measure(docs.join(known, "doc_id", "left_semi")), labels))
-    return judge(measure(docs), cuts).where("__kept").select(*docs.columns)
+    light = stored(measure(docs).select("doc_id", "lang", "__q"))
+    return judge(measure(docs), stored(cutoffs(light, labels))).where("__kept").select(*docs.columns)
