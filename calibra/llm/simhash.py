@@ -215,10 +215,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     """One document of each near-duplicate component, the one with the least id, with its own columns.
 
     Repeated rows (equal id and text) count once. Rows with a null id are kept only where their whole component has
-    none. The texts are dealt by id once, for the join with the kept ids and the removal of repeated rows alike.
+    none. The texts are dealt by id once: the join with the kept ids and the removal of repeated rows use the same
+    two columns (the id, and whether it is null).
     """
     found = stored(near_duplicates(docs, shingle, distance))
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.withColumn("__text", F.xxhash64("text")).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("__text"))
+    key = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__null")]
+    kept = found.where("doc_id <=> component_id").select(*key).distinct()
+    rows = docs.select("*", *key, F.xxhash64("text").alias("__text")).join(kept, ["__id", "__null"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("__id", "__null", "__text").orderBy("__text"))
     return rows.withColumn("__row", first).where("__row = 1").select(*docs.columns)
