@@ -369,7 +369,8 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
     where = F.xxhash64("k1", "k2", "place")
     twice = (found.groupBy("h").agg(F.min(where).alias("x"), F.max(where).alias("y"), F.count(F.lit(1)).alias("n"))
              .where("x <> y").select("h", (F.col("n") > group).alias("hot")))
-    used = found.join(twice, "h")
+    # stored: a join of two plain shuffles, whose hot hashes adaptive execution can split
+    used = found.join(stored(twice), "h")
     per = (used.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "place", "hot")).alias("at")).join(first_id, ["k1", "k2"])
            .select("k1", "k2", F.col("id").alias("rep"), "at"))
     full = docs.join(per, ["k1", "k2"]).where("id <=> rep").select("k1", "k2", "body", "at")
