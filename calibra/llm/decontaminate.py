@@ -4,9 +4,10 @@ Numbers, units and names become typed placeholders, so a question whose figures
 template. Every window of ``WINDOW`` template tokens of the benchmark (of the whole item if it is shorter) is hashed
 into an index; documents look all their windows up (a hash join whose small side is a block of the benchmark of
 bounded size; a larger benchmark is taken block by block). Hits on one alignment of document and item are joined
-into runs, compared token by token, and their slots are checked: within a run one value of the item must always
-stand for the same value in the document, and different names for different names. Runs that fail are dropped. A
-document holds an item if consistent runs cover half of it or reach ``RUN`` tokens in a row.
+into runs, compared token by token, and their slots are checked: one value of the item must always stand for the
+same value in the document, and different names for different names. A run that contradicts itself is split into its
+maximal consistent parts and its verbatim stretches, each of which counts if it reaches ``RUN`` tokens or half of the
+item by itself (``parts``). A document holds an item if what counts covers half of it or reaches ``RUN`` tokens in a row.
 """
 
 from __future__ import annotations
@@ -133,15 +134,13 @@ class Index:
         covered: dict[int, np.ndarray] = {}
         longest: dict[int, int] = defaultdict(int)
         same: dict[int, bool] = defaultdict(lambda: True)
-        for (k, shift), parts in runs.items():
+        for (k, shift), windows in runs.items():
             item = self.items[k]
-            for a, b in joined(parts):
-                exact = consistent(item, chunks, a, b, shift)
-                if exact is None:
-                    continue
-                covered.setdefault(k, np.zeros(len(item[1]), bool))[a:b] = True
-                longest[k] = max(longest[k], b - a)
-                same[k] &= exact
+            for run in joined(windows):
+                for a, b, exact in parts(item, chunks, *run, shift):
+                    covered.setdefault(k, np.zeros(len(item[1]), bool))[a:b] = True
+                    longest[k] = max(longest[k], b - a)
+                    same[k] &= exact
         out = []
         for k, c in covered.items():
             if c.sum() >= COVER * len(c) or longest[k] >= RUN:
@@ -197,6 +196,46 @@ def consistent(item: tuple, chunks: list[str], a: int, b: int, shift: int) -> bo
     return exact
 
 
+def parts(item: tuple, chunks: list[str], a: int, b: int, shift: int) -> list[tuple[int, int, bool]]:
+    """(start, end, all slot values of the run are the item's own) of what counts of the run [a, b).
+
+    The whole run if its slots agree. Else its maximal consistent parts with ``LITERALS`` literal tokens and its
+    verbatim stretches that reach ``RUN`` tokens or half of the item by themselves. Where two names of the item became
+    one, either place may be the wrong one: both are left out, and only parts of ``RUN`` tokens count beside verbatim
+    stretches.
+    """
+    exact = consistent(item, chunks, a, b, shift)
+    if exact is not None:
+        return [(a, b, exact)]
+    forth: dict[tuple[int, str], tuple[int, str]] = {}
+    back: dict[str, tuple[int, str]] = {}
+    found, changed, merged, left = [], [a - 1], False, a
+    for q in range(a, b):
+        kind = int(item[1][q])
+        if kind > NAME:
+            continue
+        x, y = item[2][q].lower(), core(chunks[q + shift]).lower()
+        if x != y:
+            changed.append(q)
+        at, was = forth.get((kind, x), (q, y))  # the last place of the value: [left, q) holds it with one partner only
+        if was != y and at >= left:
+            found.append((left, q))
+            left = at + 1
+        at, was = back.get(y, (q, x)) if kind == NAME else (q, x)
+        if was != x and at >= left:
+            found += [(left, at), (at + 1, q)]
+            merged, left = True, q + 1
+        forth[kind, x] = (q, y)
+        if kind == NAME:
+            back[y] = (q, x)
+    found.append((left, b))
+    half = COVER * len(item[1])
+    least = RUN if merged else min(RUN, half)
+    out = [(s, e, False) for s, e in found if e - s >= least and (item[1][s:e] > NAME).sum() >= LITERALS]
+    out += [(s + 1, e, False) for s, e in zip(changed, [*changed[1:], b]) if e - s - 1 >= min(RUN, half)]
+    return out
+
+
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", tokens: int = BLOCK_TOKENS):
     """The benchmark as Index blocks, streamed through the driver one block at a time. Null texts have no windows."""
     held, n = [], 0

@@ -99,3 +99,40 @@ def test_empty_tables(spark):
     assert dec.find_leaks(d, b).collect() == [] and dec.drop_contaminated(d, b).count() == 1
     d, b = tables(spark, ["a b c d e f g h i"], [])
     assert dec.find_leaks(d, b).collect() == []
+
+
+LONG = ("The farmer keeps 3 apples in a large wooden box near the old barn where the hungry horses sleep all night long "
+        "and every morning before breakfast the youngest child counts again what is left inside and writes 3 pears down.")
+
+
+@pytest.mark.parametrize("item,text,verbatim", [
+    (LONG, LONG.replace("3 pears", "8 pears"), False),  # verbatim but for one place of a value that occurs twice
+    (LONG, LONG.replace("3 apples", "41 apples").replace("3 pears", "8 pears"), False),  # other figures, one slip
+    (LONG.replace("horses", "Bob").replace("child", "Anna"), LONG.replace("horses", "Bob").replace("child", "Bob"), False),
+    ("We pick 3 apples and sell all of them for 3 euros now", "We pick 3 apples and sell all of them for 8 euros now", False)])
+def test_contradicting_slot_splits_the_run(item, text, verbatim):
+    leaks = dec.Index([(7, item)]).leaks("Well said. " + text)
+    assert [leak[0] for leak in leaks] == [7] and leaks[0][3] == verbatim
+
+
+def test_contradictions_match_every_pair_of_slots():
+    """Numbers only: a document holds the item if some stretch of it, half of it or RUN tokens, has no two places where
+    one number of the item stands for two of the document."""
+    rng = random.Random(11)
+    seen = set()
+    for _ in range(400):
+        n = rng.randint(12, 45)
+        item = [rng.choice("345") if i % rng.randint(2, 9) == 1 and i % 2 else f"w{rng.choice('abcdefgh')}o{i}" for i in range(n)]
+        text = [rng.choice("3456") if t.isdigit() and rng.random() < 0.3 else t for t in item]
+        if any(sum(not t.isdigit() for t in item[i:i + 8]) < dec.LITERALS for i in range(n - 7)):
+            continue
+        want = False
+        for a in range(n):
+            for b in range(a + 1, n + 1):
+                pairs = {(x, y) for x, y in zip(item[a:b], text[a:b]) if x.isdigit()}
+                one = len(pairs) == len({x for x, _ in pairs}) and sum(not t.isdigit() for t in item[a:b]) >= dec.LITERALS
+                want |= one and (b - a >= dec.RUN or b - a >= dec.COVER * n)
+        got = bool(dec.Index([(1, " ".join(item))]).leaks(" ".join(text)))
+        assert got == want, (item, text)
+        seen.add(got)
+    assert seen >= {True}
