@@ -5,7 +5,9 @@ template. Every window of ``WINDOW`` template tokens of the benchmark (of the wh
 into an index; documents look all their windows up (a hash join whose small side is a block of the benchmark of
 bounded size; a larger benchmark is taken block by block). Hits on one alignment of document and item are joined
 into runs, compared token by token, and their slots are checked: one value of the item must always stand for the
-same value in the document, and different names for different names. A run that contradicts itself is split into its
+same value in the document, and different names for different names. The case-folded words themselves, nothing replaced,
+are indexed and looked up the same way, items shorter than a window as a whole: a verbatim copy needs no literal tokens
+and no slot check. A run that contradicts itself is split into its
 maximal consistent parts and its verbatim stretches, each of which counts if it reaches ``RUN`` tokens or half of the
 item by itself (``parts``). A document holds an item if what counts covers half of it or reaches ``RUN`` tokens in a row.
 """
@@ -25,7 +27,7 @@ from .common import by_text, stored
 WINDOW = 8
 RUN = 13
 COVER = 0.5
-#: Fewer literal (not placeholder) tokens than this make a window too unspecific to be indexed.
+#: Fewer literal (not placeholder) tokens than this make a template window too unspecific to be indexed.
 LITERALS = 4
 #: Benchmark tokens indexed and broadcast at once (about 100 bytes each).
 BLOCK_TOKENS = 2_000_000
@@ -52,44 +54,43 @@ class Index:
         self.window = window
         self.words: dict[str, int] = {}
         self.items: list[tuple[int, np.ndarray, list[str]]] = []
+        self.own: list[np.ndarray] = []  # the items' case-folded words, nothing replaced
         for item_id, text in items:
             chunks = (text or "").split()
             codes = np.array([self._code(c, grow=True) for c in chunks], np.int64).reshape(-1)
             self.items.append((item_id, template(codes), [core(c) for c in chunks]))
-        rows = []
-        for k, (_, ids, _) in enumerate(self.items):
-            w = min(window, len(ids))
-            if w < LITERALS:
-                continue
-            for at, h in enumerate(window_hashes(ids, w).tolist()):
-                if (ids[at:at + w] > NAME).sum() >= LITERALS:
-                    rows.append((w, h, k, at))
-        rows.sort()
-        self.tables = {}
-        for w in sorted({r[0] for r in rows}):
-            some = [r for r in rows if r[0] == w]
-            self.tables[w] = (np.array([r[1] for r in some], np.int64), np.array([r[2] for r in some], np.int64),
-                              np.array([r[3] for r in some], np.int64))
+            self.own.append(codes >> 32)
+        self.tables = self._tables([ids for _, ids, _ in self.items], LITERALS)
+        self.own_tables = self._tables(self.own, 0)
         self.cache: dict[str, int] | None = None
 
+    def _tables(self, items: list[np.ndarray], literals: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Window length -> (hash, item, place) by hash of the windows with that many literal tokens."""
+        found = defaultdict(list)
+        for k, ids in enumerate(items):
+            w = min(self.window, len(ids))
+            if w:
+                n = np.concatenate([[0], np.cumsum(ids > NAME)])
+                at = np.flatnonzero(n[w:] - n[:-w] >= literals)
+                if len(at):
+                    found[w].append((window_hashes(ids, w)[at], np.full(len(at), k, np.int64), at))
+        tables = {}
+        for w in sorted(found):
+            h, k, at = (np.concatenate(x) for x in zip(*found[w]))
+            order = np.lexsort((at, k, h))
+            tables[w] = h[order], k[order], at[order]
+        return tables
+
     def _code(self, chunk: str, grow: bool = False) -> int:
-        """Token id << 3 | name anywhere << 2 | capitalised << 1 | ends a sentence."""
+        """Word id << 32 | token id << 3 | name anywhere << 2 | capitalised << 1 | ends a sentence."""
         c = core(chunk)
-        low = c.lower()
-        if _NUMBER.fullmatch(c):
-            token = NUMBER
-        elif low in UNITS:
-            token = UNIT
-        elif not low:
-            token = self.words.get(chunk, OTHER)
-            if grow and token == OTHER:
-                token = self.words[chunk] = len(self.words) + 4
-        else:
-            token = self.words.get(low, OTHER)
-            if grow and token == OTHER:
-                token = self.words[low] = len(self.words) + 4
+        low = c.casefold()
+        word = self.words.get(low or chunk, OTHER)
+        if grow and word == OTHER:
+            word = self.words[low or chunk] = len(self.words) + 4
+        token = NUMBER if _NUMBER.fullmatch(c) else UNIT if low in UNITS else word
         capital = len(c) > 1 and c[0].isupper() and not c.isupper() and c.isalpha()
-        return token << 3 | (capital and low in NAMES) << 2 | capital << 1 | bool(_ENDS.search(chunk))
+        return word << 32 | token << 3 | (capital and low in NAMES) << 2 | capital << 1 | bool(_ENDS.search(chunk))
 
     def codes(self, chunks: list[str]) -> np.ndarray:
         if self.cache is None:
@@ -111,26 +112,11 @@ class Index:
     def leaks(self, text: str | None) -> list[tuple[int, int, float, bool]]:
         """(item_id, tokens matched, share of the item, verbatim) of the items that the text holds."""
         chunks = (text or "").split()
-        if not chunks or not self.tables:
+        if not chunks or not self.own_tables:
             return []
-        ids = template(self.codes(chunks))
-        runs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        outside = np.concatenate([[0], np.cumsum(ids == OTHER)])
-        for w, (hashes, items, places) in self.tables.items():
-            if len(ids) < w:
-                continue
-            inside = np.flatnonzero(outside[w:] == outside[:-w])  # all tokens occur in the benchmark
-            if not len(inside):
-                continue
-            h = window_hashes(ids, w)[inside]
-            at = np.searchsorted(hashes, h)
-            hit = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == h)
-            for p, a, x in zip(inside[hit].tolist(), at[hit].tolist(), h[hit].tolist()):
-                while a < len(hashes) and hashes[a] == x:  # every posting of the hash, compared token by token
-                    k, q = int(items[a]), int(places[a])
-                    if np.array_equal(self.items[k][1][q:q + w], ids[p:p + w]):
-                        runs[k, p - q].append((q, q + w))
-                    a += 1
+        codes = self.codes(chunks)
+        runs = self._runs(template(codes), self.tables, [ids for _, ids, _ in self.items])
+        verbatim = self._runs(codes >> 32, self.own_tables, self.own)
         covered: dict[int, np.ndarray] = {}
         longest: dict[int, int] = defaultdict(int)
         same: dict[int, bool] = defaultdict(lambda: True)
@@ -141,12 +127,37 @@ class Index:
                     covered.setdefault(k, np.zeros(len(item[1]), bool))[a:b] = True
                     longest[k] = max(longest[k], b - a)
                     same[k] &= exact
+        for (k, _), windows in verbatim.items():
+            for a, b in joined(windows):
+                covered.setdefault(k, np.zeros(len(self.own[k]), bool))[a:b] = True
+                longest[k] = max(longest[k], b - a)
         out = []
         for k, c in covered.items():
             if c.sum() >= COVER * len(c) or longest[k] >= RUN:
                 out.append((self.items[k][0], int(c.sum()), float(c.mean()), same[k]))
         return out
 
+    def _runs(self, ids: np.ndarray, tables: dict, items: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """(item, shift) -> the item's windows that stand in the document on this alignment."""
+        runs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        outside = np.concatenate([[0], np.cumsum(ids == OTHER)])
+        for w, (hashes, posted, places) in tables.items():
+            if len(ids) < w:
+                continue
+            inside = np.flatnonzero(outside[w:] == outside[:-w])  # all tokens occur in the benchmark
+            if not len(inside):
+                continue
+            h = window_hashes(ids, w)[inside]
+            at = np.searchsorted(hashes, h)
+            hit = np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == h)
+            for p, a, x in zip(inside[hit].tolist(), at[hit].tolist(), h[hit].tolist()):
+                while a < len(hashes) and hashes[a] == x:  # every posting of the hash, compared token by token
+                    k, q = int(posted[a]), int(places[a])
+                    if np.array_equal(items[k][q:q + w], ids[p:p + w]):
+                        runs[k, p - q].append((q, q + w))
+                    a += 1
+        return runs
+
 
 def core(chunk: str) -> str:
     return chunk.strip(_EDGE)
@@ -154,7 +165,7 @@ def core(chunk: str) -> str:
 
 def template(codes: np.ndarray) -> np.ndarray:
     """Token ids with names replaced: a capitalised word inside a sentence, or a known given name."""
-    ids = codes >> 3
+    ids = (codes & 0xFFFFFFFF) >> 3
     ends = np.concatenate([[True], (codes[:-1] & 1).astype(bool)])[:len(codes)]
     name = ((codes >> 2 & 1).astype(bool) | ((codes >> 1 & 1).astype(bool) & ~ends)) & ((ids > NAME) | (ids == OTHER))
     return np.where(name, NAME, ids)
@@ -187,7 +198,7 @@ def consistent(item: tuple, chunks: list[str], a: int, b: int, shift: int) -> bo
         kind = int(item[1][q])
         if kind > NAME:
             continue
-        x, y = item[2][q].lower(), core(chunks[q + shift]).lower()
+        x, y = item[2][q].casefold(), core(chunks[q + shift]).casefold()
         exact &= x == y
         if forth.setdefault((kind, x), y) != y:
             return None
@@ -214,7 +225,7 @@ def parts(item: tuple, chunks: list[str], a: int, b: int, shift: int) -> list[tu
         kind = int(item[1][q])
         if kind > NAME:
             continue
-        x, y = item[2][q].lower(), core(chunks[q + shift]).lower()
+        x, y = item[2][q].casefold(), core(chunks[q + shift]).casefold()
         if x != y:
             changed.append(q)
         at, was = forth.get((kind, x), (q, y))  # the last place of the value: [left, q) holds it with one partner only

@@ -136,3 +136,17 @@ def test_contradictions_match_every_pair_of_slots():
         assert got == want, (item, text)
         seen.add(got)
     assert seen >= {True}
+
+
+@pytest.mark.parametrize("item,text", [
+    ("Anna has 12 kg, Bob has 9 kg, Carol has 7 kg, Peter has 3 kg", "Anna has 12 kg, Bob has 9 kg, Carol has 7 kg, Peter has 3 kg"),
+    ("1 1 2 3 5 8 13 21 34 55 89 144", "1 1 2 3 5 8 13 21 34 55 89 144"),
+    ("Die Mutter kauft im Laden Brot und Milch für Onkel Heinz im Dorf", "die mutter kauft im laden brot und milch für onkel heinz im dorf"),
+    ("Die Mutter kauft im Laden Brot, Milch und Öl für Straße und Dorf", "DIE MUTTER KAUFT IM LADEN BROT, MILCH UND ÖL FÜR STRASSE UND DORF"),
+    ("Who won 1966", "who won 1966"), ("Why?", "why?")])
+def test_verbatim_copies_need_no_literals(item, text):
+    ix = dec.Index([(1, "some other item that is not in the text"), (7, item)])
+    leaks = ix.leaks("Before it. " + text + " And after.")
+    assert [(leak[0], leak[1], leak[2]) for leak in leaks] == [(7, len(item.split()), 1.0)]
+    other = " ".join("".join(chr(ord(c) + 1) if c.isalnum() else c for c in t) for t in text.split())
+    assert ix.leaks(other) == []
