@@ -3,8 +3,10 @@
 Licence templates are word sequences. The index holds, for every template word, its postings (template, position),
 and the word's inverse document frequency over all documents. A file looks up, for every template, the rarest
 template words that the file itself contains; each occurrence at ``p`` of a word posted at ``q`` votes for the
-alignment ``p - q``. Alignments on which the rare words' relative positions intersect are verified: every mandatory
-key phrase must stand near its place, and the share of template words found in place is the score.
+alignment ``p - q`` (and its neighbours up to ``SLACK``). Alignments on which enough of the rare words' relative
+positions intersect are verified: every mandatory key phrase must stand near its place, and the share of template words
+found in place is the score. A notice may lack some words; so many more words are looked up that every alignment that
+verification accepts has ``RARE`` votes, and the result is that of verifying all alignments.
 
 Exact phrases (``PHRASES``) label a file by themselves.
 """
@@ -54,7 +56,7 @@ TEMPLATES = [
      ["creative commons attribution 4 0"]),
 ]
 
-#: Template words looked up per template and file: its rarest ones that the file contains.
+#: Votes of the file's rarest template words that an alignment needs to be verified.
 RARE = 4
 #: Share of a template's words that must stand in place, and how far from it a word or phrase may stand.
 SCORE, SLACK = 0.75, 3
@@ -91,41 +93,40 @@ class Index:
 
     def weigh(self, counts: dict[bytes, int], n: int) -> Index:
         self.idf = {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in self.vocabulary}
-        self.rarest = []  # per template: its words by falling IDF, each with its positions
+        self.rarest = []  # per template: its (word, position) by falling IDF
         for t in self.texts:
-            at = defaultdict(list)
-            for q, w in enumerate(t):
-                at[w].append(q)
-            self.rarest.append(sorted(at.items(), key=lambda kv: (-self.idf[kv[0]], kv[0])))
+            self.rarest.append(sorted(((w, q) for q, w in enumerate(t)), key=lambda wq: (-self.idf[wq[0]], *wq)))
         return self
 
     def scan(self, file: list[bytes]) -> dict[str, float]:
         """Label -> best score of the templates verified in the file."""
         here = self.vocabulary.intersection(file)
-        looked = []  # (template, its rarest words present)
+        looked = []  # (template, (word, position) of the rarest words present, votes needed)
+        joined = b""
         for k, rare in enumerate(self.rarest):
-            some = [w for w, _ in rare if w in here][:RARE]
-            # the rarest words must be there: a file with the common words only holds no notice
-            need = min(2, len(rare))
-            if len([w for w, _ in rare[:RARE] if w in here]) >= need:
-                looked.append((k, some))
+            n = len(rare)
+            some = [(w, q) for w, q in rare if w in here]
+            if not some or len(some) / n < SCORE:
+                continue
+            joined = joined or b" " + b" ".join(file) + b" "
+            if all(not key or b" " + b" ".join(key) + b" " in joined for key in self.keys[k]):
+                lost = len(some) - next(h for h in range(n + 1) if h / n >= SCORE)  # places that may be out of place
+                some = some[:lost + RARE]
+                looked.append((k, some, max(1, len(some) - lost)))
         if not looked:
             return {}
-        wanted = {w for _, some in looked for w in some}
+        wanted = {w for _, some, _ in looked for w, _ in some}
         places = defaultdict(list)
         for p, w in enumerate(file):
             if w in wanted:
                 places[w].append(p)
         out: dict[str, float] = {}
-        for k, some in looked:
-            postings = dict(self.rarest[k])
+        for k, some, need in looked:
             votes: Counter = Counter()
-            for w in some:
-                votes.update({p - q for p in places[w] for q in postings[w]})
-            need = min(len(some), max(2, len(some) - 1)) if len(self.rarest[k]) > 1 else 1
-            for shift in sorted(votes):
-                near = sum(1 for w in some if any(self._near(places[w], shift + q) for q in postings[w]))
-                if near < need:
+            for w, q in some:
+                votes.update({p - q + d for p in places[w] for d in range(-SLACK, SLACK + 1)})
+            for shift, n in votes.items():
+                if n < need:
                     continue
                 score = self.verify(file, k, shift)
                 if score >= SCORE:
@@ -133,13 +134,6 @@ class Index:
                     out[label] = max(out.get(label, 0.0), score)
         return out
 
-    @staticmethod
-    def _near(places: list[int], at: int) -> bool:
-        from bisect import bisect_left
-
-        i = bisect_left(places, at - SLACK)
-        return i < len(places) and places[i] <= at + SLACK
-
     def verify(self, file: list[bytes], k: int, shift: int) -> float:
         """Share of template words in place (``SLACK`` words aside at most); 0 without every mandatory phrase."""
         text = self.texts[k]

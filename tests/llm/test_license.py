@@ -58,3 +58,42 @@ def test_mandatory_phrases_decide():
 
 def test_empty_table(frame):
     assert lic.scan_documents(frame([])).collect() == []
+
+
+def all_alignments(index, file):
+    out = {}
+    for k, label in enumerate(index.labels):
+        for shift in range(-len(index.texts[k]) - lic.SLACK, len(file) + lic.SLACK + 1):
+            score = index.verify(file, k, shift)
+            if score >= lic.SCORE:
+                out[label] = max(out.get(label, 0.0), score)
+    return out
+
+
+def test_shortened_notices_match_a_scan_of_all_alignments():
+    """Head, middle and tail of every notice, with words lost, changed and put in, in a corpus where the words that
+    most copies lack are the rare ones."""
+    rng = random.Random(21)
+    files = []
+    for _, notice, _ in lic.TEMPLATES:
+        w = lic.words(notice)
+        n = max(1, round(len(w) * rng.uniform(0.75, 0.85)))
+        for cut in (w, w[:n], w[len(w) - n:], w[(len(w) - n) // 2:][:n], w[:round(len(w) * 0.7)]):
+            for errors in (0, 1, 3):
+                cut = list(cut)
+                for _ in range(errors):
+                    at = rng.randrange(len(cut))
+                    cut[at:at + rng.randint(0, 1)] = rng.choice([[], [b"changed"], [rng.choice(w)]])
+                around = [rng.choice(lic.words("the software to copy use license of and publish terms")) for _ in range(20)]
+                files.append(around[:rng.randint(0, 20)] + cut + around[:rng.randint(0, 20)])
+    index = lic.Index()
+    index.weigh({w: sum(w in f for f in files) for w in index.vocabulary}, len(files))
+    for f in files:
+        assert index.scan(f) == all_alignments(index, f), b" ".join(f)
+
+
+def test_words_that_most_copies_lack_are_not_required(frame):
+    head = lic.TEMPLATES[0][1].split(" publish,")[0]
+    prose = "They publish and distribute books, sublicense rights and sell copies."
+    rows = lic.scan_documents(frame([head + "."] * 30 + [prose] * 3)).collect()
+    assert all(r.labels == (["mit"] if r.doc_id < 30 else []) for r in rows)
