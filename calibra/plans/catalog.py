@@ -1165,14 +1165,14 @@ def huber_holdout(spark, sf):
 
 @query("gbt_holdout")
 def gbt_holdout(spark, sf):
-    _, p = MD.learner_holdout(_split(spark, sf), "optimized10", MD.LIGHT_GBT)
+    _, p = MD.learner_holdout(_split(spark, sf), "optimized10", LR.STUDY_GBT)
     return M.metric_bundle(p, ["model"])
 
 
 @query("rf_importance")
 def rf_importance(spark, sf):
     """Random-forest feature importances of optimized10 as share, rank and cumulative share."""
-    model, _ = MD.learner_holdout(_split(spark, sf), "optimized10", MD.LIGHT_RF)
+    model, _ = MD.learner_holdout(_split(spark, sf), "optimized10", LR.STUDY_RF)
     imp = LR.tree_importance(spark, model, FT.names("optimized10"), "random_forest")
     return RK.importance_table(imp, ["model"])
 

@@ -19,15 +19,6 @@ from ..operators import rescale as RS
 from ..operators import splits as SP
 from . import evaluation as EV
 
-# Tree sizes used by the registered queries: the study's forests (200 trees, depth 15) take
-# minutes per fit in local mode, so the registered reports use these lighter settings; the
-# study's settings are LR.STUDY_RF / LR.STUDY_GBT / LR.ENSEMBLE_* for cluster runs.
-LIGHT_RF = LR.LearnerSpec("random_forest", "rf", {"numTrees": 30, "maxDepth": 8, "cacheNodeIds": True,
-                                                  "maxMemoryInMB": 1024})
-LIGHT_GBT = LR.LearnerSpec("gradient_boosting", "gbt", {"maxIter": 30, "stepSize": 0.1, "maxDepth": 3,
-                                                        "cacheNodeIds": True, "maxMemoryInMB": 1024})
-LIGHT_XGB = LR.LearnerSpec("boosted_trees", "gbt", {"maxIter": 30, "stepSize": 0.1, "maxDepth": 5,
-                                                    "cacheNodeIds": True, "maxMemoryInMB": 1024})
 RIDGE = L.LinearSpec("ridge", "ridge", alpha=1.0)
 
 def holdout_features(sp: DataFrame, set_name: str, keep=("rk", "y", "is_test")) -> DataFrame:
@@ -76,8 +67,8 @@ def base_predictions(spark, sf: str, sp: DataFrame, k_inner: int = 5, set_name:
     fr = holdout_features(sp, set_name)
     tr = SP.inner_folds(fr.filter(~F.col("is_test")), k_inner)
     te = fr.filter(F.col("is_test"))
-    rf = LR.LearnerSpec("p_rf", "rf", LIGHT_RF.params)
-    xgb = LR.LearnerSpec("p_xgb", "gbt", LIGHT_XGB.params)
+    rf = LR.LearnerSpec("p_rf", "rf", LR.ENSEMBLE_RF.params)
+    xgb = LR.LearnerSpec("p_xgb", "gbt", LR.ENSEMBLE_GBT.params)
 
     def fit(train, spec):
         return LR.make_estimator(spec).setPredictionCol(spec.name).fit(LR.assemble(train.select(*names, "y"), names))
@@ -130,7 +121,7 @@ def weighted(oof: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     return w, EN.weighted(test, w, BASES).select(F.lit("weighted").alias("model"), "y", "pred")
 
 
-def approach_compare(sp: DataFrame, set_names=("orig16", "rescaled8", "rescaled16"), rf=LIGHT_RF) -> DataFrame:
+def approach_compare(sp: DataFrame, set_names=("orig16", "rescaled8", "rescaled16"), rf=LR.STUDY_RF) -> DataFrame:
     """Feature-set x model comparison on one shared holdout: ElasticNet and Ridge through the Gram
     route, the forest through pyspark.ml; one long result table (U2)."""
     out = None
@@ -145,7 +136,7 @@ def approach_compare(sp: DataFrame, set_names=("orig16", "rescaled8", "rescaled1
 
 
 def model_sweep(df: DataFrame, k: int = 5, set_name: str = "optimized10", parallelism: int = 8,
-                learners=(LR.STUDY_HUBER, LIGHT_RF, LIGHT_GBT)) -> DataFrame:
+                learners=(LR.STUDY_HUBER, LR.STUDY_RF, LR.STUDY_GBT)) -> DataFrame:
     """K-fold sweep of the study's model list on one fold frame: the linear family through fold-keyed
     Gram statistics (one pass), the iterative/tree learners fitted per fold concurrently. Returns the
     fold summary (mean and population std of RMSE, MAE, R2) per model."""
