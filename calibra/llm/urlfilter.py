@@ -1,6 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token (DataFrame functions only).
 
-A pattern rule is a regular expression and the literal tokens that every match contains. Each rule is posted
+A pattern rule is a regular expression and the literal tokens that every match contains as whole tokens, bounded on
+both sides in the pattern. Each rule is posted
 under the one of its tokens that is rarest in all pages' urls. A url's tokens fetch the rules posted under them, and
 only these run their regular expressions on it. Path rules (host and path prefix) are decided first.
 """
@@ -30,7 +31,7 @@ PATTERN_RULES = [
     ("block", r"[?&]jsessionid=[0-9a-f]+", ["jsessionid"]),
     ("block", r"[?&]replytocom=[0-9]+", ["replytocom"]),
     ("block", r"/cart/(add|checkout)([/?#]|$)", ["cart"]),
-    ("block", r"/wp-login[.]php", ["wp", "login", "php"]),
+    ("block", r"/wp-login[.]php", ["wp", "login"]),
     ("block", r"/link-exchange([/?#]|$)", ["link", "exchange"]),
     ("block", r"[.]zip([?#]|$)", ["zip"]),
     ("block", r"[.]exe([?#]|$)", ["exe"]),

@@ -46,3 +46,10 @@ def test_tokens_stand_in_every_match():
 
 def test_empty(spark):
     assert urlfilter.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_rule_is_fetched_where_the_match_goes_on_in_its_last_token(spark):
+    urls = ["http://a.net/wp-login.php5"] + [f"http://b.net/wp/login/{i}" for i in range(9)] + ["http://a.net/x.php"]
+    d = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    assert {r.page_id: r.verdict for r in d.collect()} == {i: plain(u)[3] for i, u in enumerate(urls)}
+    assert plain(urls[0])[3] == "block"
