@@ -13,6 +13,7 @@ Spans are in code points, end exclusive. All scans are linear in the text.
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -150,6 +151,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     digits = bool(_DIGIT.search(text))
     taken = sorted((a, b) for a, b, _ in base)
     starts = [a for a, _ in taken]
+    tops = list(accumulate((b for _, b in taken), max))  # the furthest end of the spans so far
     for kind, net in _NETS:
         if kind != "name" and not digits:
             continue
@@ -159,7 +161,7 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                 continue
             if kind == "secret" and not _DIGIT.search(m[0]):
                 continue
-            if _touches(taken, starts, a, b):
+            if _touches(starts, tops, a, b):
                 continue
             votes = _votes(kind, text, a, b)
             size = min(3, (b - a) // 12)
@@ -167,11 +169,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
-def _touches(taken: list[tuple[int, int]], starts: list[int], a: int, b: int) -> bool:
+def _touches(starts: list[int], tops: list[int], a: int, b: int) -> bool:
     from bisect import bisect_left
 
     i = bisect_left(starts, b)
-    return any(e > a for _, e in taken[max(0, i - 8):i])  # spans of four kinds: few overlap each other
+    return i > 0 and tops[i - 1] > a
 
 
 # --- estimation ------------------------------------------------------------------------------------------------------

@@ -87,3 +87,13 @@ def test_digest_columns(spark, tmp_path, frame):
     assert r[3].base_sha256 == hashlib.sha256(want.encode()).hexdigest() and r[3].spans == want
     assert (r[3].n_email, r[3].n_ip, r[3].n_card, r[3].n_phone) == (1, 1, 1, 1)
     assert r[0].base_sha256 == hashlib.sha256(b"").hexdigest() and r[0].spans == ""
+
+
+def test_candidates_lie_on_no_base_span_however_many_start_later():
+    ips = "_".join(f"10.0.0.{i}" for i in range(1, 13))
+    for number in ("555-123-4567", "123-45-6789", "(0)30-1234567"):
+        for glue in ("%", "+", "%_", "-"):
+            t = f"mail {ips}{glue}{number}{glue}@example.org now, call {number} too"
+            base = pii.base_spans(t)
+            added = pii.candidates(t, base)
+            assert not [(s, b) for s in added for b in base if s[0] < b[1] and b[0] < s[1]], t
