@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license, linededup, packing, pii, quality, sharding, simhash, suffix, urlfilter
+from . import decontaminate, license, linededup, packing, pieces, pii, quality, sharding, simhash, suffix, urlfilter
 from .common import documents, stored
 from .oracles import ORACLES  # noqa: F401  the queries' SQL, where SQL can express them
 
@@ -23,6 +23,13 @@ def query(name: str):
     return add
 
 
+def piece_model() -> str:
+    """The SentencePiece BPE model of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def vocabulary() -> str:
     """The word BPE file of the installed public tokenizers (the same path on every executor)."""
     import public_tokenizers
@@ -102,3 +109,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return d.select("doc_id", *map(count, pii.BASE),
                     F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
+@query("op13_pieces")
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pieces.encode_documents(documents(spark, sf_dir), piece_model())
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+                    F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
