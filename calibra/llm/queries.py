@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license, linededup, packing, pieces, pii, quality, sharding, simhash, suffix, urlfilter
+from . import (decontaminate, hardnegatives, license, linededup, packing, pieces, pii, prefixtrie, quality, sharding,
+               simhash, suffix, urlfilter)
 from .common import documents, stored
 from .oracles import ORACLES  # noqa: F401  the queries' SQL, where SQL can express them
 
@@ -118,3 +119,16 @@ def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                     F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
                     F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op11_hardnegatives")
+def op11_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hardnegatives.mine(rows, "vec_id", label, "embedding", F.col("vec_id") % 50 == 0)
+
+
+@query("op12_prefixtrie")
+def op12_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
