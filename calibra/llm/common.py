@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +46,16 @@ def lower_az(c: Column) -> Column:
 
 
 def by_text(df: DataFrame, columns: list[str], fn: Callable[..., Iterator[tuple]], schema: str,
-            rows: int = 256) -> DataFrame:
+            rows: int = 256, most: int | None = None) -> DataFrame:
     """Map rows to rows through Arrow. ``fn(*column lists)`` gets at most ``rows`` rows as Python lists and
-    yields output tuples, so a worker holds one small slice as objects whatever the batch size."""
+    yields output tuples, so a worker holds one small slice as objects whatever the batch size. With ``most`` a slice
+    also ends where its strings pass that many bytes (a longer text is a slice of its own)."""
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for at, n in _slices(batch, rows, most):
+                part = batch.slice(at, n)
                 made = list(fn(*(part.column(i).to_pylist() for i in range(part.num_columns))))
                 cols = list(zip(*made)) if made else [[] for _ in arrow]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow)], schema=arrow)
@@ -60,6 +63,22 @@ def by_text(df: DataFrame, columns: list[str], fn: Callable[..., Iterator[tuple]
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, rows: int, most: int | None) -> Iterator[tuple[int, int]]:
+    sizes = np.zeros(batch.num_rows, np.int64)
+    if most is not None:
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        upto = at + rows
+        if most is not None:
+            upto = min(upto, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        n = max(1, min(upto, batch.num_rows) - at)
+        yield at, n
+        at += n
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_text, gapless_rank, stored
+from .pieces import WordTable, look_up
 
 WINDOW = 4096
 END_ID = 2
@@ -32,8 +33,12 @@ END_ID = 2
 #: words are white-space separated, and the tokenizer's own split of a word is ``_PARTS``.
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÿ]")
 _PARTS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-#: Entries of each of a worker's two caches before its older half goes; bounds memory, results do not depend on it.
-_CACHE_ROWS = 700_000
+#: Bytes of the texts of one slice (or one text); bounds memory, results do not depend on it.
+SLICE_BYTES = 2 << 20
+#: Kinds of bytes of lower-cased text: 0 white space, 1 letter, 2 digit, 3 other (letters of two bytes are told apart later).
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(9, 14)]] = 0
+_KIND[0x61:0x7B], _KIND[0x30:0x3A] = 1, 2
 _TOKENIZERS: dict[str, WordIds] = {}
 
 
@@ -44,31 +49,13 @@ def _byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in own}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-class Recent(dict):
-    """A dict that computes missing entries and keeps at most ``_CACHE_ROWS``: when one half is full, the other,
-    older half goes; what is used of it moves over."""
-
-    def __init__(self, compute):
-        super().__init__()
-        self.compute, self.older = compute, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if (got := self.older.get(key)) is None:
-            got = self.compute(key)
-        if len(self) >= _CACHE_ROWS // 2:
-            self.older = dict(self)
-            self.clear()
-        self[key] = got
-        return got
-
-
 class WordIds:
     """Token ids (little-endian bytes) of a text, from the library's tokenizer.
 
     The tokenizer drops white space and never merges across it or across its split patterns, so the ids of a text
-    are those of its words' parts in order. Words and parts are remembered; an unknown part goes to the
-    tokenizer's BPE model. A text with other characters than those whose split is known here, or with a special
-    token's opening, goes to the tokenizer whole.
+    are those of its words' parts in order. The words of a slice are cut and looked up as arrays in a table of bounded
+    size (``pieces.WordTable``); the parts of an unknown word go to the tokenizer's BPE model. A text with other
+    characters than those whose split is known here, or with a special token's opening, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -77,25 +64,55 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.parts = Recent(self._part)
-        self.words = Recent(self._word)
+        self.table = WordTable()
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str) -> list[int]:
         raw = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(raw)])
-
-    def _word(self, word: str) -> bytes:
-        if word.isalpha():
-            return self.parts[word]
-        return b"".join(map(self.parts.__getitem__, _PARTS.findall(word)))
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if "<|" in text or _OTHER.search(text):
-            return self.encode(text)
-        return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return [t.id for t in self.model.tokenize(raw)]
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = [[i for part in _PARTS.findall(w.decode()) for i in self._part(part)] for w in words]
+        return np.array([i for ids in made for i in ids], np.int32), np.array(list(map(len, made)), np.int64)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    @staticmethod
+    def _cut_parts(data: np.ndarray, first: np.ndarray) -> None:
+        """Mark the parts of words without an apostrophe (whose parts depend on what follows) as words of their own."""
+        at = np.flatnonzero(first)
+        if not len(at):
+            return
+        kind = _KIND[data]
+        lead = np.flatnonzero(data == 0xC3)
+        kind[lead] = kind[lead + 1] = np.where((data[lead + 1] == 0x97) | (data[lead + 1] == 0xB7), 3, 1)
+        cut = np.zeros(len(data), bool)
+        cut[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        size = np.diff(np.append(at, len(data)))
+        whole = np.repeat(np.add.reduceat((data == 0x27).astype(np.int64), at) > 0, size)
+        cut[at[0]:] &= ~whole
+        first |= cut
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out = [self.encode(t) if "<|" in t or _OTHER.search(t) else None for t in texts]
+        plain = [t.lower().encode() for t, ids in zip(texts, out) if ids is None]
+        data = np.frombuffer(b"\n".join([*plain, b""]), np.uint8)
+        # white space leaves; a word begins where it stood before
+        inside = (data != 0x20) & ((data < 9) | (data > 13))
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        self._cut_parts(data, first)
+        place = np.cumsum(inside)
+        at = place[first] - 1
+        joined = data[inside].tobytes()
+        flat, count = look_up(self.table, joined, at, np.diff(np.append(at, len(joined))), self._learn) if len(at) else (
+            np.zeros(0, np.int32), np.zeros(0, np.int64))
+        ends = np.cumsum([len(t) + 1 for t in plain], dtype=np.int64)
+        words = np.searchsorted(np.flatnonzero(first), np.concatenate([[0], ends]))
+        upto = np.concatenate([[0], np.cumsum(count)])[words].tolist()
+        found = (flat[a:b] for a, b in zip(upto, upto[1:]))
+        return [next(found) if ids is None else ids for ids in out]
 
 
 def word_ids(path: str) -> WordIds:
@@ -114,15 +131,14 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
     end = int(end_id).to_bytes(4, "little")
 
     def cut(ids, texts):
-        words = word_ids(vocabulary)
-        for d, text in zip(ids, texts):
-            b = words.ids(text or "") + end
+        for d, own in zip(ids, word_ids(vocabulary).ids([t or "" for t in texts])):
+            b = own.astype("<u4").tobytes() + end
             n = len(b) // 4
             for s in range(0, n, window):
                 yield d, s, min(window, n - s), b[4 * s:4 * (s + window)], n
 
     return by_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], cut,
-                   "doc_id long, start long, length long, ids binary, doc_tokens long", rows=64)
+                   "doc_id long, start long, length long, ids binary, doc_tokens long", rows=1 << 20, most=SLICE_BYTES)
 
 
 class CapacityTree:

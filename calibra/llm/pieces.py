@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ LONG = 4096
 _LATIN = r"A-Za-z\xc0-ȿ"
 CUTS = [f"{SPACE}*(?:[{_LATIN}]+|[0-9]|[^{_LATIN}0-9{SPACE}]+)|{SPACE}+", f"{SPACE}*[^{SPACE}]+|{SPACE}+", "(?s:.+)"]
 #: Words a worker keeps encoded (about 80 bytes each), and the longest of them in bytes; longer ones are merged anew.
-KEPT_WORDS, KEPT_BYTES = 1 << 18, 64
+KEPT_WORDS, KEPT_BYTES = 1 << 19, 64
 #: Texts of one slice: new words of a slice are merged together.
 SLICE_BYTES = 2 << 20
 _NONE = np.int64(1) << 40  # the rank of a pair that joins to no piece
@@ -312,38 +313,46 @@ class PieceModel:
         filled = np.diff(ends, prepend=0) > 0
         at = self.starts(data, (np.diff(ends, prepend=0) * -1 + ends)[filled])
         size = np.diff(np.append(at, len(data)))
-        table = self.words
-        table.trim()
-        one, two = table.hashes(data, at, size)
-        slot = np.where(size <= KEPT_BYTES, table.find(one, two), -1)
-        begin, count = table.begin[slot], table.count[slot]
-        table.used[slot[slot >= 0]] = True
-        new = np.flatnonzero(slot < 0)
-        extra = np.zeros(0, np.int32)
-        if len(new):
-            short = size[new] <= KEPT_BYTES
-            # short words are merged once each, longer ones one by one
-            key = np.where(short, one[new], np.arange(len(new), dtype=np.uint64))
-            _, at_first, where = np.unique(key, return_index=True, return_inverse=True)
-            if (short & (two[new] != two[new[at_first[where]]])).any():  # the first hash is shared: take both
-                _, at_first, where = np.unique(np.stack([key, np.where(short, two[new], 0)], 1), axis=0,
-                                               return_index=True, return_inverse=True)
-            some = new[at_first]
-            extra, n = self.word_ids([joined[a:a + k].decode("utf-8", "surrogatepass").replace(" ", SPACE)
-                                      for a, k in zip(at[some].tolist(), size[some].tolist())])
-            base = np.cumsum(n) - n
-            where = where.reshape(-1)
-            begin[new], count[new] = base[where] + len(table.ids), n[where]
-        held = np.concatenate([table.ids, extra]) if len(extra) else table.ids
+        flat, count = look_up(self.words, joined, at, size, lambda words: self.word_ids(
+            [w.decode("utf-8", "surrogatepass").replace(" ", SPACE) for w in words]))
         stop = np.cumsum(count)
-        flat = held[np.arange(stop[-1]) + np.repeat(begin - (stop - count), count)]
-        if len(new):
-            keep = np.flatnonzero(size[some] <= KEPT_BYTES)
-            table.add(one[some[keep]], two[some[keep]], base[keep], n[keep], extra)
         upto = np.concatenate([[0], stop])[np.searchsorted(at, np.concatenate([[0], ends]))]
         return [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
 
 
+def look_up(table: WordTable, joined: bytes, at: np.ndarray, size: np.ndarray,
+            learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words of ``joined`` (adjoining, beginning at ``at``) in one array, and each word's number of ids. Words
+    that the table does not hold go to ``learn`` together, short ones once each, and are kept."""
+    data = np.frombuffer(joined, np.uint8)
+    table.trim()
+    one, two = table.hashes(data, at, size)
+    slot = np.where(size <= KEPT_BYTES, table.find(one, two), -1)
+    begin, count = table.begin[slot], table.count[slot]
+    table.used[slot[slot >= 0]] = True
+    new = np.flatnonzero(slot < 0)
+    extra = np.zeros(0, np.int32)
+    if len(new):
+        short = size[new] <= KEPT_BYTES
+        key = np.where(short, one[new], np.arange(len(new), dtype=np.uint64))
+        _, at_first, where = np.unique(key, return_index=True, return_inverse=True)
+        if (short & (two[new] != two[new[at_first[where]]])).any():  # the first hash is shared: take both
+            _, at_first, where = np.unique(np.stack([key, np.where(short, two[new], 0)], 1), axis=0,
+                                           return_index=True, return_inverse=True)
+        some = new[at_first]
+        extra, n = learn([joined[a:a + k] for a, k in zip(at[some].tolist(), size[some].tolist())])
+        base = np.cumsum(n) - n
+        where = where.reshape(-1)
+        begin[new], count[new] = base[where] + len(table.ids), n[where]
+    held = np.concatenate([table.ids, extra]) if len(extra) else table.ids
+    stop = np.cumsum(count)
+    flat = held[np.arange(stop[-1]) + np.repeat(begin - (stop - count), count)]
+    if len(new):
+        keep = np.flatnonzero(size[some] <= KEPT_BYTES)
+        table.add(one[some[keep]], two[some[keep]], base[keep], n[keep], extra)
+    return flat, count
+
+
 class WordTable:
     """Ids of words by two 64-bit hashes of their bytes: an open-addressing table of numpy arrays of bounded size.
 
@@ -353,7 +362,7 @@ class WordTable:
         rng = np.random.default_rng(64)
         self.of_byte = rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         self.of_place = rng.integers(1, 1 << 63, (2, KEPT_BYTES), dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        self.bits = (4 * KEPT_WORDS).bit_length() - 1
+        self.bits = (2 * KEPT_WORDS).bit_length() - 1
         self.clear()
 
     def clear(self):
@@ -381,7 +390,10 @@ class WordTable:
         return at
 
     def add(self, one, two, begin, count, ids):
-        """Put in words that are not held; ``begin`` counts in ``ids``."""
+        """Put in words that are not held; ``begin`` counts in ``ids``. A slice with too many new words is not kept."""
+        if 2 * (self.n + len(one)) > 3 * KEPT_WORDS:
+            self.n = max(self.n, KEPT_WORDS)  # the next trim makes room
+            return
         at = (one >> np.uint64(64 - self.bits)).view(np.int64)
         begin = begin + len(self.ids)
         open_ = np.arange(len(at))

@@ -64,8 +64,8 @@ def test_stages_match_plain_versions(spark, tmp_path):
     assert sorted(r["doc_id"] for r in rows[3]) == sorted(set(comp)) and len(rows[3]) < len(rows[2])
     assert key(rows[4]) == key([r for r in rows[3] if not any(t in r["text"] for t in items)]) and len(rows[4]) < len(rows[3])
     w = packing.word_ids(vocabulary())
-    assert {r["doc_id"]: r["doc_tokens"] for r in rows[5]} == {r["doc_id"]: len(w.encode(r["text"])) // 4 + 1 for r in rows[4]}
-    assert sum(r["length"] for r in rows[5]) == sum(len(w.encode(r["text"])) // 4 + 1 for r in rows[4])
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows[5]} == {r["doc_id"]: len(w.encode(r["text"])) + 1 for r in rows[4]}
+    assert sum(r["length"] for r in rows[5]) == sum(len(w.encode(r["text"])) + 1 for r in rows[4])
     got = P.run(spark, str(tmp_path)).drop("sequence_id", "offset")
     assert sorted(got.collect()) == sorted(results[-1].drop("sequence_id", "offset").collect())
 
