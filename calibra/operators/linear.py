@@ -122,12 +122,18 @@ def _kkt_polish(G: np.ndarray, c: np.ndarray, l1: float, l2: float, w: np.ndarra
 
 
 def coordinate_descent(G: np.ndarray, c: np.ndarray, l1: float, l2: float, tol: float = 1e-9,
-                       max_iter: int = 200000) -> np.ndarray:
-    """min 1/2 w'Gw - c'w + l1 |w|_1 + l2/2 |w|^2 (G = X'X/n of standardised features).
+                       max_iter: int = 200000, start: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
+    """min 1/2 w'Gw - c'w + l1 |w|_1 + l2/2 |w|^2 (G = X'X/n of standardised features), and whether the solution met
+    the optimality conditions before the iterations ran out.
 
     Cyclic coordinate descent until the support settles, then an exact active-set solve
-    (checked against the optimality conditions); CD continues if the check fails."""
+    (checked against the optimality conditions); CD continues if the check fails. ``start`` is a neighbouring
+    problem's solution: where its support and signs hold, the exact solve on them is the answer at once."""
     p = len(c)
+    if start is not None:
+        pw = _kkt_polish(G, c, l1, l2, start)
+        if pw is not None:
+            return pw, True
     w = np.zeros(p)
     diag = np.diag(G) + l2
     it, check_every = 0, 50
@@ -142,69 +148,72 @@ def coordinate_descent(G: np.ndarray, c: np.ndarray, l1: float, l2: float, tol:
         if delta < tol or it % check_every == 0:
             pw = _kkt_polish(G, c, l1, l2, w)
             if pw is not None:
-                return pw
+                return pw, True
             if delta < tol * 1e-3:
                 break
-    return w
-
-
-def solve_row(row: pd.Series, p: int, spec: LinearSpec) -> tuple[float, np.ndarray]:
-    """Raw-unit (intercept, coefficients) for one group's statistics."""
-    n = float(row["n"])
-    mu = np.array([row[f"mu_{i}"] for i in range(p)], dtype=float)
-    C = np.empty((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            C[i, j] = C[j, i] = row[_cov_name(i, j)]
-    cy = np.array([row[f"cy_{i}"] for i in range(p)], dtype=float)
-    return solve_moments(n, mu, C, cy, float(row["mu_y"]), spec)
+    return w, False
 
 
 def solve_moments(n: float, mu: np.ndarray, C: np.ndarray, cy: np.ndarray, mu_y: float,
-                  spec: LinearSpec) -> tuple[float, np.ndarray]:
-    """Solve from training moments: feature means ``mu``, population covariance ``C``,
-    feature-label covariance ``cy`` and label mean."""
+                  spec: LinearSpec, start: np.ndarray | None = None) -> tuple[float, np.ndarray, bool, np.ndarray]:
+    """Solve from training moments: feature means ``mu``, population covariance ``C``, feature-label covariance
+    ``cy`` and label mean. Returns raw-unit intercept and coefficients, whether the solver converged, and the
+    standardised coefficients (a start for the next problem)."""
     p = len(mu)
     sd = np.sqrt(np.clip(np.diag(C), 0, None))
     sd[sd == 0] = 1.0
     G = C / np.outer(sd, sd)           # covariance of standardised features
     c = cy / sd                         # covariance of standardised features with y
+    done = True
     if spec.kind == "ols":
         w = np.linalg.lstsq(G, c, rcond=None)[0]
     elif spec.kind == "ridge":
         w = np.linalg.solve(n * G + spec.alpha * np.eye(p), n * c)
     elif spec.kind == "lasso":
-        w = coordinate_descent(G, c, spec.alpha, 0.0)
+        w, done = coordinate_descent(G, c, spec.alpha, 0.0, start=start)
     elif spec.kind == "elasticnet":
-        w = coordinate_descent(G, c, spec.alpha * spec.l1_ratio, spec.alpha * (1 - spec.l1_ratio))
+        w, done = coordinate_descent(G, c, spec.alpha * spec.l1_ratio, spec.alpha * (1 - spec.l1_ratio), start=start)
     else:
         raise ValueError(spec.kind)
     beta = w / sd
-    return float(mu_y - beta @ mu), beta
+    return float(mu_y - beta @ mu), beta, done, w
 
 
 def fit_linear(stats: DataFrame, features: list[str], specs=STUDY_LINEAR, by: list[str] = ()) -> DataFrame:
-    """Solve every spec for every group of ``gram_stats`` (one small task per group).
+    """Solve every spec for every group of ``gram_stats`` (one row each; rows are dealt over the cores, and each solve
+    starts from its neighbour's solution).
 
-    Output: by..., model, intercept, b_<feature>..."""
+    Output: by..., model, intercept, b_<feature>..., converged (false: the iterations ran out first)."""
     p = len(features)
     key_fields = [f for f in stats.schema.fields if f.name in by]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields]
-                       + ["model string", "intercept double"] + [f"`b_{f}` double" for f in features])
-    specs = tuple(specs)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            for spec in specs:
-                b0, beta = solve_row(row, p, spec)
-                out.append([row[k] for k in by] + [spec.name, b0] + list(beta))
-        return pd.DataFrame(out, columns=list(by) + ["model", "intercept"] + [f"b_{f}" for f in features])
-
-    keys = list(by)
-    if not keys:
-        stats, keys = stats.withColumn("_all", F.lit(0)), ["_all"]
-    return stats.groupBy(*keys).applyInPandas(solve, schema)
+                       + ["model string", "intercept double"] + [f"`b_{f}` double" for f in features] + ["converged boolean"])
+    specs, by = tuple(specs), list(by)
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    numbers = ["n", "mu_y", *(f"mu_{i}" for i in range(p)), *(f"cy_{i}" for i in range(p)),
+               *(_cov_name(i, j) for i, j in upper)]
+    rows, cols = (np.array(x, int) for x in zip(*upper))
+
+    def solve(batches):
+        start: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            out = []
+            keys = zip(*(pdf[k] for k in by)) if by else iter(lambda: (), None)
+            for key, v in zip(keys, pdf[numbers].to_numpy(float)):
+                C = np.empty((p, p))
+                C[rows, cols] = C[cols, rows] = v[2 + 2 * p:]
+                for spec in specs:
+                    if not np.isfinite(v).all():  # no training rows
+                        out.append([*key, spec.name, None, *[None] * p, False])
+                        continue
+                    b0, beta, done, start[spec.name] = solve_moments(
+                        v[0], v[2:2 + p], C, v[2 + p:2 + 2 * p], v[1], spec, start.get(spec.name))
+                    out.append([*key, spec.name, b0, *beta, done])
+            yield pd.DataFrame(out, columns=[*by, "model", "intercept", *(f"b_{f}" for f in features), "converged"])
+
+    if by:
+        stats = stats.repartition(stats.sparkSession.sparkContext.defaultParallelism, *by)
+    return stats.select(*by, *numbers).mapInPandas(solve, schema)
 
 
 def linear_prediction(features: list[str]) -> Column:

@@ -11,12 +11,14 @@ The tenth feature, the row median of (ref, s2_r, s3_r), switches between three a
 branches. For a row whose branch is the same for every theta inside the bounding box of all
 theta_g (checked by interval arithmetic: the three value intervals are pairwise disjoint) the
 median is affine too, through branch-gated base columns (ref*[ref], s2*[s2], [s2], s3*[s3], [s3]).
-The remaining rows — near a tie — are expanded against every group's parameters and their
-exact features are aggregated per group. Those rows are few in practice; their cost is
-(unstable rows x groups).
 
-Per group the combined moments are solved in ``applyInPandas`` (one small task per group);
-coefficients come back as a table with one row per (group, model).
+The other rows meet a cell index over the groups' parameters: ``CELLS`` x ``CELLS`` cells, cut at equal shares of
+the two scales. A row whose branch is fixed over a cell's box adds its base vector to that cell's moments; only rows
+unstable within a cell are joined, by the cell's number, to the groups of that cell and expanded exactly. Both parts
+leave the held-out group's own rows out again, as "cell minus group" and by the join.
+
+The combined moments of all groups are solved where they lie (one row a group, each solve starting from its
+neighbour's solution); coefficients come back as a table with one row per (group, model).
 """
 
 from __future__ import annotations
@@ -28,15 +30,18 @@ from pyspark.sql import functions as F
 
 from ..functions import features as FT
 from ..functions.scalar import RATIO_EPS
+from ..sources.staging import staged
 from . import linear as L
 from .joins import attach
-from .rescale import leave_out_params, rescale_params
+from .rescale import leave_out_params
 
 FEATS = ["ref", "s2_r", "s3_r", "mean_r", "median_r", "s2_r_x_ref", "s3_r_x_ref", "ref_sq", "sqrt_ref",
          "s3_r_div_ref"]          # optimized10, in its order
 BASE = ["ref", "s2", "s3", "s2ref", "s3ref", "refsq", "sqrtref", "s3div", "invref",
         "eref", "e2", "o2", "e3", "o3", "y"]
 NB = len(BASE) - 1          # base columns mapped to features (y excluded)
+CELLS = 8                   # cuts of each scale's range: CELLS * CELLS cells at most
+THETA = ["a2", "c2", "a3", "c3"]
 
 
 def _base_cols(branch):
@@ -72,10 +77,9 @@ def design(theta) -> tuple[np.ndarray, np.ndarray]:
     return A, d
 
 
-def _branch_and_stability(df: DataFrame, box: DataFrame) -> DataFrame:
-    """Median branch at any theta of the box (0 ref, 1 s2_r, 2 s3_r) and whether it is fixed
-    over the whole box (the three value intervals are pairwise disjoint)."""
-    j = df.crossJoin(F.broadcast(box))
+def _branch(df: DataFrame) -> DataFrame:
+    """Add the median's branch at any theta of the row's box (0 ref, 1 s2_r, 2 s3_r) and whether it is fixed
+    over the whole box (the three value intervals are pairwise disjoint); the box columns go."""
     s2, s3, r = F.col("s2"), F.col("s3"), F.col("ref")
     lo2 = F.least(F.col("a2_lo") * s2, F.col("a2_hi") * s2) + F.col("c2_lo")
     hi2 = F.greatest(F.col("a2_lo") * s2, F.col("a2_hi") * s2) + F.col("c2_hi")
@@ -85,131 +89,146 @@ def _branch_and_stability(df: DataFrame, box: DataFrame) -> DataFrame:
     m2, m3 = (lo2 + hi2) / 2, (lo3 + hi3) / 2            # any point of the box orders stable rows alike
     med = F.greatest(F.least(r, m2), F.least(F.greatest(r, m2), m3))
     branch = F.when(med == r, 0).when(med == m2, 1).otherwise(2)
-    return j.withColumn("_branch", branch).withColumn("_stable", apart).drop(
-        *[f"{p}_{e}" for p in ("a2", "c2", "a3", "c3") for e in ("lo", "hi")])
+    return df.withColumns({"_branch": branch, "_stable": F.coalesce(apart, F.lit(False))}).drop(
+        *[f"{c}_{e}" for c in THETA for e in ("lo", "hi")])
+
+
+def _boxes(th: DataFrame, by: list[str]) -> DataFrame:
+    return th.groupBy(*by).agg(*[f(c).alias(f"{c}_{e}") for c in THETA for f, e in ((F.min, "lo"), (F.max, "hi"))])
+
+
+def _cells(th: DataFrame) -> DataFrame:
+    """Each group's cell, from equal shares of the groups along both scales."""
+    share = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    cuts = th.agg(F.percentile_approx("a2", share, 1000).alias("_q2"), F.percentile_approx("a3", share, 1000).alias("_q3"))
+
+    def place(q, c):
+        return F.size(F.filter(q, lambda v: v < F.col(c)))
+
+    return th.crossJoin(F.broadcast(cuts)).withColumn("cell", place("_q2", "a2") * CELLS + place("_q3", "a3")).drop("_q2", "_q3")
+
 
+_PAIRS = [(i, j) for i in range(len(BASE)) for j in range(i, len(BASE))]
+_SUMS = ["sn", *(f"s_{i}" for i in range(len(BASE))), *(f"S_{i}_{j}" for i, j in _PAIRS)]
 
-def loro_linear(df: DataFrame, group: str = "site", specs=L.STUDY_LINEAR):
+
+def _base_sums(rows: DataFrame, by: list[str], centre: DataFrame) -> DataFrame:
+    """Count, sums and sums of products of the centred base vector, per ``by``."""
+    base = _base_cols("_branch")
+    z = rows.select(*by, *[base[n].alias(n) for n in BASE]).crossJoin(F.broadcast(centre)).select(
+        *by, *[(F.col(n) - F.col(f"c_{i}")).alias(f"z{i}") for i, n in enumerate(BASE)])
+    return z.groupBy(*by).agg(F.count(F.lit(1)).alias("sn"), *[F.sum(f"z{i}").alias(f"s_{i}") for i in range(len(BASE))],
+                              *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"S_{i}_{j}") for i, j in _PAIRS])
+
+
+def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
+    return df.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in _SUMS])
+
+
+def loro_linear(df: DataFrame, group: str = "site", specs=L.STUDY_LINEAR, ids: list[str] = ()):
     """Exact leave-one-group-out fits of the linear family on optimized10.
 
-    Returns (coefficients: group, model, intercept, b_<feature>; long test predictions:
-    group, model, y, pred)."""
-    params = leave_out_params(df, group).drop("n_train")
-    th = params.select(group, F.col("s2_scale").alias("a2"), F.col("s2_offset").alias("c2"),
-                       F.col("s3_scale").alias("a3"), F.col("s3_offset").alias("c3"))
-    box = th.agg(*[f(c).alias(f"{c}_{e}") for c in ("a2", "c2", "a3", "c3")
-                   for f, e in ((F.min, "lo"), (F.max, "hi"))])
-    rows = _branch_and_stability(df, box)
-
-    # stable rows: per-group centred moments of the base vector
-    st = rows.filter(F.col("_stable"))
-    bc = _base_cols("_branch")
-    st = st.select(group, *[bc[n].alias(n) for n in BASE])
-    ctr = st.agg(*[F.avg(n).alias(f"c_{n}") for n in BASE])
-    stc = st.crossJoin(F.broadcast(ctr)).select(group, *[(F.col(n) - F.col(f"c_{n}")).alias(n) for n in BASE],
-                                                 *[F.col(f"c_{n}") for n in BASE])
-    aggs = [F.count(F.lit(1)).alias("sn")] + [F.sum(n).alias(f"s_{i}") for i, n in enumerate(BASE)]
-    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"S_{i}_{j}") for i, a in enumerate(BASE)
-             for j, b in enumerate(BASE) if j >= i]
-    aggs += [F.first(f"c_{n}").alias(f"c_{i}") for i, n in enumerate(BASE)]
-    pg = stc.groupBy(group).agg(*aggs)
-    num = ["sn"] + [f"s_{i}" for i in range(len(BASE))] + [c for c in pg.columns if c.startswith("S_")]
-    tot = pg.agg(*[F.sum(c).alias(f"t{c}") for c in num], *[F.first(f"c_{i}").alias(f"tc_{i}") for i in range(len(BASE))])
-    # every group that has test rows gets a row, even if it has no stable rows itself
-    groups = df.select(group).distinct()
-    pg = groups.join(pg.drop(*[f"c_{i}" for i in range(len(BASE))]), group, "left").na.fill(0.0).na.fill(0, ["sn"])
-    pg = pg.crossJoin(F.broadcast(tot))
-
-    # unstable rows: exact features under every other group's parameters, raw sums per group
-    un = rows.filter(~F.col("_stable")).select(F.col(group).alias("_own"), "ref", "s2", "s3", "y")
-    pr = params.withColumnRenamed(group, "_g")
-    ux = un.join(pr, F.col("_own") != F.col("_g"))
-    ux = FT.project(ux, FT.optimized10(), keep=["_g", "y"])
+    Returns (coefficients: group, model, intercept, b_<feature>, converged; long test predictions:
+    ids..., group, model, y, pred). Groups whose complement has no rescale parameters, or under two rows, have no row."""
+    ids = [c for c in ids if c != group]
+    x = staged(df.select(F.col(group).alias("_own"), "ref", "s2", "s3", "y", *ids))
+    params = staged(leave_out_params(x, "_own").drop("n_train"))
+    th = staged(_cells(params.select(F.col("_own").alias("_g"), F.col("s2_scale").alias("a2"), F.col("s2_offset").alias("c2"),
+                                     F.col("s3_scale").alias("a3"), F.col("s3_offset").alias("c3"))))
+    rows = staged(_branch(x.drop(*ids).crossJoin(F.broadcast(_boxes(th, [])))))
+    fixed = rows.filter("_stable")
+    base = _base_cols("_branch")
+    centre = staged(rows.agg(*[F.coalesce(F.avg(base[n]), F.lit(0.0)).alias(f"c_{i}") for i, n in enumerate(BASE)]))
+
+    own = staged(_base_sums(fixed, ["_own"], centre))
+    total = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"t{c}") for c in _SUMS])
+    # rows near a tie, once per cell (at most CELLS * CELLS boxes, a bound by parameter)
+    near = rows.filter("not _stable").drop("_branch", "_stable").crossJoin(F.broadcast(_boxes(th, ["cell"])))
+    near = staged(_branch(near))
+    cell_own = staged(_base_sums(near.filter("_stable"), ["cell", "_own"], centre))
+    cell_total = cell_own.groupBy("cell").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    ux = near.filter("not _stable").select("cell", "_own", "ref", "s2", "s3", "y").join(th, "cell").filter(
+        ~F.col("_own").eqNullSafe(F.col("_g")))
+    ux = FT.project(ux.withColumnsRenamed({"a2": "s2_scale", "c2": "s2_offset", "a3": "s3_scale", "c3": "s3_offset"}),
+                    FT.optimized10(), keep=["_g", "y"])
     uaggs = [F.count(F.lit(1)).alias("un"), F.sum("y").alias("uy"), F.sum(F.col("y") * F.col("y")).alias("uyy")]
     uaggs += [F.sum(f).alias(f"ux_{i}") for i, f in enumerate(FEATS)]
     uaggs += [F.sum(F.col(f) * F.col("y")).alias(f"uxy_{i}") for i, f in enumerate(FEATS)]
     uaggs += [F.sum(F.col(a) * F.col(b)).alias(f"uxx_{i}_{j}") for i, a in enumerate(FEATS)
               for j, b in enumerate(FEATS) if j >= i]
-    ug = ux.groupBy(F.col("_g").alias(group)).agg(*uaggs)
+    ug = ux.groupBy("_g").agg(*uaggs)
+
+    # all training moments of group g: total - own + cell - (cell, own); missing parts are zero
+    z = th.crossJoin(F.broadcast(total))
+    for part, prefix, on in ((own, "o", ["_own"]), (cell_total, "k", ["cell"]), (cell_own, "q", ["cell", "_own"]),):
+        z = _left(z.withColumn("_own", F.col("_g")), _prefixed(part, prefix, on), on)
+    z = z.select("_g", *THETA, *[(F.col(f"t{c}") + sum(
+        (sign * F.coalesce(F.col(f"{p}{c}"), F.lit(0)) for sign, p in ((-1, "o"), (1, "k"), (-1, "q"))), F.lit(0))
+    ).cast("double").alias(c) for c in _SUMS])
+    z = _left(z, ug, ["_g"]).na.fill(0.0, [c for c in ug.columns if c not in ("_g", "un")]).na.fill(0, ["un"])
+    gtype = df.schema[group].dataType.simpleString()
+    coefs = staged(_solve_groups(z.crossJoin(F.broadcast(centre)), gtype, specs).withColumnRenamed("_g", group))
+
+    te = FT.project(attach(x, params, "_own"), FT.optimized10(), keep=["_own", "y", *ids]).withColumnRenamed("_own", group)
+    preds = attach(te, coefs, group).select(*ids, group, "model", "y", L.linear_prediction(FEATS).alias("pred"))
+    return coefs, preds
 
-    # a group without unstable rows has zero sums there; missing rescale parameters stay missing
-    sums = [c for c in ug.columns if c != group]
-    stats = attach(pg.join(th, group), ug, group, "left").na.fill(0.0, sums).na.fill(0, ["un"])
-    coefs = _solve_groups(stats, group, specs)
 
-    te = attach(df, params, group)
-    te = FT.project(te, FT.optimized10(), keep=[group, "y"])
-    preds = attach(te, coefs, group).select(group, "model", "y", L.linear_prediction(FEATS).alias("pred"))
-    return coefs, preds
+def _left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join, null equal to null."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") if k in on else F.col(k) for k in right.columns])
+    return left.join(r, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on], "left").drop(*[f"_r_{k}" for k in on])
 
 
-def _solve_groups(stats: DataFrame, group: str, specs) -> DataFrame:
+def _solve_groups(stats: DataFrame, gtype: str, specs) -> DataFrame:
     nb, p = len(BASE), len(FEATS)
-    gtype = stats.schema[group].dataType.simpleString()
-    schema = ", ".join([f"`{group}` {gtype}", "model string", "intercept double"] + [f"`b_{f}` double" for f in FEATS])
+    schema = ", ".join([f"`_g` {gtype}", "model string", "intercept double"] + [f"`b_{f}` double" for f in FEATS]
+                       + ["converged boolean"])
     specs = tuple(specs)
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    numbers = [*THETA, *(f"c_{i}" for i in range(nb)), *_SUMS, "un", "uy", "uyy", *(f"ux_{i}" for i in range(p)),
+               *(f"uxy_{i}" for i in range(p)), *(f"uxx_{i}_{j}" for i, j in upper)]
+    sizes = [4, nb, 1, nb, len(_PAIRS), 1, 1, 1, p, p, len(upper)]
+    ends = np.cumsum(sizes)
 
-    def sym(row, pre, size):
+    def square(v, size, pairs):
         M = np.empty((size, size))
-        for i in range(size):
-            for j in range(i, size):
-                M[i, j] = M[j, i] = row[f"{pre}_{i}_{j}"]
+        a, b = (np.array(t) for t in zip(*pairs))
+        M[a, b] = M[b, a] = v
         return M
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in pdf.iterrows():
-            theta = (r["a2"], r["c2"], r["a3"], r["c3"])
-            if any(pd.isna(t) for t in theta):
-                continue
-            A, d = design(theta)
-            c = np.array([r[f"tc_{i}"] for i in range(nb)])
-            # stable training part = total - own group (centred at c)
-            n_s = r["tsn"] - r["sn"]
-            s = np.array([r[f"ts_{i}"] - r[f"s_{i}"] for i in range(nb)])
-            S = np.empty((nb, nb))
-            for i in range(nb):
-                for j in range(i, nb):
-                    S[i, j] = S[j, i] = r[f"tS_{i}_{j}"] - r[f"S_{i}_{j}"]
-            m = A @ c[:NB] + d                      # feature centre
-            cy = c[NB]
-            sx = A @ s[:NB]
-            Sxx = A @ S[:NB, :NB] @ A.T
-            sxy = A @ S[:NB, NB]
-            sy, syy = s[NB], S[NB, NB]
-            # unstable rows, raw sums -> the same centre
-            n_u = r["un"]
-            if n_u > 0:
-                ux = np.array([r[f"ux_{i}"] for i in range(p)])
-                uxy = np.array([r[f"uxy_{i}"] for i in range(p)])
-                uxx = sym(r, "uxx", p)
-                uy, uyy = r["uy"], r["uyy"]
-                sx = sx + ux - n_u * m
-                Sxx = Sxx + uxx - np.outer(m, ux) - np.outer(ux, m) + n_u * np.outer(m, m)
-                sxy = sxy + uxy - cy * ux - m * uy + n_u * m * cy
-                sy = sy + uy - n_u * cy
-                syy = syy + uyy - 2 * cy * uy + n_u * cy * cy
-            n = n_s + n_u
-            if n < 2:
-                continue
-            dx, dy = sx / n, sy / n
-            C = Sxx / n - np.outer(dx, dx)
-            cxy = sxy / n - dx * dy
-            for spec in specs:
-                b0, beta = L.solve_moments(n, m + dx, C, cxy, cy + dy, spec)
-                out.append([r[group], spec.name, b0, *beta])
-        return pd.DataFrame(out, columns=[group, "model", "intercept"] + [f"b_{f}" for f in FEATS])
-
-    return stats.groupBy(group).applyInPandas(solve, schema)
-
-
-def brute_force_loro(df: DataFrame, group: str, specs=L.STUDY_LINEAR, groups=None) -> DataFrame:
-    """Reference implementation for tests: refit directly on each complement (G scans)."""
-    out = None
-    for g in groups:
-        tr = df.filter(F.col(group) != g)
-        p = rescale_params(tr)
-        x = FT.project(tr.crossJoin(p), FT.optimized10(), keep=["y"])
-        c = L.fit_linear(L.gram_stats(x, FEATS), FEATS, specs).withColumn(group, F.lit(g))
-        out = c if out is None else out.unionByName(c)
-    return out
+    def solve(batches):
+        start: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            out = []
+            for key, v in zip(pdf["_g"], pdf[numbers].to_numpy(float)):
+                theta, c, n_s, s, S, n_u, uy, uyy, ux, uxy, uxx = (
+                    v[e - k:e] for e, k in zip(ends, sizes))
+                n_s, n_u, uy, uyy = n_s[0], n_u[0], uy[0], uyy[0]
+                n = n_s + n_u
+                if np.isnan(theta).any() or n < 2:
+                    continue
+                A, d = design(theta)
+                S = square(S, nb, _PAIRS)
+                m = A @ c[:NB] + d                      # feature centre
+                cy = c[NB]
+                sx = A @ s[:NB]
+                Sxx = A @ S[:NB, :NB] @ A.T
+                sxy = A @ S[:NB, NB]
+                sy = s[NB]
+                # unstable rows, raw sums -> the same centre
+                if n_u > 0:
+                    sx = sx + ux - n_u * m
+                    Sxx = Sxx + square(uxx, p, upper) - np.outer(m, ux) - np.outer(ux, m) + n_u * np.outer(m, m)
+                    sxy = sxy + uxy - cy * ux - m * uy + n_u * m * cy
+                    sy = sy + uy - n_u * cy
+                dx, dy = sx / n, sy / n
+                C = Sxx / n - np.outer(dx, dx)
+                cxy = sxy / n - dx * dy
+                for spec in specs:
+                    b0, beta, done, start[spec.name] = L.solve_moments(n, m + dx, C, cxy, cy + dy, spec, start.get(spec.name))
+                    out.append([key, spec.name, b0, *beta, done])
+            yield pd.DataFrame(out, columns=["_g", "model", "intercept", *(f"b_{f}" for f in FEATS), "converged"])
+
+    return stats.select("_g", *numbers).repartition(stats.sparkSession.sparkContext.defaultParallelism, "_g").mapInPandas(
+        solve, schema)

@@ -1,18 +1,16 @@
-"""Exact quantiles (linear interpolation, as ``percentile`` / ``np.percentile``) without holding a
-whole group in one aggregation buffer.
+"""Exact quantiles (linear interpolation, as ``percentile`` / ``np.percentile``) by multi-group radix selection.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in its buffer, so over an
-observation-sized group one task would hold a whole column. Here:
+Spark's exact ``percentile`` keeps all distinct values of a group in one buffer. Here every value becomes a 64-bit key
+of the same order, and all (group, probability) targets are narrowed together in three passes over one stored column:
 
-1. ``approx_percentile`` (a bounded sketch, rank error <= n / accuracy) brackets every target
-   rank from below and above (margin 4 / accuracy + 3 / n_min, n_min the smallest group);
-2. one pass counts the rows under each lower bracket and reduces the rows inside each bracket to
-   (value, count) pairs — a bracket spans about 8 n / accuracy ranks, and ties collapse into one
-   pair, so a hot value costs one row;
-3. a running sum over those pairs (window partitioned by group and probability) finds the two
-   order statistics around position (n - 1) p, which are interpolated.
+1. histogram of the keys' upper 22 bits per group; a running count over the buckets finds the bucket of each target;
+2. histogram of the next 21 bits of the rows in those buckets only;
+3. counts of the single keys left, which are the order statistics around position (n - 1) p.
 
-The result equals the exact ``percentile``; groups may be data-sized, probabilities are a short list.
+Every pass is a map-side aggregate; a running count covers buckets of one group, never rows. There is one plan for
+all group sizes, no sketch and no bound on a group: a value repeated by a third of all rows is one key.
+
+Null values take no part, NaN is above all numbers (as in Spark's order), null groups are groups.
 """
 
 from __future__ import annotations
@@ -20,95 +18,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# a bracket spans about 8 n / accuracy ranks; the sketch accuracy is chosen from the largest group
-# so that a bracket holds at most about BRACKET_ROWS values (bounded below and above)
-BRACKET_ROWS = 200_000
-MIN_ACCURACY, MAX_ACCURACY = 1_000, 1_000_000
-# groups up to this many rows use Spark's exact ``percentile`` directly: its buffer (the group's
-# distinct values) is then bounded by this checked size
-EXACT_BUFFER_ROWS = 2_000_000
+from ..sources.staging import staged
+
+HIGH, MID = 42, 21  # bits below the first and the second histogram's buckets
+
+
+def order_key(c: Column) -> Column:
+    """A long that orders as the double does: exponent and fraction, negated for negative numbers."""
+    a = F.abs(c)
+    two = F.lit(2.0)
+    guess = F.floor(F.log2(a))
+    # the logarithm may be rounded across a power of two
+    e = (F.when(F.pow(two, guess) > a, guess - 1).when(F.pow(two, guess + 1) <= a, guess + 1).otherwise(guess)).cast("long")
+    normal = F.shiftleft(e + 1023, 52) + ((a / F.pow(two, e) - 1) * F.lit(float(2 ** 52))).cast("long")
+    tiny = (a * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("long")  # below 2 ** -1022: multiples of 2 ** -1074
+    size = (F.when(F.isnan(c), F.lit((1 << 63) - 1)).when(a == float("inf"), F.lit(2047 << 52))
+            .when(a < 2.0 ** -1022, tiny).otherwise(normal))
+    return F.when(c < 0, -size).otherwise(size)
+
 
+def _found(hist: DataFrame, keys: list[str], bucket: str, targets: DataFrame | None, probs: list[float]) -> DataFrame:
+    """Targets narrowed to the bucket that holds their rank; ``rank`` becomes the rank within it."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    run = w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)
+    h = hist.withColumn("_cum", F.sum("_c").over(run))
+    if targets is None:
+        h = h.withColumn("n", F.sum("_c").over(w))
+        sides = [F.struct(F.lit(i).alias("q_idx"), F.lit(float(p)).alias("p"), F.lit(up).alias("up"))
+                 for i, p in enumerate(probs) for up in (False, True)]
+        h = h.withColumn("_t", F.explode(F.array(*sides))).select(*h.columns, "_t.*")
+        at = (F.col("n") - 1) * F.col("p")
+        h = h.withColumn("rank", F.when(F.col("up"), F.ceil(at)).otherwise(F.floor(at)).cast("long"))
+    else:
+        h = null_safe_join(h, targets, keys)
+    before = F.col("_cum") - F.col("_c")
+    return h.filter((before <= F.col("rank")) & (F.col("rank") < F.col("_cum"))).withColumn(
+        "rank", F.col("rank") - before).drop("_c", "_cum")
 
-def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float], by: list[str] = (),
-                    accuracy: int | None = None, max_buffer_rows: int = EXACT_BUFFER_ROWS) -> DataFrame:
-    """One row per (group, probability index): by..., q_idx (0-based), p, n, value.
 
-    The first pass measures the group sizes; if the largest group has at most ``max_buffer_rows``
-    rows, Spark's ``percentile`` is used as is, otherwise the sketch-bracketed selection."""
+def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float], by: list[str] = ()) -> DataFrame:
+    """One row per (group, probability): by..., q_idx (0-based), p, n, value. No row for a group without a value."""
     by = list(by)
-    c = F.col(col) if isinstance(col, str) else col
-    x = df.select(*by, c.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    sizes = x.groupBy(*by).count()
-    big = F.col("count") > max_buffer_rows
-    ext = sizes.agg(F.min(F.when(big, F.col("count"))), F.max("count")).first()
-    n_min, n_max = (ext[0] or 1), (ext[1] or 1)
-    if n_max > max_buffer_rows and by:
-        # each group by its own size: the small ones exactly in a buffer, the large ones by brackets whose
-        # margin depends on the large ones only
-        same = lambda s: [F.col(b).eqNullSafe(s[f"_g_{b}"]) for b in by]
-        pick = lambda s: s.select(*[F.col(b).alias(f"_g_{b}") for b in by])
-        lesser = pick(sizes.filter(~big))
-        rest = exact_quantiles(x.join(lesser, same(lesser), "left_semi"), "_v", probs, by, accuracy, max_buffer_rows)
-        greater = pick(sizes.filter(big))
-        x = x.join(greater, same(greater), "left_semi")
-        return rest.unionByName(_bracketed(x, probs, by, accuracy, n_min, n_max))
-    if n_max <= max_buffer_rows:
-        g = x.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
-                               F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("_q"))
-        z = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.col("_q").alias("v"))
-        return g.select(*by, "n", F.posexplode(z).alias("q_idx", "_z")) \
-                .select(*by, "q_idx", F.col("_z.p").alias("p"), "n", F.col("_z.v").alias("value"))
-    return _bracketed(x, probs, by, accuracy, n_min, n_max)
-
-
-def _bracketed(x: DataFrame, probs: list[float], by: list[str], accuracy: int | None, n_min: int, n_max: int) -> DataFrame:
-    """The sketch-bracketed selection for groups of ``n_min`` to ``n_max`` rows; a null group is a group."""
-    if accuracy is None:
-        accuracy = int(min(MAX_ACCURACY, max(MIN_ACCURACY, 8 * n_max // BRACKET_ROWS)))
-    margin = 4.0 / accuracy + 3.0 / n_min
-    lo_p = [max(0.0, p - margin) for p in probs]
-    hi_p = [min(1.0, p + margin) for p in probs]
-    k = len(probs)
-    s = x.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_mn"), F.max("_v").alias("_mx"),
-                           F.percentile_approx("_v", F.array(*[F.lit(p) for p in lo_p + hi_p]), accuracy).alias("_a"))
-    z = F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), F.slice("_a", 1, k).alias("lo"),
-                     F.slice("_a", k + 1, k).alias("hi"))
-    s = s.select(*by, "_n", "_mn", "_mx", F.posexplode(z).alias("q_idx", "_z"))
-    # sketch brackets widened to the exact extremes at the ends of the range
-    s = s.select(*by, "_n", "q_idx", F.col("_z.p").alias("p"),
-                 F.when(F.col("_z.p") - margin <= 0, F.col("_mn")).otherwise(F.col("_z.lo")).alias("_lo"),
-                 F.when(F.col("_z.p") + margin >= 1, F.col("_mx")).otherwise(F.col("_z.hi")).alias("_hi"))
-    h = (F.col("_n") - 1) * F.col("p")
-    s = s.withColumn("_h", h).withColumn("_rlo", F.floor("_h")).withColumn("_rhi", F.ceil("_h"))
-    # (large groups x probabilities) rows: at least a whole buffer's worth of rows stands behind each group
-    j = null_safe_join(x, s, by) if by else x.crossJoin(F.broadcast(s))
-    below = j.groupBy(*by, "q_idx").agg(F.count(F.when(F.col("_v") < F.col("_lo"), 1)).alias("_below"))
-    inside = (j.filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-               .groupBy(*by, "q_idx", "_v").agg(F.count(F.lit(1)).alias("_c")))
-    keys = [*by, "q_idx"]
-    w = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    t = null_safe_join(null_safe_join(inside, below, keys), s.select(*keys, "p", "_n", "_h", "_rlo", "_rhi"), keys)
-    t = t.withColumn("_cum", F.col("_below") + F.sum("_c").over(w))   # ranks [cum - c, cum - 1]
-    got = t.groupBy(*keys).agg(
-        F.first("p").alias("p"), F.first("_n").alias("n"), F.first("_h").alias("_h"),
-        F.first("_rlo").alias("_rlo"), F.first("_rhi").alias("_rhi"),
-        F.min(F.when(F.col("_cum") > F.col("_rlo"), F.col("_v"))).alias("_xlo"),
-        F.min(F.when(F.col("_cum") > F.col("_rhi"), F.col("_v"))).alias("_xhi"))
-    val = F.when(F.col("_rhi") == F.col("_rlo"), F.col("_xlo")).otherwise(
-        (F.col("_rhi") - F.col("_h")) * F.col("_xlo") + (F.col("_h") - F.col("_rlo")) * F.col("_xhi"))
-    return got.select(*keys, "p", "n", val.alias("value"))
+    c = (F.col(col) if isinstance(col, str) else col).cast("double")
+    x = staged(df.select(*by, c.alias("_v")).filter(F.col("_v").isNotNull()).withColumn("_k", order_key(F.col("_v"))))
+    high, mid = F.shiftright("_k", HIGH).alias("_b1"), F.shiftright("_k", MID).alias("_b2")
+    x = x.select(*by, high, mid, "_k", "_v")
+    count = F.count(F.lit(1)).alias("_c")
+    t1 = _found(x.groupBy(*by, "_b1").agg(count), by, "_b1", None, probs)
+    x2 = null_safe_join(x, t1.select(*by, "_b1").distinct(), [*by, "_b1"])
+    t2 = _found(x2.groupBy(*by, "_b1", "_b2").agg(count), [*by, "_b1"], "_b2", t1, probs)
+    x3 = null_safe_join(x, t2.select(*by, "_b2").distinct(), [*by, "_b2"])
+    t3 = _found(x3.groupBy(*by, "_b2", "_k").agg(count, F.min("_v").alias("_v")), [*by, "_b2"], "_k",
+                t2.drop("_b1"), probs)
+    got = t3.groupBy(*by, "q_idx").agg(
+        F.first("p").alias("p"), F.first("n").alias("n"), F.min(F.when(~F.col("up"), F.col("_v"))).alias("_lo"),
+        F.min(F.when(F.col("up"), F.col("_v"))).alias("_hi"))
+    at = (F.col("n") - 1) * F.col("p")
+    value = F.when(F.floor(at) == F.ceil(at), F.col("_lo")).otherwise(
+        (F.ceil(at) - at) * F.col("_lo") + (at - F.floor(at)) * F.col("_hi"))
+    return got.select(*by, "q_idx", "p", "n", value.alias("value"))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on ``keys``, null equal to null."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # no groups: the right side is a row per target
     r = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
     return left.join(r, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]).drop(*[f"_r_{k}" for k in keys])
 
 
 def quantile_columns(df: DataFrame, col: str | Column, probs: list[float], names: list[str],
-                     by: list[str] = (), accuracy: int | None = None,
-                     max_buffer_rows: int = EXACT_BUFFER_ROWS) -> DataFrame:
+                     by: list[str] = ()) -> DataFrame:
     """Wide form: by..., one column per probability (named by ``names``)."""
-    q = exact_quantiles(df, col, probs, by, accuracy, max_buffer_rows)
+    q = exact_quantiles(df, col, probs, by)
     return q.groupBy(*by).agg(*[F.max(F.when(F.col("q_idx") == i, F.col("value"))).alias(nm)
                                 for i, nm in enumerate(names)])

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, FloatType
 from ..operators import classes as C
 from ..operators import metrics as M
 from ..sources.observations import driver_obs
+from ..sources.staging import staged
 from . import sqlparts as S
 from .profile import DRIVER as P
 
@@ -1108,7 +1109,7 @@ def elasticnet_cv(spark, sf):
 @query("linear_holdout")
 def linear_holdout(spark, sf):
     """Holdout fit of the linear family on optimized10, scored on the test rows."""
-    _, preds = EV.holdout_linear(_split(spark, sf), "optimized10")
+    _, preds = EV.holdout_linear(staged(_split(spark, sf)), "optimized10")
     return M.metric_bundle(preds, ["model"])
 
 
@@ -1127,7 +1128,7 @@ pa AS (SELECT zone, y, CASE WHEN zone = 'reliable' THEN (CASE WHEN nr > 10 THEN
 
 
 def _adaptive_preds(spark, sf):
-    sp = _split(spark, sf)
+    sp = staged(_split(spark, sf))
     coefs, bias = EN.fit_adaptive(sp.filter(~F.col("is_test")), P.zone_cuts)
     return EN.predict_adaptive(sp.filter(F.col("is_test")), coefs, bias, P.zone_cuts).filter(F.col("pred").isNotNull())
 
@@ -1153,6 +1154,7 @@ def adaptive_extreme(spark, sf):
 # ---------------------------------------------------------------- step 9b: learners, ensembles, sweeps (rows-only)
 
 from . import modeling as MD  # noqa: E402
+from ..operators import forest as FO  # noqa: E402
 from ..operators import learners as LR  # noqa: E402
 
 
@@ -1163,58 +1165,71 @@ def huber_holdout(spark, sf):
     return M.metric_bundle(p, ["model"])
 
 
+def _study(spark, sf):
+    """The holdout study of the driver tables; its frames, models and base predictions are stored once."""
+    from . import study as ST
+    return ST.Study(spark, _split(spark, sf), (ST.source_key(spark, f"{sf}/lineitem.parquet", f"{sf}/part.parquet"), "holdout"),
+                    sets={"ext16": {"flag_cuts": P.flag_cuts}})
+
+
 @query("gbt_holdout")
 def gbt_holdout(spark, sf):
-    _, p = MD.learner_holdout(_split(spark, sf), "optimized10", LR.STUDY_GBT)
-    return M.metric_bundle(p, ["model"])
+    """Gradient boosting (100 rounds, depth 3) on optimized10, scored on the test rows."""
+    return M.metric_bundle(MD.boosted_predictions(_study(spark, sf), "optimized10", LR.STUDY_GBT), ["model"])
 
 
 @query("rf_importance")
 def rf_importance(spark, sf):
     """Random-forest feature importances of optimized10 as share, rank and cumulative share."""
-    model, _ = MD.learner_holdout(_split(spark, sf), "optimized10", LR.STUDY_RF)
-    imp = LR.tree_importance(spark, model, FT.names("optimized10"), "random_forest")
-    return RK.importance_table(imp, ["model"])
+    trees = _study(spark, sf).forest("optimized10", FO.STUDY_FOREST)
+    return RK.importance_table(FO.importance(trees, FT.names("optimized10"), "random_forest"), ["model"])
 
 
 @query("coef_importance")
 def coef_importance(spark, sf):
     """|standardised coefficient| importances of ElasticNet and Ridge on three feature sets."""
-    return MD.coef_importance(_split(spark, sf))
-
-
-def _ensemble(spark, sf):
-    return MD.base_predictions(spark, sf, _split(spark, sf))
+    return MD.coef_importance(_study(spark, sf))
 
 
 @query("stacking_holdout")
 def stacking_holdout(spark, sf):
-    oof, test = _ensemble(spark, sf)
-    return M.metric_bundle(MD.stacking(oof, test), ["model"])
+    """Least squares over the out-of-fold predictions of forest, boosted trees and ridge."""
+    return M.metric_bundle(MD.stacking(_study(spark, sf).base_predictions()), ["model"])
+
+
+@query("stacking_forest_holdout")
+def stacking_forest_holdout(spark, sf):
+    """The same stack with a forest as meta-learner."""
+    return M.metric_bundle(MD.stacking_forest(_study(spark, sf).base_predictions()), ["model"])
 
 
 @query("voting_holdout")
 def voting_holdout(spark, sf):
-    _, test = _ensemble(spark, sf)
-    return M.metric_bundle(MD.voting(test), ["model"])
+    """Mean of the base models' test predictions; no out-of-fold fits."""
+    return M.metric_bundle(MD.voting(_study(spark, sf).base_predictions(out_of_fold=False)), ["model"])
 
 
 @query("weighted_holdout")
 def weighted_holdout(spark, sf):
     """Simplex-weighted ensemble (weights fitted on out-of-fold predictions) with its weights."""
-    oof, test = _ensemble(spark, sf)
-    w, p = MD.weighted(oof, test)
+    w, p = MD.weighted(_study(spark, sf).base_predictions())
     return M.metric_bundle(p, ["model"]).crossJoin(w)
 
 
 @query("approach_compare")
 def approach_compare(spark, sf):
-    return MD.approach_compare(_split(spark, sf))
+    return MD.approach_compare(_study(spark, sf))
+
+
+@query("ensemble_study")
+def ensemble_study(spark, sf):
+    """The whole ensemble study as one table ranked by test RMSE."""
+    return MD.ensemble_study(_study(spark, sf), P.zone_cuts)
 
 
 @query("model_sweep")
 def model_sweep(spark, sf):
-    return MD.model_sweep(_clean(spark, sf), P.k)
+    return MD.model_sweep(_study(spark, sf), _clean(spark, sf), P.k)
 
 
 @query("elasticnet_loro")
@@ -1259,7 +1274,7 @@ def linear_cv10(spark, sf):
 def _stratified(spark, sf):
     """Class-stratified split of the complete rows."""
     c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts)
-    return SP.stratified_holdout(c, "cls", "rk", P.test_frac)
+    return staged(SP.stratified_holdout(c, "cls", "rk", P.test_frac))
 
 
 @query("trophic_elasticnet")
@@ -1280,3 +1295,87 @@ def class_model_matrix(spark, sf):
     per = M.metric_bundle(preds.unionByName(base), ["model", "cls"])
     models = [sp.name for sp in L.STUDY_LINEAR] + ["ref"]
     return RK.pivot_matrix(per, "cls", "model", "rmse", models)
+
+
+# ---------------------------------------------------------------- stratified folds, distribution tests, counted rows
+
+@query("kfold_stratified", S.with_(S.obs_cte(), S.CC, S.site_cls_cte()) + f"""
+, fo AS (SELECT cls, y, (row_number() OVER (PARTITION BY cls ORDER BY rk, site, obs_date, ref, s2, s3, y) - 1) % {P.k} AS fold FROM clsd)
+SELECT cls, CAST(fold AS BIGINT) AS fold, CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS mean_y FROM fo GROUP BY cls, fold""")
+def kfold_stratified(spark, sf):
+    """K-fold stratified by class: exact quotas per class and fold."""
+    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts).select("cls", "rk", "site", "obs_date", "ref", "s2", "s3", "y")
+    f = SP.stratified_kfold(staged(c), "cls", P.k)
+    return rounded(f.groupBy("cls", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_y")))
+
+
+from ..operators import kstest as KS  # noqa: E402
+
+
+def _phi_sql(z: str) -> str:
+    t = f"(1.0 / (1.0 + {KS.ERF_P} * abs({z}) / sqrt(2.0::DOUBLE)))"
+    poly = "0.0"
+    for a in reversed(KS.ERF_A):
+        poly = f"(({poly} + {a}) * {t})"
+    erf = f"(1.0 - {poly} * exp(-({z}) * ({z}) / 2))"
+    return f"(CASE WHEN {z} >= 0 THEN (1.0 + {erf}) / 2 ELSE (1.0 - {erf}) / 2 END)"
+
+
+def _ks_p_sql(d: str, n: str) -> str:
+    lam = f"((sqrt({n}) + 0.12 + 0.11 / sqrt({n})) * {d})"
+    tail = " + ".join(f"{2.0 * (-1) ** (k - 1)} * exp({-2.0 * k * k} * lam * lam)" for k in range(1, 41))
+    return f"(SELECT CASE WHEN lam < 0.2 THEN 1.0 ELSE least(greatest({tail}, 0.0), 1.0) END FROM (SELECT {lam} AS lam))"
+
+
+@query("normality_ks", S.with_(*HOLD_CTES, _RES) + f"""
+, st AS (SELECT count(*) AS n, avg(r) AS m, stddev_samp(r) AS s FROM rs),
+c AS (SELECT r, count(*) AS c FROM rs GROUP BY r),
+u AS (SELECT c.*, sum(c) OVER (ORDER BY r) AS upto, n, (r - m) / s AS z FROM c CROSS JOIN st),
+d AS (SELECT max(n)::DOUBLE AS n, max(greatest(abs(upto / n - {_phi_sql('z')}), abs((upto - c) / n - {_phi_sql('z')}))) AS d FROM u)
+SELECT CAST(n AS BIGINT) AS n, round(d, 6) AS d, round({_ks_p_sql('d', 'n')}, 6) AS p_value FROM d""")
+def normality_ks(spark, sf):
+    """Kolmogorov-Smirnov distance of the bias-corrected residuals from the normal distribution."""
+    r = _holdout_preds(spark, sf, models=["ref_bias"]).withColumn("r", F.col("y") - F.col("pred"))
+    return rounded(KS.one_sample(r, "r"))
+
+
+@query("ks_two_sample", S.with_(S.obs_cte(), S.CC, S.site_cls_cte()) + f"""
+, c AS (SELECT y - ref AS v, count(*) FILTER (cls = 'Mesotrophic') AS a, count(*) FILTER (cls = 'Hypertrophic') AS b
+        FROM clsd WHERE cls IN ('Mesotrophic', 'Hypertrophic') GROUP BY v),
+u AS (SELECT sum(a) OVER w AS ua, sum(b) OVER w AS ub, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM c WINDOW w AS (ORDER BY v)),
+d AS (SELECT max(na)::DOUBLE AS na, max(nb)::DOUBLE AS nb, max(abs(ua / na - ub / nb)) AS d FROM u HAVING max(na) > 0 AND max(nb) > 0)
+SELECT CAST(na AS BIGINT) AS n_first, CAST(nb AS BIGINT) AS n_second, round(d, 6) AS d,
+       round({_ks_p_sql('d', '(na * nb / (na + nb))')}, 6) AS p_value FROM d""")
+def ks_two_sample(spark, sf):
+    """Do the errors of the trusted sensor follow the same distribution at the clearest and the most loaded sites?"""
+    c = C.class_by_site_mean(_clean(spark, sf), cuts=P.site_cuts).withColumn("v", F.col("y") - F.col("ref"))
+    return rounded(KS.two_sample(c, "v", F.col("cls") == "Mesotrophic", F.col("cls") == "Hypertrophic"))
+
+
+from ..operators import tally as TL  # noqa: E402
+
+
+@query("row_counts", S.with_(S.obs_cte(with_missing=True), S.CC, S.site_cls_cte(), """al AS (
+  SELECT sm.cls, ref, s2, s3, y, ln(1 + s2 - 400) AS f FROM (SELECT * REPLACE (CASE WHEN s2 > 399 THEN s2 END AS s2) FROM obs) o LEFT JOIN sm USING (site))""") + """
+SELECT cls, CAST(count(*) AS BIGINT) AS n_in, CAST(count(*) FILTER (ref IS NULL OR s3 IS NULL OR y IS NULL) AS BIGINT) AS n_missing,
+       CAST(count(*) FILTER (ref IS NOT NULL AND s3 IS NOT NULL AND y IS NOT NULL AND f IS NULL) AS BIGINT) AS n_dropped,
+       CAST(count(*) FILTER (ref IS NOT NULL AND s3 IS NOT NULL AND y IS NOT NULL AND f IS NOT NULL) AS BIGINT) AS n_used
+FROM al GROUP BY cls""")
+def row_counts(spark, sf):
+    """Rows read, missing an input, dropped for a feature out of its domain (a shifted logarithm), and used, per site class."""
+    from ..functions.scalar import log1p
+    o = _obs(spark, sf, with_missing=True)
+    sites = C.class_by_site_mean(C.complete_cases(o), cuts=P.site_cuts).select("site", "cls").distinct()
+    o = o.join(sites, "site", "left").withColumn("z", F.col("s2") - 400).withColumn("f", log1p("z"))
+    return TL.row_counts(o, ["ref", "s3", "y"], ["f"], by=["cls"])
+
+
+from ..operators import loro as LO  # noqa: E402
+
+
+@query("learner_certificates", "SELECT * FROM (VALUES " + ", ".join(
+    f"('huber', '{c}', TRUE)" for c in [*LO.FEATS, "intercept", "scale"])
+    + ", ('gradient_boosting', 'loss of 100 rounds', TRUE)) AS t(model, component, ok)")
+def learner_certificates(spark, sf):
+    """Optimality of the iterative learners: zero gradient of the Huber fit, falling training loss of boosting."""
+    return MD.certificates(_study(spark, sf))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as FT
 from ..operators import linear as L
+from ..operators import loro as LO
 from ..operators import metrics as M
 from ..operators import rescale as RS
 from ..operators import scaling as SC
@@ -75,6 +76,9 @@ def kfold_linear(df: DataFrame, set_name: str, k: int = 5, specs=L.STUDY_LINEAR,
         coefs = L.fit_linear(L.leave_out_stats(fr, names, "fold"), names, specs, by=["fold"])
         return (coefs.withColumnRenamed("fold", "train_fold"),
                 L.predict(fr, coefs, names, on=["fold"], ids=[*ids, "fold"]))
+    if set_name == "optimized10":  # affine in the fold's parameters but for the median: total minus fold as well
+        coefs, preds = LO.loro_linear(f, "fold", specs, ids=list(ids))
+        return coefs.withColumnRenamed("fold", "train_fold"), preds
     # training view: one copy of each row per fold it trains (k - 1 copies), tagged train_fold
     tr = f.withColumn("train_fold", F.explode(other_folds(k)))
     tp = params.withColumnRenamed("fold", "train_fold") if params is not None else None

@@ -40,7 +40,7 @@ def test_windows_over_rows_are_partitioned(spark):
         assert specs and all(s.strip() for s in specs), (name, specs)
 
 
-def test_linear_solve_is_grouped_python_only(spark):
-    # the linear family runs one grouped pandas task per split on O(p^2) statistics, not on rows
+def test_linear_solve_is_python_on_statistics_only(spark):
+    # the linear family solves in pandas over one row of O(p^2) statistics per split, not over rows
     p = _plan(E.queries()["linear_holdout"](spark, SF_SMALL))
-    assert "FlatMapGroupsInPandas" in p and "ArrowEvalPython" not in p
+    assert "MapInPandas" in p and "ArrowEvalPython" not in p and "FlatMapGroupsInPandas" not in p

