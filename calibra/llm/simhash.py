@@ -1,13 +1,14 @@
 """SimHash near-dedup: a byte-position inverted index with count filtering.
 
 Fingerprints are 64 bits. Two that differ in at most ``distance`` (3) bits differ in at most 3 of their 8 bytes, so
-they share at least 5 positional bytes. The index posts every distinct fingerprint under each combination of 5
-(byte position, byte) entries: two fingerprints meet in a posting list exactly if their tally of shared positional
-bytes reaches the guaranteed minimum, and pairs below the minimum never meet. Members of a list differ in the
-remaining three bytes only, which the verification compares bit by bit.
-
-Hot lists: equal fingerprints are one entry, so a list holds at most 2**24 values whatever the corpus. Short lists
-compare all members; long ones look up the 2,324 values within 3 bits of each member instead, so the work of a list
+they share at least 5 positional bytes, the first of them at one of the positions 0 to 3, the second at one up to 4, and
+so on. Every distinct fingerprint is posted under its bytes at positions 0 to 3. In a list of at most ``LIST`` members
+the shared positional bytes of each pair are tallied, pairs that reach 5 are retained and their bits compared. A longer
+list is not tallied: its members are posted again under that byte and each further position at which the next shared
+byte may stand, so a pair meets in a short list at last, or under 5 shared bytes (at most 56 lists a fingerprint in all).
+
+Hot lists: equal fingerprints are one entry, so a list of 5 bytes holds at most 2**24 values whatever the corpus. There
+long ones look up the 2,324 values within 3 bits of each member, so the work of a list
 grows with its length and not with its square. A list yields links that connect all its members that verified
 pairs connect (a spanning forest), never all pairs. Components come from large-star/small-star rounds on these links.
 """
@@ -26,8 +27,12 @@ from .common import by_text, stored
 
 SHINGLE = 3
 DISTANCE = 3
-#: Above this length a posting list is searched by neighbouring values instead of pair by pair.
+#: Longest posting list whose pairs are tallied.
+LIST = 512
+#: Above this length a list under all guaranteed bytes is searched by neighbouring values instead of pair by pair.
 PAIRWISE = 1024
+#: A fingerprint with at least this share of all rows is hot: there are at most as many as its inverse.
+HOT_SHARE = 1 / 10_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -117,10 +122,101 @@ def links(distinct_fp: DataFrame, distance: int = DISTANCE) -> DataFrame:
     shared = 8 - distance  # the guaranteed minimum of shared positional bytes
     if not 0 <= distance <= 7:
         raise ValueError("a distance of 0 to 7 bits leaves at least one shared byte")
-    subsets = list(combinations(range(8), shared))
-    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_mask(s)))) for i, s in enumerate(subsets)]
-    posted = distinct_fp.select("fp", F.explode(F.array(*keys)).alias("key"))
-    parts = posted.repartition(F.col("key")).sortWithinPartitions("key")
+    posted = _posted(distinct_fp.select("fp", F.lit(0).cast("long").alias("mask"), F.lit(-1).alias("last")), distance)
+    out = None
+    for level in range(1, shared + 1):
+        lists = posted.repartition(F.col("key")).sortWithinPartitions("key")
+        if level == shared:
+            found = lists.select("fp", "key").mapInArrow(_all_bytes_shared(distance), "a long, b long")
+        else:
+            made = stored(lists.mapInArrow(_tally(distance, shared), "a long, b long, mask long, last int"))
+            found = made.where("mask is null").select("a", "b")
+            again = made.where("mask is not null").select(F.col("a").alias("fp"), "mask", "last")
+            posted = _posted(again, distance)
+        out = found if out is None else out.unionByName(found)
+        if level < shared and not again.limit(1).count():
+            break
+    return out.distinct()
+
+
+def _posted(entries: DataFrame, distance: int) -> DataFrame:
+    """(fp, mask, last, key): entries under the bytes of ``mask``, up to position ``last``, posted under one byte more."""
+    n = F.bit_count("mask") / 8  # shared bytes so far: the next one stands at most ``distance`` places late
+    at = F.explode(F.sequence(F.col("last") + 1, (n + distance).cast("int"))).alias("at")
+    byte = F.expr("shiftleft(255L, 8 * at)")
+    return entries.select("fp", "mask", "last", at).select(
+        "fp", F.col("mask").bitwiseOR(byte).alias("mask"), F.col("at").alias("last")).withColumn(
+        "key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+
+
+def _tally(distance: int, shared: int):
+    """Lists of one key after the other: pairs of short lists tallied and verified, members of long ones handed on."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("mask", pa.int64()), ("last", pa.int32())])
+
+    def rows(a, b=None, mask=None, last=None):
+        cols = [pa.nulls(len(a), f.type) if c is None else pa.array(c, f.type) for c, f in zip((a, b, mask, last), schema)]
+        return pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    def pairs(key, fp):
+        """A spanning forest of the pairs that share ``shared`` bytes and differ in at most ``distance`` bits."""
+        v = fp.view(np.uint64)
+        parts, root = v.view(np.uint8).reshape(-1, 8), {}
+
+        def find(i):
+            while root.setdefault(i, i) != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        out = []
+        at = np.flatnonzero(key[1:] == key[:-1])
+        d = 1
+        while len(at):
+            both = at[(parts[at] == parts[at + d]).sum(1) >= shared]  # the tally reaches the minimum
+            both = both[np.bitwise_count(v[both] ^ v[both + d]) <= distance]
+            for i in both.tolist():
+                x, y = find(i), find(i + d)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(fp[i]), int(fp[i + d])))
+            d += 1
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+        return out
+
+    def run(batches):
+        empty = np.zeros(0, np.int64)
+        held = [empty, empty, empty, empty]  # key, fp, mask, last: the list that may go on in the next batch
+        handing = None  # the key of a long list under way
+        for b in batches:
+            new = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
+                   for c in ("key", "fp", "mask", "last")]
+            key, fp, mask, last = (np.concatenate(x) for x in zip(held, new))
+            if not len(key):
+                continue
+            start = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+            size = np.diff(np.append(start, len(key)))
+            long = np.repeat(size > LIST, size)
+            if handing is not None:
+                long |= key == handing
+            open_ = key == key[-1]
+            if long.any():
+                yield rows(fp[long], None, mask[long], last[long])
+            short = ~long & ~open_
+            found = pairs(key[short], fp[short])
+            if found:
+                yield rows(*zip(*found))
+            handing = key[-1] if long[-1] else None
+            held = [empty] * 4 if long[-1] else [x[open_] for x in (key, fp, mask, last)]
+        found = pairs(held[0], held[1])
+        if found:
+            yield rows(*zip(*found))
+
+    return run
+
+
+def _all_bytes_shared(distance: int):
+    """Lists under all guaranteed bytes: bits are compared, long lists by neighbouring values."""
 
     def verify(batches):
         key = None
@@ -134,10 +230,7 @@ def links(distinct_fp: DataFrame, distance: int = DISTANCE) -> DataFrame:
         for b in batches:
             k, v = b.column(1).to_numpy(), b.column(0).to_numpy()
             cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-            sizes = np.diff(cuts)
-            # only lists of two and more, and the ends that may go on in another batch, need a look
-            for i in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
-                x, y = cuts[i], cuts[i + 1]
+            for x, y in zip(cuts, cuts[1:]):
                 if x == y:
                     continue
                 if k[x] != key:
@@ -150,12 +243,7 @@ def links(distinct_fp: DataFrame, distance: int = DISTANCE) -> DataFrame:
         made.extend(close())
         yield _pairs(made)
 
-    return parts.mapInArrow(verify, "a long, b long").distinct()
-
-
-def _mask(positions) -> int:
-    m = sum(0xFF << 8 * p for p in positions)
-    return m - (1 << 64) if m >> 63 else m
+    return verify
 
 
 def _pairs(made: list) -> pa.RecordBatch:
@@ -197,14 +285,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     row. Null and word-less texts have fingerprint 0 and link like any other; rows with a null doc_id take part and
     get their component's least non-null id."""
     fp = stored(fingerprints(docs, shingle))
-    least = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    least = stored(fp.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("n")))
     comp = stored(components(links(least.select("fp"), distance)))
     ids = comp.join(least, comp.node == least.fp).select("root", "node", "least_id")
     by_root = ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
     members = ids.select("root", "node").join(by_root, "root").select(F.col("node").alias("fp"), "component_id")
     whole = (least.join(members, "fp", "left")
-             .select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
-    return fp.join(whole, "fp").select("doc_id", "fp", "component_id")
+             .select("fp", F.coalesce("component_id", "least_id").alias("component_id"), "n"))
+    # rows of hot fingerprints do not meet: these few are broadcast (at most 1 / HOT_SHARE rows), the others joined
+    total = least.agg((F.sum("n") * HOT_SHARE).alias("hot_from"))
+    whole = stored(whole.crossJoin(F.broadcast(total)).withColumn("hot", F.col("n") >= F.col("hot_from")))
+    known = fp.join(F.broadcast(whole.where("hot").select("fp", F.struct("component_id").alias("c"))), "fp", "left")
+    rest = known.where("c is null").drop("c").join(whole.where("not hot").select("fp", "component_id"), "fp")
+    return known.where("c is not null").select("doc_id", "fp", "c.component_id").unionByName(
+        rest.select("doc_id", "fp", "component_id"))
 
 
 def hex_digits(fp: Column) -> Column:

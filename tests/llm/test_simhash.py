@@ -77,7 +77,9 @@ def test_links_of_random_clusters(spark, monkeypatch):
     fps = sorted(fps)
     want = brute(fps, list(range(len(fps))))
     df = spark.createDataFrame([(int(np.int64(np.uint64(f))),) for f in fps], "fp long")
-    for pairwise in (1024, 0):  # member by member, and by neighbouring values
+    # tallied at once, after refining, and under all guaranteed bytes: member by member and by neighbouring values
+    for longest, pairwise in ((512, 1024), (20, 1024), (1, 1024), (1, 0)):
+        monkeypatch.setattr(simhash, "LIST", longest)
         monkeypatch.setattr(simhash, "PAIRWISE", pairwise)
         root = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
         signed = [int(np.int64(np.uint64(f))) for f in fps]
@@ -93,6 +95,30 @@ def test_links_of_random_clusters(spark, monkeypatch):
     assert len(a) == len(b)  # spanning forests of the same components
 
 
+def test_no_row_meets_a_long_list_in_one_task_only(spark, monkeypatch):
+    """Lists that go on over several Arrow batches, tallied or handed on."""
+    monkeypatch.setattr(simhash, "LIST", 30)
+    rng = random.Random(3)
+    fps = {rng.getrandbits(16) << 40 | 7 << 8 | rng.getrandbits(3) for _ in range(400)}
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    want = brute(sorted(fps), sorted(fps))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        root = {r.node: r.root for r in simhash.components(simhash.links(df)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [root.get(f, f) for f in sorted(fps)] == want
+
+
+def test_hot_and_other_fingerprints(frame, monkeypatch):
+    texts = near_texts() + ["hot text of some words"] * 50
+    want = brute([plain(t) for t in texts], list(range(len(texts))))
+    for share in (1.0, 0.2, 1e-9):
+        monkeypatch.setattr(simhash, "HOT_SHARE", share)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_long_chain_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert {r.root for r in simhash.components(chain).collect()} == {0}
