@@ -10,9 +10,10 @@ never with the length of a chain. Every round
 
 * rakes: leaves give what they hold to their parent and leave;
 * compresses: of the nodes with a single child, those whose coin shows 1 while their parent's shows 0 are taken out,
-  which never takes two neighbours; the child moves up to the grandparent and keeps on its edge what they held.
+  which never takes two neighbours; the child moves up to the grandparent and keeps on its edge what they held. Coins
+  are the bits of the depth, lowest first, so a chain halves from round to round; then bits of a hash.
 
-Every round is two joins written to the shared folder. When the root alone is left, the rounds are undone in reverse:
+Every round is one table written to the shared folder. When the root alone is left, the rounds are undone in reverse:
 a node taken out gets its own share plus its child's total, and so every node gets its total.
 
 Defined cases: turns are in order of ``turn`` (null first), then role, then text; equal rows are turns each. A null role
@@ -127,13 +128,12 @@ def nodes(paths: DataFrame, lengths: DataFrame) -> DataFrame:
     kids = x.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"),
                                         *(F.col(p).alias(s) for p, s in zip(above, LIMBS))).agg(
         F.count(F.lit(1)).alias("n_children"))
-    x = stored(x.join(kids, known, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0))))
     # a node and all its children: the parent's side has one row a key, a hot parent's children may be split
-    up = x.where("n_children > 0").select((F.col("depth") + 1).alias("depth"),
-                                          *(F.col(s).alias(p) for p, s in zip(above, LIMBS)),
-                                          F.col("conv_id").alias("parent_conv_id"))
-    return x.join(up, ["depth", *above], "left").select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children",
-                                                       "words", *LIMBS)
+    up = x.select((F.col("depth") + 1).alias("depth"), *(F.col(s).alias(p) for p, s in zip(above, LIMBS)),
+                  F.col("conv_id").alias("parent_conv_id"))
+    return x.join(kids, known, "left").join(up, ["depth", *above], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).cast("long").alias("n_children"),
+        "words", *LIMBS)
 
 
 def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
@@ -142,29 +142,32 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
     ``tree`` holds conv_id, depth (together the node's name), parent_conv_id (null: root), n_children. Any number of
     trees may be given. Rounds of rake and compress, then the expansion (see the module's text).
     """
-    edge = [f"e_{v}" for v in values]
-    live = stored(tree.select("conv_id", "depth", F.col("parent_conv_id").alias("up_conv"), F.when(
+    edge, name = [f"e_{v}" for v in values], ["conv_id", "depth"]
+    zero = F.lit(0).cast("long")
+    live = tree.select(*name, F.col("parent_conv_id").alias("up_conv"), F.when(
         F.col("parent_conv_id").isNotNull(), F.col("depth") - 1).alias("up_depth"), *values,
-        *(F.lit(0).cast("long").alias(e) for e in edge), (F.col("n_children") == 0).alias("leaf")))
-    name = ["conv_id", "depth"]
-    raked, spliced = [], []
+        *(zero.alias(e) for e in edge), (F.col("n_children") == 0).alias("leaf"))
+    raked, spliced = [live.where("leaf").select(*name, *values)], []
+    bits = int(tree.agg(F.max("depth")).first()[0] or 0).bit_length()
     while True:
         r = len(spliced)
-        raked.append(live.where("leaf").select(*name, *values))
-        inner = live.where("not leaf")
         # rake: what the leaves hold, and how many other children (one of them by name) are left
         child = F.when(~F.col("leaf"), F.struct(*name, *edge))
         given = live.where("up_conv is not null").groupBy(F.col("up_conv").alias("conv_id"), F.col("up_depth").alias("depth")).agg(
             *(F.sum(F.when(F.col("leaf"), F.col(v) + F.col(e)).otherwise(0)).alias(f"g_{v}") for v, e in zip(values, edge)),
             F.count(child).alias("left"), F.min(child).alias("child"))
-        coin = F.xxhash64(F.lit(r), "conv_id", "depth").bitwiseAND(F.lit(1))
-        coin_up = F.xxhash64(F.lit(r), F.col("up_conv"), F.col("up_depth")).bitwiseAND(F.lit(1))
-        state = stored(inner.join(given, name).select(
+
+        def coin(conv, depth):
+            return (F.shiftright(depth, r) if r < bits else F.xxhash64(F.lit(r), conv, depth)).bitwiseAND(F.lit(1))
+
+        state = stored(live.where("not leaf").join(given, name).select(
             *name, "up_conv", "up_depth", *((F.col(v) + F.col(f"g_{v}")).alias(v) for v in values), *edge,
             (F.col("left") == 0).alias("leaf"), F.col("child"),
-            ((F.col("left") == 1) & F.col("up_conv").isNotNull() & (coin == 1) & (coin_up == 0)).alias("out")))
-        if not state.limit(1).count():
+            ((F.col("left") == 1) & F.col("up_conv").isNotNull() & (coin(F.col("conv_id"), F.col("depth")) == 1)
+             & (coin(F.col("up_conv"), F.col("up_depth")) == 0)).alias("out")))
+        if not state.count():
             break
+        raked.append(state.where("leaf").select(*name, *values))
         # compress: the child of a node taken out moves up and keeps the node's share on its edge
         gone = state.where("out")
         spliced.append(gone.select(*name, F.col("child.conv_id").alias("low_conv"), F.col("child.depth").alias("low_depth"),
@@ -172,9 +175,9 @@ def subtree_totals(tree: DataFrame, values: list[str]) -> DataFrame:
         moved = gone.select(F.col("child.conv_id").alias("conv_id"), F.col("child.depth").alias("depth"),
                             F.col("up_conv").alias("to_conv"), F.col("up_depth").alias("to_depth"),
                             *((F.col(v) + F.col(e)).alias(f"m_{v}") for v, e in zip(values, edge)))
-        live = stored(state.where("not out").join(moved, name, "left").select(
+        live = state.where("not out").join(moved, name, "left").select(
             *name, F.coalesce("to_conv", "up_conv").alias("up_conv"), F.coalesce("to_depth", "up_depth").alias("up_depth"),
-            *values, *((F.col(e) + F.coalesce(f"m_{v}", F.lit(0))).alias(e) for v, e in zip(values, edge)), "leaf"))
+            *values, *((F.col(e) + F.coalesce(f"m_{v}", F.lit(0))).alias(e) for v, e in zip(values, edge)), "leaf")
     # expansion: a node taken out in round r hangs above one that stayed longer, whose total is known by then
     known = raked[-1]
     for r in range(len(spliced) - 1, -1, -1):
