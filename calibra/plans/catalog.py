@@ -972,7 +972,7 @@ SELECT 'linear' AS model, round(my - b0 * m0 - b1 * m1 - b2 * m2, 6) AS intercep
 def ols3_coeffs(spark, sf):
     """Least squares of y on the three raw sensors over the training rows, from one Gram aggregate."""
     coefs, _ = EV.holdout_linear(_split(spark, sf), "raw3", specs=(L.LinearSpec("linear", "ols"),))
-    return rounded(coefs)
+    return rounded(coefs.drop("converged"))
 
 
 def _linear_cv(spark, sf, names=None):
@@ -1027,7 +1027,7 @@ SELECT model, round(icpt, 6) AS intercept, round(b0, 6) AS b_ref, round(b1, 6) A
 def penalised_coeffs(spark, sf):
     """Coefficients of OLS, Ridge (0.1, 1, 10), Lasso and ElasticNet on the raw sensors, fitted on the training rows."""
     coefs, _ = EV.holdout_linear(_split(spark, sf), "raw3", specs=PENALISED)
-    return rounded(coefs)
+    return rounded(coefs.drop("converged"))
 
 
 @query("penalised_holdout", _PEN_HOLDOUT + f"""
