@@ -115,14 +115,15 @@ _SUMS = ["sn", *(f"s_{i}" for i in range(len(BASE))), *(f"S_{i}_{j}" for i, j in
 def _base_sums(rows: DataFrame, by: list[str], centre: DataFrame) -> DataFrame:
     """Count, sums and sums of products of the centred base vector, per ``by``."""
     base = _base_cols("_branch")
-    z = rows.select(*by, *[base[n].alias(n) for n in BASE]).crossJoin(F.broadcast(centre)).select(
-        *by, *[(F.col(n) - F.col(f"c_{i}")).alias(f"z{i}") for i, n in enumerate(BASE)])
-    return z.groupBy(*by).agg(F.count(F.lit(1)).alias("sn"), *[F.sum(f"z{i}").alias(f"s_{i}") for i in range(len(BASE))],
-                              *[F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"S_{i}_{j}") for i, j in _PAIRS])
+    # SQL strings: one call to the JVM each, where column objects would take several for every operator
+    z = rows.select(*by, *[base[n].alias(n) for n in BASE]).crossJoin(F.broadcast(centre)).selectExpr(
+        *by, *(f"{n} - c_{i} as z{i}" for i, n in enumerate(BASE)))
+    return z.groupBy(*by).agg(F.expr("count(1) as sn"), *(F.expr(f"sum(z{i}) as s_{i}") for i in range(len(BASE))),
+                              *(F.expr(f"sum(z{i} * z{j}) as S_{i}_{j}") for i, j in _PAIRS))
 
 
 def _prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in _SUMS])
+    return df.selectExpr(*keys, *(f"{c} as {prefix}{c}" for c in _SUMS))
 
 
 def loro_linear(df: DataFrame, group: str = "site", specs=L.STUDY_LINEAR, ids: list[str] = ()):
@@ -141,30 +142,27 @@ def loro_linear(df: DataFrame, group: str = "site", specs=L.STUDY_LINEAR, ids: l
     centre = staged(rows.agg(*[F.coalesce(F.avg(base[n]), F.lit(0.0)).alias(f"c_{i}") for i, n in enumerate(BASE)]))
 
     own = staged(_base_sums(fixed, ["_own"], centre))
-    total = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"t{c}") for c in _SUMS])
+    total = own.agg(*(F.expr(f"coalesce(sum({c}), 0) as t{c}") for c in _SUMS))
     # rows near a tie, once per cell (at most CELLS * CELLS boxes, a bound by parameter)
     near = rows.filter("not _stable").drop("_branch", "_stable").crossJoin(F.broadcast(_boxes(th, ["cell"])))
     near = staged(_branch(near))
     cell_own = staged(_base_sums(near.filter("_stable"), ["cell", "_own"], centre))
-    cell_total = cell_own.groupBy("cell").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    cell_total = cell_own.groupBy("cell").agg(*(F.expr(f"sum({c}) as {c}") for c in _SUMS))
     ux = near.filter("not _stable").select("cell", "_own", "ref", "s2", "s3", "y").join(th, "cell").filter(
         ~F.col("_own").eqNullSafe(F.col("_g")))
     ux = FT.project(ux.withColumnsRenamed({"a2": "s2_scale", "c2": "s2_offset", "a3": "s3_scale", "c3": "s3_offset"}),
                     FT.optimized10(), keep=["_g", "y"])
-    uaggs = [F.count(F.lit(1)).alias("un"), F.sum("y").alias("uy"), F.sum(F.col("y") * F.col("y")).alias("uyy")]
-    uaggs += [F.sum(f).alias(f"ux_{i}") for i, f in enumerate(FEATS)]
-    uaggs += [F.sum(F.col(f) * F.col("y")).alias(f"uxy_{i}") for i, f in enumerate(FEATS)]
-    uaggs += [F.sum(F.col(a) * F.col(b)).alias(f"uxx_{i}_{j}") for i, a in enumerate(FEATS)
-              for j, b in enumerate(FEATS) if j >= i]
-    ug = ux.groupBy("_g").agg(*uaggs)
+    uaggs = ["count(1) as un", "sum(y) as uy", "sum(y * y) as uyy", *(f"sum({f}) as ux_{i}" for i, f in enumerate(FEATS)),
+             *(f"sum({f} * y) as uxy_{i}" for i, f in enumerate(FEATS)),
+             *(f"sum({a} * {b}) as uxx_{i}_{j}" for i, a in enumerate(FEATS) for j, b in enumerate(FEATS) if j >= i)]
+    ug = ux.groupBy("_g").agg(*map(F.expr, uaggs))
 
     # all training moments of group g: total - own + cell - (cell, own); missing parts are zero
     z = th.crossJoin(F.broadcast(total))
     for part, prefix, on in ((own, "o", ["_own"]), (cell_total, "k", ["cell"]), (cell_own, "q", ["cell", "_own"]),):
         z = _left(z.withColumn("_own", F.col("_g")), _prefixed(part, prefix, on), on)
-    z = z.select("_g", *THETA, *[(F.col(f"t{c}") + sum(
-        (sign * F.coalesce(F.col(f"{p}{c}"), F.lit(0)) for sign, p in ((-1, "o"), (1, "k"), (-1, "q"))), F.lit(0))
-    ).cast("double").alias(c) for c in _SUMS])
+    z = z.selectExpr("_g", *THETA, *(
+        f"cast(t{c} - coalesce(o{c}, 0) + coalesce(k{c}, 0) - coalesce(q{c}, 0) as double) as {c}" for c in _SUMS))
     z = _left(z, ug, ["_g"]).na.fill(0.0, [c for c in ug.columns if c not in ("_g", "un")]).na.fill(0, ["un"])
     gtype = df.schema[group].dataType.simpleString()
     coefs = staged(_solve_groups(z.crossJoin(F.broadcast(centre)), gtype, specs).withColumnRenamed("_g", group))
@@ -176,8 +174,8 @@ def loro_linear(df: DataFrame, group: str = "site", specs=L.STUDY_LINEAR, ids: l
 
 def _left(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left join, null equal to null."""
-    r = right.select(*[F.col(k).alias(f"_r_{k}") if k in on else F.col(k) for k in right.columns])
-    return left.join(r, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on], "left").drop(*[f"_r_{k}" for k in on])
+    r = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+    return left.join(r, [F.expr(f"{k} <=> _r_{k}") for k in on], "left").drop(*[f"_r_{k}" for k in on])
 
 
 def _solve_groups(stats: DataFrame, gtype: str, specs) -> DataFrame:
