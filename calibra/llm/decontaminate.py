@@ -7,7 +7,7 @@ bounded size; a larger benchmark is taken block by block). Hits on one alignment
 into runs, compared token by token, and their slots are checked: one value of the item must always stand for the
 same value in the document, and different names for different names. The case-folded words themselves, nothing replaced,
 are indexed and looked up the same way, items shorter than a window as a whole: a verbatim copy needs no literal tokens
-and no slot check. A run that contradicts itself is split into its
+and no slot check. Items of fewer than ``SHORT`` words are common phrases: they count only where they are a whole line or sentence. A run that contradicts itself is split into its
 maximal consistent parts and its verbatim stretches, each of which counts if it reaches ``RUN`` tokens or half of the
 item by itself (``parts``). A document holds an item if what counts covers half of it or reaches ``RUN`` tokens in a row.
 """
@@ -27,6 +27,8 @@ from .common import by_text, stored
 WINDOW = 8
 RUN = 13
 COVER = 0.5
+#: Items of fewer words than this must be a whole line or sentence of the document.
+SHORT = 3
 #: Fewer literal (not placeholder) tokens than this make a template window too unspecific to be indexed.
 LITERALS = 4
 #: Benchmark tokens indexed and broadcast at once (about 100 bytes each).
@@ -127,7 +129,11 @@ class Index:
                     covered.setdefault(k, np.zeros(len(item[1]), bool))[a:b] = True
                     longest[k] = max(longest[k], b - a)
                     same[k] &= exact
-        for (k, _), windows in verbatim.items():
+        edges: tuple[set[int], set[int]] | None = None
+        for (k, shift), windows in verbatim.items():
+            if len(self.own[k]) < SHORT:
+                edges = edges or sentence_edges(text, chunks)
+                windows = [(a, b) for a, b in windows if a + shift in edges[0] and b + shift in edges[1]]
             for a, b in joined(windows):
                 covered.setdefault(k, np.zeros(len(self.own[k]), bool))[a:b] = True
                 longest[k] = max(longest[k], b - a)
@@ -159,6 +165,16 @@ class Index:
         return runs
 
 
+def sentence_edges(text: str, chunks: list[str]) -> tuple[set[int], set[int]]:
+    """Words of the text at which a line or sentence begins, and before which one has ended."""
+    ends, at = {len(chunks)}, 0
+    for line in text.splitlines():
+        at += len(line.split())
+        ends.add(at)
+    ends.update(k + 1 for k, c in enumerate(chunks) if _ENDS.search(c))
+    return ends | {0}, ends
+
+
 def core(chunk: str) -> str:
     return chunk.strip(_EDGE)
 

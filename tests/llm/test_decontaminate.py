@@ -79,6 +79,14 @@ def test_index_matches_brute_force():
     assert got == brute(list(enumerate(items)), list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("item,text,found", [
+    ("Yes", "he said yes today", False), ("Yes", "He said:\n  yes \nand left", True), ("Yes", "Yes", True), ("Yes", "yes and no", False),
+    ("Yes", "Will it? Yes. It will.", True), ("The end", "so the end came", False), ("The end", "a\r\nthe end\r\nb", True),
+    ("In the end", "so in the end it was", True)])
+def test_short_items_must_be_whole_lines_or_sentences(item, text, found):
+    assert bool(dec.Index([(1, item)]).leaks(text)) == found
+
+
 QUESTION = "Anna has 12 apples and gives 5 apples to Bob, who then has 9 kg of fruit in his big basket today."
 
 
