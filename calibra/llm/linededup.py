@@ -1,6 +1,7 @@
 """Line dedup by site-relative frequency (DataFrame functions only).
 
-Within a site, a line's frequency is the number of pages that contain it divided by the site's pages; lines above
+Within a site, a line's frequency is the number of pages that contain it divided by the site's pages; pages of equal
+text are one page of the site, so a text does not become boilerplate by its own copies. Lines above
 ``ratio`` (and on at least ``min_pages`` pages) are boilerplate and are dropped from every page of the site. The mean
 number of distinct lines per page, divided by ``ratio``, bounds a site's boilerplate lines, so they fit one array
 per site. White-space lines are never boilerplate. Lines are known by their MD5; counts are pre-aggregated before
@@ -36,10 +37,12 @@ def _worded(c: Column) -> Column:
 def boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", ratio: float = RATIO,
                 min_pages: int = MIN_PAGES) -> DataFrame:
     """(__site, __lines): the MD5s of each site's boilerplate lines."""
-    site = docs.select(site_key(F.col(site_col)).alias("__site"), F.col(text_col).alias("__text"))
-    total = site.groupBy("__site").agg(F.count(F.lit(1)).alias("__pages"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    site = docs.select(site_key(F.col(site_col)).alias("__site"), text.alias("__text"), F.unhex(F.md5(text)).alias("__page"))
+    total = site.select("__site", "__page").distinct().groupBy("__site").agg(F.count(F.lit(1)).alias("__pages"))
     own = F.array_distinct(F.transform(F.filter(lines(F.col("__text")), _worded), F.md5))
-    per = (site.select("__site", F.explode(own).alias("__line"))
+    # a line of one page is counted once however often the page is copied: copies are gone before the counts meet
+    per = (site.select("__site", "__page", F.explode(own).alias("__line")).distinct()
            .groupBy("__site", "__line").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_pages))
     return (per.join(total, "__site").where(F.col("__n") > ratio * F.col("__pages"))
             .groupBy("__site").agg(F.collect_list("__line").alias("__lines")))

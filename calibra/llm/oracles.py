@@ -16,8 +16,8 @@ def _line_dedup() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS site,
              string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
- total AS (SELECT site, count(*) AS pages FROM d GROUP BY site),
- has AS (SELECT DISTINCT rid, site, unnest(lines) AS line FROM d),
+ total AS (SELECT site, count(DISTINCT coalesce(text, '')) AS pages FROM d GROUP BY site),
+ has AS (SELECT DISTINCT coalesce(text, '') AS page, site, unnest(lines) AS line FROM d),
  bad AS (SELECT site, list(line) AS gone FROM (
    SELECT h.site, h.line FROM has h JOIN total t ON t.site = h.site
    WHERE regexp_matches(h.line, '{_BLANK}')

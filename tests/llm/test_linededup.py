@@ -20,9 +20,9 @@ def corpus(seed=1):
 
 def brute(rows, ratio, least):
     pages, has = defaultdict(int), defaultdict(int)
-    for _, t, s in rows:
+    for t, s in {(t or "", s) for _, t, s in rows}:
         pages[s] += 1
-        for x in set((t or "").split("\n")):
+        for x in set(t.split("\n")):
             if x.strip(" \t\n\x0b\x0c\r"):
                 has[s, x] += 1
     bad = {k for k, n in has.items() if n >= least and n > ratio * pages[k[0]]}
@@ -47,3 +47,13 @@ def test_matches_brute_force(spark, monkeypatch, broadcast):
 
 def test_empty(frame):
     assert linededup.drop_boilerplate(frame([])).collect() == []
+
+
+def test_copies_of_one_text_keep_their_lines(spark):
+    """A text on most pages of its site is one page; a line of many different pages is still boilerplate."""
+    rows = [(i, "own line\nsecond line", "a") for i in range(60)]
+    rows += [(100 + i, f"menu\npage {i}", "a") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in linededup.drop_boilerplate(d).collect()}
+    assert all(got[i] == "own line\nsecond line" for i in range(60))
+    assert all(got[100 + i] == f"page {i}" for i in range(40))
