@@ -8,7 +8,7 @@ from calibra.llm.queries import ORACLES, QUERIES
 
 def same(spark, name, path):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}/{t}.parquet{'' if 'testdata' in path else '/*.parquet'}')")
     want = con.execute(ORACLES[name])
     names = [c[0] for c in want.description]
@@ -36,4 +36,7 @@ def test_odd_rows(spark, name, tmp_path):
     docs.selectExpr("*", "'b' as source").unionByName(more).write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(list(enumerate(URLS + URLS[:6])), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    vectors = [(i, [float(i * k % 5 - 1) / 4 for k in (1, 2, 3)], i % 3) for i in range(160)] + [
+        (1000, None, 1), (1050, [1.0, None, 1.0], 1), (1100, [float("nan")] * 3, 1), (1150, [1.0] * 3, None), (-50, [0.5] * 3, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     same(spark, name, str(tmp_path))
