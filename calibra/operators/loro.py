@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as FT
 from ..functions.scalar import RATIO_EPS
+from ..sources.observations import spark_parallelism
 from ..sources.staging import staged
 from . import linear as L
 from .joins import attach
@@ -132,7 +133,10 @@ def loro_linear(df: DataFrame, group: str = "site", specs=L.STUDY_LINEAR, ids: l
     Returns (coefficients: group, model, intercept, b_<feature>, converged; long test predictions:
     ids..., group, model, y, pred). Groups whose complement has no rescale parameters, or under two rows, have no row."""
     ids = [c for c in ids if c != group]
-    x = staged(df.select(F.col(group).alias("_own"), "ref", "s2", "s3", "y", *ids))
+    x = df.select(F.col(group).alias("_own"), "ref", "s2", "s3", "y", *ids)
+    # rows lie by group: a task holds few groups, so its partial sums (over a hundred a group) stay fewer than its rows;
+    # the hash spreads a large group over several tasks
+    x = staged(x.repartitionByRange(4 * spark_parallelism(x), "_own", F.xxhash64("ref", "s2", "s3", "y")))
     params = staged(leave_out_params(x, "_own").drop("n_train"))
     th = staged(_cells(params.select(F.col("_own").alias("_g"), F.col("s2_scale").alias("a2"), F.col("s2_offset").alias("c2"),
                                      F.col("s3_scale").alias("a3"), F.col("s3_offset").alias("c3"))))
@@ -167,8 +171,13 @@ def loro_linear(df: DataFrame, group: str = "site", specs=L.STUDY_LINEAR, ids: l
     gtype = df.schema[group].dataType.simpleString()
     coefs = staged(_solve_groups(z.crossJoin(F.broadcast(centre)), gtype, specs).withColumnRenamed("_g", group))
 
-    te = FT.project(attach(x, params, "_own"), FT.optimized10(), keep=["_own", "y", *ids]).withColumnRenamed("_own", group)
-    preds = attach(te, coefs, group).select(*ids, group, "model", "y", L.linear_prediction(FEATS).alias("pred"))
+    # parameters and models of a group are one row, so the rows meet them in one join, before they are widened to features
+    models = coefs.groupBy(group).agg(F.collect_list(F.struct("model", "intercept", *(f"b_{f}" for f in FEATS))).alias("_models"))
+    fitted = params.join(models.withColumnRenamed(group, "_g"), F.expr("_own <=> _g")).drop("_g")
+    fitted = staged(fitted)
+    te = FT.project(attach(x, fitted, "_own"), FT.optimized10(), keep=["_own", "y", *ids, "_models"])
+    preds = te.withColumn("_m", F.explode("_models")).select(*(c for c in te.columns if c != "_models"), "_m.*").withColumnRenamed(
+        "_own", group).select(*ids, group, "model", "y", L.linear_prediction(FEATS).alias("pred"))
     return coefs, preds
 
 

@@ -71,3 +71,17 @@ def test_design_matches_projection():
     want = [ref, s2r, s3r, (ref + s2r + s3r) / 3, med, s2r * ref / 100, s3r * ref / 100, ref * ref, np.sqrt(ref),
             s3r / (ref + 1e-5)]
     assert np.allclose(x, want)
+
+
+def test_rows_lie_by_group(spark, monkeypatch):
+    """Tasks over the staged rows share few sites, so that partial sums per site do not outnumber the rows."""
+    held, tables = LO.staged, []
+    monkeypatch.setattr(LO, "staged", lambda df: (tables.append(held(df)), tables[-1])[1])
+    sites, each = 64, 40
+    rng = np.random.default_rng(5)
+    rows = [(i % sites, *map(float, rng.normal([20, 200, 300, 25], [5, 40, 60, 6]))) for i in range(sites * each)]
+    o = spark.createDataFrame(rows, "site int, ref double, s2 double, s3 double, y double").repartition(16)
+    LO.loro_linear(o, "site")
+    places = tables[0].select("_own", F.input_file_name().alias("f")).distinct().count()
+    files = tables[0].select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 4 and places < sites + files
