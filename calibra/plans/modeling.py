@@ -86,7 +86,7 @@ def weighted(bases: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def forest_predictions(study: ST.Study, set_name: str, spec: FO.ForestSpec, name: str | None = None) -> DataFrame:
-    test = study.frame(set_name).filter("is_test")
+    test = study.frame(set_name).filter("is_test").select("y", *FT.names(set_name))
     return FO.predict(test, study.forest(set_name, spec), FT.names(set_name)).select(
         F.lit(name or spec.name).alias("model"), "y", "pred")
 
@@ -155,19 +155,21 @@ def model_sweep(study: ST.Study, df: DataFrame, k: int = 5, set_name: str = "opt
     """K-fold sweep of the study's model list: every fold is a study of its own (rescale, features and models of the
     other folds), the linear family goes through fold-keyed Gram statistics. Returns the fold summary (mean and
     population std of RMSE, MAE, R2) per model."""
-    _, preds = EV.kfold_linear(df, set_name, k)
     names = FT.names(set_name)
-    rows = SP.kfold(df, k)
+    rows = ST.once(study.spark, (*study.key, "rows", k), lambda: SP.kfold(df, k))  # read by every fold, twice
     folds = [ST.Study(study.spark, rows.withColumn("is_test", F.col("fold") == g), (*study.key, "fold", k, g))
              for g in range(k)]
-    study.fit_all([lambda f=f: f.frame(set_name) for f in folds])
-    jobs = [lambda f=f: f.boosted(set_name, boosted) for f in folds] + [
-        lambda f=f: f.forest(set_name, forest) for f in folds]
-    study.fit_all(jobs)
-    for g, f in enumerate(folds):
+    (_, preds), *_ = study.fit_all([lambda: EV.kfold_linear(rows, set_name, k), *(lambda f=f: f.frame(set_name) for f in folds)])
+
+    def huber_fold(f):
         fr = EV.standardized(f.frame(set_name), names)
-        _, hp = LR.fit_predict(fr.filter(~F.col("is_test")), fr.filter("is_test"), names, huber)
-        for p in (forest_predictions(f, set_name, forest), boosted_predictions(f, set_name, boosted), hp):
+        return LR.fit_predict(fr.filter(~F.col("is_test")), fr.filter("is_test"), names, huber)[1]
+
+    jobs = [lambda f=f: huber_fold(f) for f in folds] + [lambda f=f: f.forest(set_name, forest) for f in folds] + [
+        lambda f=f: f.boosted(set_name, boosted) for f in folds]
+    fitted = study.fit_all(jobs)
+    for g, f in enumerate(folds):
+        for p in (forest_predictions(f, set_name, forest), boosted_predictions(f, set_name, boosted), fitted[g]):
             preds = preds.unionByName(p.select(F.lit(g).cast("long").alias("fold"), "model", "y", "pred"),
                                       allowMissingColumns=True)
     return EV.cv_summary(preds)
